@@ -36,6 +36,14 @@ def text_input(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in more))
 
 
+def extended(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
+    """df's schema with more columns; df's own is left alone."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
+
+
 def batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import map_batches, text_input
+from cairnflow.llm.common import extended, map_batches, text_input
 from cairnflow.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -208,7 +208,7 @@ def find_leaks(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """key, text, n_words, word_spans (merged spans of hit words), spans (the same as code points), items."""
+    """key, text, n_words, word_spans (merged spans of hit words), items. with_char_spans adds the spans as code points."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -251,8 +251,7 @@ def with_char_spans(found: DataFrame) -> DataFrame:
             ]
             yield b.append_column("spans", pa.array(spans, _SPANS))
 
-    schema = found.schema.add("spans", "array<struct<start:bigint,end:bigint>>")
-    return map_batches(found, run, schema)
+    return map_batches(found, run, extended(found, ("spans", "array<struct<start:bigint,end:bigint>>")))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

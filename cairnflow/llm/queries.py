@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import decontaminate, secrets
+from cairnflow.llm import decontaminate, secrets, tokenize
 from cairnflow.llm.common import table
 
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+"""Folder of the public tokenizer files."""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,6 +60,18 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    encoded = tokenize.encode(table(spark, sf_dir, "documents"), path, as_text=True)
+    return tokenize.decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
