@@ -101,26 +101,25 @@ class ConvNet:
 
     # Fitting
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 6, size: int = 32, rate: float = 4e-3, seed: int = 7) -> ConvNet:
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 180, size: int = 32, rate: float = 4e-3, seed: int = 7) -> ConvNet:
         """Adam on the log loss, over the whole bytes of every document of the sample."""
         rng = np.random.default_rng(seed)
         data = [np.frombuffer(t, np.uint8) for t in texts]
         echo = [echoes(d) for d in data]
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
         var = {k: np.zeros_like(v) for k, v in self.w.items()}
-        steps = 0
-        total = epochs * -(-len(data) // size)
-        for _ in range(epochs):
+        done = 0
+        while done < steps:
             order = rng.permutation(len(data))
             for at in range(0, len(order), size):
                 some = order[at : at + size]
                 grads = self._gradients([data[i] for i in some], [echo[i] for i in some], y[some].astype(np.float32))
-                steps += 1
-                lr = rate * (1 - steps / (total + 1))
+                done += 1
+                lr = rate * max(0.0, 1 - done / (steps + 1))
                 for k, g in grads.items():
                     mean[k] += 0.1 * (g - mean[k])
                     var[k] += 0.001 * (g * g - var[k])
-                    self.w[k] -= lr * (mean[k] / (1 - 0.9**steps)) / (np.sqrt(var[k] / (1 - 0.999**steps)) + 1e-8)
+                    self.w[k] -= lr * (mean[k] / (1 - 0.9**done)) / (np.sqrt(var[k] / (1 - 0.999**done)) + 1e-8)
         return self
 
     def _gradients(self, data, echo, y) -> dict[str, np.ndarray]:
