@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import decontaminate, quality, secrets, simhash, token_files, tokenize, toxicity
+from cairnflow.llm import decontaminate, quality, secrets, simhash, token_files, tokenize, toxicity, warc
 from cairnflow.llm.common import table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -90,6 +90,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_packages(table(spark, sf_dir, "pages"))
+    return warc.read_packages(manifest, payload=False).drop("url")
+
+
+_FIVE_BITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))
+ORACLES["op6_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+five AS (SELECT *, [('0x' || substr(h, 5 * i + 1, 5))::INTEGER FOR i IN range(0, 8)] AS parts FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string([{_FIVE_BITS} FOR v IN parts], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM five
+"""
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
