@@ -256,7 +256,8 @@ def with_char_spans(found: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the merged spans cut out of the text; other columns are unchanged. No shuffle: rows stay where they are."""
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != text)) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("none"))
+    packed = docs.select(rest.alias("row"), F.col(text).alias("text"))
     found = find_leaks(packed, benchmark, "row", "text", **options)
 
     def run(batches):
@@ -272,6 +273,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    kind = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row")).schema["row"].dataType.simpleString()
+    kind = packed.schema["row"].dataType.simpleString()
     cut = map_batches(found.select("row", "text", "word_spans"), run, f"row {kind}, text string")
     return cut.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
