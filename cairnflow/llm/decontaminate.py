@@ -34,7 +34,8 @@ SHARD_DOCS = 20_000
 BLOCK_CHARS = 16 << 20
 """Characters of benchmark items in a broadcast block."""
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+"""A word before A-Z are lower-cased."""
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
