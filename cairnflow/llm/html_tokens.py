@@ -33,7 +33,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NUMBERS = re.compile(r"\d+")
+_NUMBERS = re.compile(r"\d{3,}")
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -41,7 +41,7 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def signature(name: str, at: dict[str, str]) -> str:
-    """Name and class words; numbers are dropped, so that counters in names don't part alike elements."""
+    """Name and class words; long numbers are dropped, so that ids in names don't part alike elements."""
     words = sorted({_NUMBERS.sub("", w.lower()) for w in (at.get("class", "") + " " + at.get("id", "")).split()} - {""})
     return ".".join([name, *words[:4]])
 
