@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import DAY, micros
@@ -73,9 +73,9 @@ def newly_present(log: DataFrame, as_of: datetime) -> DataFrame:
     return log.select(*pair).distinct().join(then.distinct(), pair, "left_anti")
 
 
-def leaks(joined: DataFrame, feature_us: str, label_us: str) -> DataFrame:
-    """Rows whose feature is from after the label."""
-    return joined.where(F.col(feature_us) > F.col(label_us))
+def leaks(feature_us: str, label_us: str) -> Column:
+    """Whether a joined row's feature is from after its label."""
+    return F.col(feature_us) > F.col(label_us)
 
 
 def age_limit(days: int) -> int:

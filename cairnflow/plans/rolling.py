@@ -170,8 +170,7 @@ def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
     )
     joined = asof.as_of_join(txn, log, ["seen_us"], keys=("transaction_id", "entity_id", "us"))
     joined = joined.withColumn("seen_us", F.col("seen_us").cast("long"))
-    bad = asof.leaks(joined, "seen_us", "us").agg(F.count("*").alias("leaking"))
-    return joined.agg(F.count("*").alias("joined")).join(bad)
+    return joined.agg(F.count("*").alias("joined"), F.count(F.when(asof.leaks("seen_us", "us"), 1)).alias("leaking"))
 
 
 _AGGS = """round(coalesce(avg(amount) FILTER (WHERE us >= {at} - 7 * 86400000000), 0), 6) AS avg_transaction_amount_7d,
@@ -258,11 +257,14 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {OBS} SELECT count(*) AS transactions, count(DISTINCT entity_id) AS users, min(us) AS first_us, max(us) AS last_us, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean, (SELECT round(avg(label::INT), 6) FROM obs) AS label_rate FROM txn")
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
-    t = tables.transactions(spark, sf).agg(
-        F.count("*").alias("transactions"), F.count_distinct("entity_id").alias("users"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
-        F.round(F.sum("amount"), 2).alias("total"), r(F.avg("amount")).alias("mean"),
+    e = tables.events(spark, sf)
+    bought, observed = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    of = lambda c: F.when(bought, F.col(c))
+    return e.agg(
+        F.count(F.when(bought, 1)).alias("transactions"), F.count_distinct(of("entity_id")).alias("users"), F.min(of("us")).alias("first_us"),
+        F.max(of("us")).alias("last_us"), F.round(F.sum(of("value")), 2).alias("total"), r(F.avg(of("value"))).alias("mean"),
+        r(F.avg(F.when(observed, (F.col("value") > 150).cast("int")))).alias("label_rate"),
     )
-    return t.join(tables.observations(spark, sf).agg(r(F.avg(F.col("label").cast("int"))).alias("label_rate")))
 
 
 START, END = date(2024, 1, 1), date(2024, 1, 30)

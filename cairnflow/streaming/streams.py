@@ -30,32 +30,30 @@ def result_of(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def ingest(lines: DataFrame, folder: str, checkpoint: str) -> None:
-    """Lines of JSON to history and dead letters. A batch writes to folders of its own number, replacing what an earlier
-    attempt at the same batch left, and drops events that were stored before: each event is stored once."""
+def ingest(lines: DataFrame, folder: str, checkpoint: str, delay: str = "1 day") -> None:
+    """Lines of JSON to history and dead letters, by two queries over the same lines.
 
-    def each(batch: DataFrame, n: int) -> None:
-        parsed = parse(batch).dropDuplicates(["raw"]).persist()
-        records = route(parsed)
+    Each event is stored once: events are de-duplicated within the watermark (older ones are late and dropped), and a
+    batch writes to a folder of its own number, replacing what an earlier attempt at the same batch left. Lines that
+    can't be read, and records that can't be transformed, are dead letters."""
+    parsed = parse(lines)
+    once = parsed.where("reason IS NULL").withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+    def store(batch: DataFrame, n: int) -> None:
+        records = route(batch).persist()
         good = records.where("reason IS NULL").drop("reason", "raw")
         features = [c for c in good.columns if c not in ("event_id", "entity_id", "occurred_at", "feature_group", "event_type")]
         log = unpivot(good, features, ["event_id", "entity_id", "feature_group", "event_type", "occurred_at"])
-        old = stored(batch.sparkSession, folder, n)
-        if old is not None:
-            log = log.join(old, "event_id", "left_anti")
         log.write.mode("overwrite").parquet(f"{folder}/log/batch={n}")
-        bad = dead_letters(parsed).unionByName(records.where("reason IS NOT NULL").select(F.col("raw").alias("original"), F.col("reason").alias("failure_reason")))
-        bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={n}")
-        parsed.unpersist()
-
-    run_available(lines, each, checkpoint)
+        bad = records.where("reason IS NOT NULL").select(F.col("raw").alias("original"), F.col("reason").alias("failure_reason"))
+        bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=record/batch={n}")
+        records.unpersist()
 
+    def reject(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=line/batch={n}")
 
-def stored(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
-    """Ids of the events that batches before this one have stored."""
-    if before == 0:
-        return None
-    return spark.read.parquet(f"{folder}/log").where(F.col("batch") < before).select("event_id").distinct()
+    run_available(once, store, f"{checkpoint}/events")
+    run_available(dead_letters(parsed), reject, f"{checkpoint}/dead_letters")
 
 
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
