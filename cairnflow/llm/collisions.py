@@ -93,20 +93,23 @@ class Cell:
     def __init__(self, x: np.ndarray, plan: Plan):
         self.x, self.plan = x, plan
         self.values = x @ lines(x.shape[1], plan.projections, SEED + 1)
-        self.order = np.argsort(self.values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, self.order, 0)
+        order = np.argsort(self.values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, order, 0)
+        self.place = np.empty((plan.projections, len(x)), np.uint16 if len(x) < 1 << 16 else np.uint32)
+        for k in range(plan.projections):
+            self.place[k, order[:, k]] = np.arange(len(x))
 
     def collisions(self, queries: np.ndarray) -> np.ndarray:
-        """Lines on which each vector lies in each query's window: (queries, vectors)."""
-        n = len(self.x)
-        out = np.zeros((len(queries), n), np.uint8)
-        row = np.arange(len(queries))
+        """Lines on which each vector lies in each query's window: (queries, vectors).
+
+        A window is a range of places in the sorted order; a place lies in it if its distance from the range's start, as
+        an unsigned number, is below the range's size."""
+        out = np.zeros((len(queries), len(self.x)), np.uint8)
         for k in range(self.plan.projections):
-            v, s = self.values[queries, k], self.sorted[:, k]
-            edge = np.zeros((len(queries), n + 1), np.int8)
-            edge[row, np.searchsorted(s, v - self.plan.half_width, "left")] += 1
-            edge[row, np.searchsorted(s, v + self.plan.half_width, "right")] -= 1
-            out[:, self.order[:, k]] += np.cumsum(edge[:, :n], axis=1, dtype=np.int8).view(np.uint8)
+            v, place = self.values[queries, k], self.place[k]
+            low = np.searchsorted(self.sorted[:, k], v - self.plan.half_width, "left").astype(place.dtype)
+            high = np.searchsorted(self.sorted[:, k], v + self.plan.half_width, "right").astype(place.dtype)
+            out += (place[None] - low[:, None]) < (high - low)[:, None]
         return out
 
     def links(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
