@@ -44,10 +44,6 @@ def extended(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
     return out
 
 
-def batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir.
 
@@ -62,12 +58,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable, in the cluster's shared folder where it names one."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark, "checkpoints"))
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage, and lost executors don't cause it to be made again."""
     df.write.mode("overwrite").parquet(path)
