@@ -27,10 +27,11 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import regex
 
-CACHE = 200_000
+CACHE = 100_000
 """Pre-tokens that a worker keeps with their tokens, twice (a young and an old generation)."""
 CACHED_LENGTH = 48
 CHUNK = 4096
@@ -102,13 +103,16 @@ class Merges:
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a short list of symbols: the lowest rank first, from the left."""
         rank, made = self.rank.get, self.made
-        while len(ids) > 1:
-            ranks = [rank(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
-            r = min(ranks)
-            if r == _NONE:
-                break
+        ranks = [rank(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) != _NONE:
             i = ranks.index(r)
-            ids[i : i + 2] = [made[r]]
+            t = ids[i] = made[r]
+            del ids[i + 1], ranks[i]
+            # Only the pairs on either side of the new token are new.
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | t, _NONE)
+            if i < len(ranks):
+                ranks[i] = rank(t << 20 | ids[i + 1], _NONE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -166,6 +170,27 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+"
 _SETTLED = regex.compile(r"[\x00-\u0557\u2000-\u206f\u20a0-\u20b9]*")
 
 
+class Pieces(dict):
+    """Tokens by pre-token, of short ones only; when it is full, the entries of the last round stay a round longer."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges, self.old = merges, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.old.get(piece)
+        if found is None:
+            m, data = self.merges, piece.encode("utf-8", "replace")
+            if len(data) > CACHED_LENGTH:
+                return tuple(m.stream([data]))
+            found = tuple(m.merge([*(m.inner[x] for x in data[:-1]), m.final[data[-1]]]))
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Encoder:
     def __init__(self, path: str):
         self.path = path
@@ -173,8 +198,7 @@ class Encoder:
         self.pieces = regex.compile(PIECES)
         special = "|".join(regex.escape(t) for t in self.merges.special)
         self.special = regex.compile(f"({special})") if special else None
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known = Pieces(self.merges)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -185,20 +209,6 @@ class Encoder:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.old.get(piece)
-        if found is None:
-            m = self.merges
-            data = piece.encode("utf-8", "replace")
-            if len(data) <= CACHED_LENGTH:
-                found = tuple(m.merge([*(m.inner[x] for x in data[:-1]), m.final[data[-1]]]))
-            else:
-                return tuple(m.stream([data]))
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[piece] = found
-        return found
-
     @cached_property
     def library(self):
         """The tokenizers library's own normalizer and cutter, for texts with characters of newer Unicode versions."""
@@ -218,17 +228,11 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         parts = self.special.split(text) if self.special and "<|" in text else [text]
-        get = self.young.get
         for part in parts:
             if part in self.merges.special:
                 out.append(self.merges.special[part])
-                continue
-            for p in self.cut(part):
-                found = get(p)
-                if found is None:
-                    found = self.piece(p)
-                    get = self.young.get
-                out += found
+            else:
+                out += chain.from_iterable(map(self.known.__getitem__, self.cut(part)))
         return out
 
 
@@ -247,20 +251,17 @@ class Decoder:
                 body = t[: -len(end)] if end and t.endswith(end) else t
                 raw = t.encode() if t in merges.special else bytes(of[c] for c in body)
                 self.bytes[i] = raw + b" " * (len(body) < len(t))
+        self.bytes |= {str(i): b for i, b in self.bytes.items()}
 
-    def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete; bytes that can't be text become U+FFFD."""
+    def stream(self, ids: Iterable[int] | Iterable[str]) -> Iterator[str]:
+        """Text as it becomes complete, of ids or their decimals; bytes that can't be text become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        block: list[bytes] = []
-        of = self.bytes
-        for i in ids:
-            block.append(of[i])
-            if len(block) >= CHUNK:
-                yield machine.decode(b"".join(block))
-                block = []
-        yield machine.decode(b"".join(block), final=True)
-
-    def decode(self, ids: Iterable[int]) -> str:
+        of, rest = self.bytes.__getitem__, iter(ids)
+        while block := list(islice(rest, CHUNK)):
+            yield machine.decode(b"".join(map(of, block)))
+        yield machine.decode(b"", final=True)
+
+    def decode(self, ids: Iterable[int] | Iterable[str]) -> str:
         text = "".join(self.stream(ids))
         return text[:-1] if text.endswith(" ") else text
 

@@ -29,7 +29,7 @@ from cairnflow.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 20
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 SHARD_DOCS = 20_000
 BLOCK_CHARS = 16 << 20
 """Characters of benchmark items in a broadcast block."""
@@ -188,8 +188,8 @@ def _shards(phrases: Phrases, batches):
     yield from flush()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The items in blocks of about BLOCK_CHARS characters."""
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, spark):
+    """The phrases of the items, in broadcast blocks of about BLOCK_CHARS characters."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(
         F.col("text").isNotNull()
     )
@@ -197,48 +197,56 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"] or "", r["text"]) for r in part.collect()]
+        yield spark.sparkContext.broadcast(Phrases.of([(r["item"] or "", r["text"]) for r in part.collect()], window))
 
 
-def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-    window: int = WINDOW,
-) -> DataFrame:
-    """key, text, n_words, word_spans (merged spans of hit words), items. with_char_spans adds the spans as code points."""
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+_STATE = ["n_words", "word_spans", "items"]
+
+
+def _search(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, finish=None, schema: str = "") -> DataFrame:
+    """rows: key, text. Adds the state columns, block by block; finish(batch, word spans) makes the last block's output
+    of them instead, so that one block needs one pass through Python."""
+    spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    found = text_input(docs, key, text).select(
+    found = rows.select(
         "key", "text", F.lit(0).cast("long").alias("n_words"), empty.alias("word_spans"), F.array().cast("array<string>").alias("items")
     )
-    for rows in _blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(Phrases.of(rows, window))
+    blocks = list(_blocks(benchmark, item, item_text, window, spark))
+    for k, shared in enumerate(blocks):
+        last = finish if k == len(blocks) - 1 else None
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             for b, counts, spans, items in _shards(shared.value, batches):
                 spans = [
                     merged([(s["start"], s["end"]) for s in old] + new)
                     for old, new in zip(b.column("word_spans").to_pylist(), spans, strict=True)
                 ]
+                if last:
+                    yield last(b, spans)
+                    continue
                 items = [sorted({*old, *new}) for old, new in zip(b.column("items").to_pylist(), items, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("key"),
-                        b.column("text"),
-                        pa.array(counts, pa.int64()),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    ["key", "text", "n_words", "word_spans", "items"],
-                )
+                state = [
+                    pa.array(counts, pa.int64()),
+                    pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
+                    pa.array(items, pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), *state], ["key", "text", *_STATE])
 
-        found = map_batches(found, run, f"key {kind}, text string, {_FOUND}")
-    return found.withColumnRenamed("key", key)
+        found = map_batches(found, run, schema if last else f"key {kind}, text string, {_FOUND}")
+    return found
+
+
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """key, text, n_words, word_spans (merged spans of hit words), items. with_char_spans adds the spans as code points."""
+    return _search(text_input(docs, key, text), benchmark, item, item_text, window).withColumnRenamed("key", key)
 
 
 def with_char_spans(found: DataFrame) -> DataFrame:
@@ -255,25 +263,26 @@ def with_char_spans(found: DataFrame) -> DataFrame:
     return map_batches(found, run, extended(found, ("spans", "array<struct<start:bigint,end:bigint>>")))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def cut(text: str, word_spans: list[tuple[int, int]]) -> str:
+    """The text without the spans."""
+    parts, at = [], 0
+    for s, e in char_spans(text, word_spans):
+        parts.append(text[at:s])
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def remove_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
     """docs with the merged spans cut out of the text; other columns are unchanged. No shuffle: rows stay where they are."""
     rest = F.struct(*(F.col(c) for c in docs.columns if c != text)) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("none"))
-    packed = docs.select(rest.alias("row"), F.col(text).alias("text"))
-    found = find_leaks(packed, benchmark, "row", "text", **options)
+    packed = docs.select(rest.alias("key"), F.col(text).alias("text"))
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for t, w in zip(b.column("text").to_pylist(), b.column("word_spans").to_pylist(), strict=True):
-                if w:
-                    parts, at = [], 0
-                    for s, e in char_spans(t, [(x["start"], x["end"]) for x in w]):
-                        parts.append(t[at:s])
-                        at = e
-                    t = "".join([*parts, t[at:]])
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
-
-    kind = packed.schema["row"].dataType.simpleString()
-    cut = map_batches(found.select("row", "text", "word_spans"), run, f"row {kind}, text string")
-    return cut.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    def finish(b, spans):
+        texts = [cut(t, w) if w else t for t, w in zip(b.column("text").to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+
+    kind = packed.schema["key"].dataType.simpleString()
+    left = _search(packed, benchmark, item, item_text, window, finish, f"key {kind}, text string")
+    return left.select(*(F.col("text").alias(c) if c == text else F.col("key")[c].alias(c) for c in docs.columns))

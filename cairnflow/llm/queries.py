@@ -62,9 +62,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = tokenize.encode(table(spark, sf_dir, "documents"), path, as_text=True)
-    return tokenize.decode(encoded, path).select(
+    return tokenize.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -19,10 +19,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         enc = encoder(path)
+        names = {i: str(i) for i in enc.merges.tokens}
         for b in batches:
             ids = [enc.encode(t) if t else [] for t in b.column("text").to_pylist()]
             n = pa.array([len(x) for x in ids], pa.int64())
-            column = pa.array([" ".join(map(str, x)) for x in ids], pa.string()) if as_text else pa.array(ids, pa.list_(pa.int32()))
+            column = pa.array([" ".join(map(names.__getitem__, x)) for x in ids], pa.string()) if as_text else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("key"), n, column], ["key", "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -39,7 +40,22 @@ def decode(encoded: DataFrame, path: str, surface: bool = True) -> DataFrame:
         dec = decoder(path, surface)
         for b in batches:
             ids = b.column(i).to_pylist()
-            text = [dec.decode((map(int, x.split()) if as_text else x) if x else ()) for x in ids]
+            text = [dec.decode((x.split() if as_text else x) or ()) for x in ids]
             yield b.append_column("decoded", pa.array(text, pa.string()))
 
     return map_batches(encoded, run, extended(encoded, ("decoded", "string")))
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", surface: bool = True) -> DataFrame:
+    """key, n_tokens, ids (decimals joined by one blank) and decoded, in one pass through Python."""
+
+    def run(batches):
+        enc, dec = encoder(path), decoder(path, surface)
+        for b in batches:
+            ids = [" ".join(map(str, enc.encode(t))) if t else "" for t in b.column("text").to_pylist()]
+            n = pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
+            back = pa.array([dec.decode(x.split()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("key"), n, pa.array(ids, pa.string()), back], ["key", "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return map_batches(text_input(docs, key, text), run, f"key {kind}, n_tokens bigint, ids string, decoded string").withColumnRenamed("key", key)

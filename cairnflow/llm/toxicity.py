@@ -68,7 +68,7 @@ _WORD_HIT, _STEM_HIT, _DISGUISED_HIT, _YOU, _CAPS, _DISGUISED, _LONG = (1 << k f
 
 
 class Featurizer:
-    CACHE = 200_000
+    CACHE = 100_000
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon

@@ -80,8 +80,10 @@ def test_decontamination_in_blocks_and_small_shards(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [f"x {items[i][1]} y" for i in range(30)] * 2
     whole = by_id(decontaminate.find_leaks(docs(spark, *texts), bench), "word_spans", "items")
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    cut = by_id(decontaminate.remove_leaks(docs(spark, *texts), bench), "text")
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 800)
     assert by_id(decontaminate.find_leaks(docs(spark, *texts), bench), "word_spans", "items") == whole
+    assert by_id(decontaminate.remove_leaks(docs(spark, *texts), bench), "text") == cut
 
 
 def test_removal_cuts_the_spans_only(spark):
@@ -127,8 +129,9 @@ def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(WORD_BPE)
     texts = [*TRICKY, LONG, None]
     encoded = tokenize.encode(docs(spark, *texts), WORD_BPE)
-    for form in (encoded, tokenize.encode(docs(spark, *texts), WORD_BPE, as_text=True)):
-        got = by_id(tokenize.decode(form, WORD_BPE), "n_tokens", "decoded")
+    decoded = [tokenize.decode(f, WORD_BPE) for f in (encoded, tokenize.encode(docs(spark, *texts), WORD_BPE, as_text=True))]
+    for form in (*decoded, tokenize.round_trip(docs(spark, *texts), WORD_BPE)):
+        got = by_id(form, "n_tokens", "decoded")
         for i, t in enumerate(texts):
             ids = library.encode(t or "", add_special_tokens=False).ids
             assert got[i] == (len(ids), library.decode(ids, skip_special_tokens=False))
@@ -249,6 +252,7 @@ HTML = [
     (page("<!-- c --><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p><b>One.<br><p>Two\n  words&nbsp;here</p></article>"), "A & B\n\nOne.\n\nTwo words here"),
     (page("<header>Site</header><aside>Side</aside><main><p>Text</p><form>Name</form><div class='comments'><article>Nice</article></div></main><div id='cookie-notice'>OK</div>"), "Text"),
     (page("<article><p>Cut off"), "Cut off"),
+    (page("<main><article><header><h1>T</h1></header><p>Text <a href='/l'>link</a> on</p><p class='notice'>Paid</p><p>End</p></article><section>More</section></main>"), "T\n\nText link on\n\nEnd"),
     (page("<article></article>"), ""),
     ("<p>Only <i>this</i></p><script>no</script>", "Only this"),
     ("a < b &lt; c", "a < b < c"),
