@@ -50,6 +50,11 @@ _TOKENS = pa.schema(
 )
 
 
+def said(roles: tuple[str, ...]) -> str:
+    """What the elements around a place say of it: menus hide what is in them, and an article is more than a body."""
+    return next((r for r in ("menu", "article", "body") if r in roles), "")
+
+
 def page_tokens(html: str) -> list[dict]:
     """Tokens of a page: number, first place, and the text directly in the slot that each opens."""
     found: dict[str, dict] = {}
@@ -60,7 +65,7 @@ def page_tokens(html: str) -> list[dict]:
             place += 1
             if not path or path[-1] != value:
                 token += ">" + value  # not a structural element
-            judged = "menu" if "menu" in roles else "body" if "body" in roles else ""
+            judged = said(roles)
             t = found.setdefault(token, {"token": token, "n": 0, "place": place, "chars": 0, "linked": 0, "text": 0, "judged": judged})
             t["n"] += 1
         elif kind == "text" and token in found and not value.isspace():
@@ -87,10 +92,10 @@ def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return map_batches(narrow, run, out)
 
 
-def equivalence_classes(found: DataFrame) -> DataFrame:
-    """host, vector, pages, tokens (array of what is known of each): the frequent classes of every group."""
+def host_tokens(found: DataFrame) -> DataFrame:
+    """What is known of each token of a host, with the fingerprint of its occurrence vector."""
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
-    own = found.groupBy("host", "token").agg(
+    return found.groupBy("host", "token").agg(
         vector.alias("vector"),
         F.count("*").alias("pages"),
         F.avg("place").alias("place"),
@@ -100,6 +105,10 @@ def equivalence_classes(found: DataFrame) -> DataFrame:
         F.max("text").alias("high"),
         F.max("judged").alias("judged"),
     )
+
+
+def equivalence_classes(own: DataFrame) -> DataFrame:
+    """host, vector, pages, tokens (array of what is known of each): the frequent classes of every group."""
     # All pages together: sums of the hosts' sums, so that hardly anything more is shuffled.
     every = own.groupBy(F.lit(ALL).alias("host"), "token").agg(
         F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"),
@@ -120,7 +129,8 @@ def equivalence_classes(found: DataFrame) -> DataFrame:
 
 
 def slots_of(classes: list[list[dict]]) -> dict[str, str]:
-    """Nest the classes of a group to its template and judge the slots: path to "menu", "body" or "rest".
+    """Nest the classes of a group to its template and judge the slots: path to "menu", "body", "outside" (of what other
+    slots say is the article) or "rest" (where none says so).
 
     The largest class that occurs first is the root. Another class is valid if all its tokens lie in slots of classes
     that are nested already, below the element that opens the slot; the rest is noise and left out.
@@ -134,22 +144,24 @@ def slots_of(classes: list[list[dict]]) -> dict[str, str]:
             template |= {t["token"]: t for t in c}
     slots = {p: t for p, t in template.items() if ">" not in p}
     total = sum(t["chars"] for t in slots.values()) or 1
-    bodies = any(t["judged"] == "body" and t["chars"] for t in slots.values())
+    said_ = {t["judged"] for t in slots.values() if t["chars"]}
+    mark = next((m for m in ("article", "body") if m in said_), None)  # what the group's articles are marked by, if at all
     out = {}
     for p, t in slots.items():
-        kind = t["judged"]
-        if not kind:
-            links = t["chars"] and t["linked"] / t["chars"] > LINK_SHARE
-            fixed = t["constant"] and t["pages"] >= FEWEST_PAGES and t["chars"] < total / 2
-            kind = "menu" if links or fixed or bodies else "rest"
-        out[p] = kind
+        links = t["chars"] and t["linked"] / t["chars"] > LINK_SHARE
+        fixed = t["constant"] and t["pages"] >= FEWEST_PAGES and t["chars"] < total / 2
+        if mark:
+            out[p] = "body" if t["judged"] == mark else t["judged"] if t["judged"] == "menu" else "outside"
+        else:
+            out[p] = "menu" if t["judged"] == "menu" or links or fixed else "rest"
     return out
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """host, template (JSON: slot path to its kind). Frequent tokens are at most 1 / SUPPORT times a page's tokens, so
     the classes of a host are bounded by the size of a page, not by the number of its pages."""
-    classes = equivalence_classes(tokens(pages, key, url, html))
+    own = written(host_tokens(tokens(pages, key, url, html)), scratch(pages.sparkSession, "tokens"))
+    classes = equivalence_classes(own)
     gathered = classes.groupBy("host").agg(F.collect_list(F.to_json("tokens")).alias("classes"))
 
     def run(batches):
@@ -160,39 +172,43 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     return map_batches(gathered, run, "host string, template string")
 
 
+def slot_kind(path: tuple[str, ...], roles: tuple[str, ...], known: tuple[dict[str, str], ...], mark: str | None) -> str:
+    """The template's word on the slot of a path (see slots_of). Where the innermost elements are in no
+    template, what they say themselves comes first, and then the slot that they lie in."""
+    if len(roles) > len(path):
+        return "menu"  # a block that calls itself so
+    for n in range(len(path), 0, -1):
+        token = "/".join(path[:n])
+        slot = next((t[token] for t in known if token in t), None)
+        if slot is not None:
+            own = said(roles[n:])
+            if own == "menu" or n == len(path):
+                return own or slot
+            return "body" if own == mark and mark else slot if slot in ("body", "outside") else "rest"
+    own = said(roles)
+    return "menu" if own == "menu" else "body" if own == mark and mark else "rest"
+
+
 def main_text(html: str | None, *known: dict[str, str]) -> str:
-    """The text in article slots; known: templates, the host's own first."""
+    """The text in article slots, or in those that are no menus if a page has no article; known: templates, the host's
+    own first."""
+    page = [x[:4] for x in Page(html or "").stream() if x[0] != "start"]
+    marks = {said(r) for k, v, _, r in page if k == "text" and not v.isspace()}
+    mark = next((m for m in ("article", "body") if m in marks), None)
     parts: dict[str, list[list[str]]] = defaultdict(lambda: [[]])  # by kind: blocks
     kinds: dict[tuple, str] = {}
-    whole: list[list[str]] = [[]]
-    page = [(k, v, p, r) for k, v, p, r, _ in Page(html or "").stream() if k != "start"]
-    has_body = any(k == "text" and "body" in r and "menu" not in r and not v.isspace() for k, v, p, r in page)
-
-    def kind_of(path: tuple[str, ...], roles: tuple[str, ...]) -> str:
-        # The innermost element that a template or the page itself has an opinion on; menus hide what is in them.
-        if "menu" in roles:
-            return "menu"
-        if "body" in roles:
-            return "body"
-        for n in range(len(path), 0, -1):
-            token = "/".join(path[:n])
-            for t in known:
-                if token in t:
-                    return "rest" if t[token] == "menu" and n < len(path) else t[token]
-        return "rest"
-
     for k, v, path, roles in page:
         if k == "break":
-            for blocks in (whole, *parts.values()):
+            for blocks in parts.values():
                 if blocks[-1]:
                     blocks.append([])
             continue
         kind = kinds.get((path, roles))
         if kind is None:
-            kind = kinds[path, roles] = kind_of(path, roles)
+            kind = kinds[path, roles] = slot_kind(path, roles, known, mark)
         parts[kind][-1].append(v)
-    chosen = parts["body"] if has_body else parts["rest"]
-    return "\n\n".join(t for t in (" ".join("".join(b).split()) for b in chosen) if t)
+    texts = {kind: [t for t in (" ".join("".join(b).split()) for b in blocks) if t] for kind, blocks in parts.items()}
+    return "\n\n".join(texts.get("body") or texts.get("rest") or texts.get("outside") or [])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -26,7 +26,8 @@ MENU_ELEMENTS = frozenset(
     "head nav footer aside form dialog menu noscript template iframe svg button select object video audio canvas".split()
 )
 MENU_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-BODY_WORDS = frozenset("article post entry story content main articlebody".split())
+ARTICLE_WORDS = frozenset("article post entry story articlebody".split())
+BODY_WORDS = frozenset("content main".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?P<close>>|\Z)|(?P<text>[^<]+|<)",
@@ -41,13 +42,14 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def signature(name: str, at: dict[str, str]) -> str:
-    """Name and class words; long numbers are dropped, so that ids in names don't part alike elements."""
+    """Name, class words and role; long numbers are dropped, so that ids in names don't part alike elements."""
     words = sorted({_NUMBERS.sub("", w.lower()) for w in (at.get("class", "") + " " + at.get("id", "")).split()} - {""})
-    return ".".join([name, *words[:4]])
+    return ".".join([name, *words[:4], *(f"@{at[k].lower()}" for k in ("role", "itemprop") if k in at)])
 
 
 def role(name: str, at: dict[str, str], inside_body: bool) -> str:
-    """What an element says of itself: "menu" (not part of the article), "body", or "" if nothing."""
+    """What an element says of itself: "menu" (not part of the article), "article", "body" (the page's main part, which
+    may hold the article and more), or "" if nothing."""
     words = {w for x in (at.get("class", ""), at.get("id", "")) for w in re.split(r"[^a-z]+", x.lower()) if w}
     if (
         name in MENU_ELEMENTS
@@ -59,14 +61,16 @@ def role(name: str, at: dict[str, str], inside_body: bool) -> str:
         or (name == "header" and not inside_body)
     ):
         return "menu"
-    if name in ("article", "main") or at.get("role", "").lower() in ("main", "article") or at.get("itemprop", "") == "articleBody" or words & BODY_WORDS:
-        return "body"
-    return ""
+    own = at.get("role", "").lower()
+    if name == "article" or own == "article" or at.get("itemprop", "") == "articleBody" or words & ARTICLE_WORDS:
+        return "article"
+    return "body" if name == "main" or own == "main" or words & BODY_WORDS else ""
 
 
 class Page:
     """stream() gives (kind, value, path, roles, linked): kind "start" with the element's name, "break" at the edge of
-    a block, or "text" with decoded characters. path: signatures of the structural elements around it; roles: theirs."""
+    a block, or "text" with decoded characters. path: signatures of the structural elements around it; roles: theirs,
+    and "menu" inside of another block that calls itself so."""
 
     def __init__(self, html: str):
         self.html = html
@@ -75,11 +79,11 @@ class Page:
         names: list[str] = []
         path: tuple[str, ...] = ()
         roles: tuple[str, ...] = ()
-        links, at, html = 0, 0, self.html
+        links, at, html, muted = 0, 0, self.html, ()
         while m := _TOKEN.match(html, at):
             at = m.end()
             if m["text"] is not None:
-                yield "text", unescape(m["text"]), path, roles, links > 0
+                yield "text", unescape(m["text"]), path, roles + muted, links > 0
                 continue
             name = (m["name"] or "").lower()
             if not name or not m["close"]:
@@ -91,22 +95,24 @@ class Page:
                     keep = len(names) - 1 - names[::-1].index(name)
                     names, path, roles = names[:keep], path[:keep], roles[:keep]
                 if name in BLOCKS:
-                    links = 0
+                    links, muted = 0, ()
                     yield "break", name, path, roles, False
                 continue
             if name in RAW:
                 close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
                 at = close.end() if close else len(html)
                 continue
+            own = attributes(m["rest"])
             if name in BLOCKS:
-                links = 0
+                links, muted = 0, ()
                 yield "break", name, path, roles, False
-            own = attributes(m["rest"])
+                if name not in STRUCTURE and own and role(name, own, True) == "menu":
+                    muted = ("menu",)
             sign = signature(name, own)
             if name in STRUCTURE and not m["rest"].rstrip().endswith("/"):
                 names.append(name)
                 path += (sign,)
-                roles += (role(name, own, "body" in roles),)
+                roles += (role(name, own, "body" in roles or "article" in roles),)
                 yield "start", sign, path, roles, False
             else:
                 if name == "a":
@@ -114,4 +120,4 @@ class Page:
                 if name not in VOID:
                     yield "start", sign, path, roles, False
                 if name in ("br", "td", "th", "img", "wbr"):
-                    yield "text", " ", path, roles, links > 0
+                    yield "text", " ", path, roles + muted, links > 0
