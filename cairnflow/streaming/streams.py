@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.operators.history import unpivot
@@ -30,32 +30,42 @@ def result_of(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def ingest(lines: DataFrame, folder: str, checkpoint: str, delay: str = "1 day") -> None:
+def ingest(lines: DataFrame, folder: str, checkpoint: str) -> None:
     """Lines of JSON to history and dead letters, by two queries over the same lines.
 
-    Each event is stored once: events are de-duplicated within the watermark (older ones are late and dropped), and a
-    batch writes to a folder of its own number, replacing what an earlier attempt at the same batch left. Lines that
-    can't be read, and records that can't be transformed, are dead letters."""
+    Each event is stored once, however late it comes: a batch leaves out the events whose ids earlier batches have noted.
+    It writes to folders of its own number, replacing what an earlier attempt at the same batch left. Lines that can't be
+    read, and records that can't be transformed, are dead letters."""
     parsed = parse(lines)
-    once = parsed.where("reason IS NULL").withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def store(batch: DataFrame, n: int) -> None:
-        records = route(batch).persist()
+        fresh = batch.dropDuplicates(["event_id"])
+        if n > 0:
+            fresh = fresh.join(noted(batch.sparkSession, folder, n), "event_id", "left_anti").select(*batch.columns)
+        fresh = fresh.persist()
+        records = route(fresh).persist()
         good = records.where("reason IS NULL").drop("reason", "raw")
         features = [c for c in good.columns if c not in ("event_id", "entity_id", "occurred_at", "feature_group", "event_type")]
         log = unpivot(good, features, ["event_id", "entity_id", "feature_group", "event_type", "occurred_at"])
         log.write.mode("overwrite").parquet(f"{folder}/log/batch={n}")
         bad = records.where("reason IS NOT NULL").select(F.col("raw").alias("original"), F.col("reason").alias("failure_reason"))
         bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=record/batch={n}")
+        fresh.select("event_id").write.mode("overwrite").parquet(f"{folder}/noted/batch={n}")
         records.unpersist()
+        fresh.unpersist()
 
     def reject(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=line/batch={n}")
 
-    run_available(once, store, f"{checkpoint}/events")
+    run_available(parsed.where("reason IS NULL"), store, f"{checkpoint}/events")
     run_available(dead_letters(parsed), reject, f"{checkpoint}/dead_letters")
 
 
+def noted(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """Ids of the events that batches before this one have taken up."""
+    return spark.read.schema("event_id string, batch long").parquet(f"{folder}/noted").where(F.col("batch") < before).select("event_id")
+
+
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each event id once; events later than the watermark are dropped."""
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
