@@ -2,23 +2,30 @@
 
 Template tokens are start tags, told apart by the structural elements around them. The occurrence vector of a token
 holds its number of occurrences in every page of a host. Tokens with equal vectors form an equivalence class; a vector
-is compared by its fingerprint, a sum over pages of a hash of page and number, so that it is an ordinary aggregate:
-a host of any number of pages is spread over tasks and nothing is collected for it. Classes that occur in enough
-pages, and whose tokens keep one order, are nested by their paths to the host's template. The gaps between the tokens
-of the template are slots. A slot is judged by what its elements say of themselves and, where they say nothing, by what
-fills it on the host's pages: link text, or one text throughout, is not an article. The text of the remaining slots is
-the result. Hosts with too few pages take the template of all pages together; what is in no template is judged by the
-page alone.
-
-Defined results: null and empty html give an empty text; pages without an article, by any mark, give the text of the
-slots that aren't menus; null urls and urls without a host share one group; repeated rows give repeated results; an
-empty table gives an empty table; further columns are not read.
+is compared by its fingerprint, sums over pages of a hash of page and number, so that it is an ordinary aggregate:
+a host of any number of pages is spread over tasks and nothing is collected for it. Classes that occur in half of the
+host's pages are nested to its template, each into slots of those before it. The slots are what the template leaves open.
+
+What a slot holds decides what it is. Its prose is its text that is not in links, times the variation of that text from
+page to page: menus and notices have little. From the root the template follows the element that holds nearly all of
+the prose, and where it leads no further is the main element. Inside it, slots of links and of unchanging text are left
+out. What elements say of themselves only breaks ties: between elements that all hold the prose, one that is an
+article; and a slot inside the main element that holds less than half of its prose is left out if it calls itself
+something else (an advert, comments, a form).
+
+A slot's figures are pooled with those of the same slot in all hosts at the weight of PRIOR pages, so that a host of
+one page is judged like any other, and the more pages a host has the more they count; no number of pages is a switch.
+What is in no template lies in the slot around it (see narrowed). A page on which its host's template finds no text is judged by
+itself, in the same way.
+
+Defined results: null and empty html give an empty text, and so do pages of links only; null urls and urls without a
+host share one group; repeated rows give repeated results; an empty table gives an empty table; further columns are
+not read.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -26,189 +33,261 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm.common import map_batches, scratch, written
-from cairnflow.llm.html_tokens import Page
+from cairnflow.llm.html_tokens import ARTICLE, ASIDE, HIDDEN, Page
 
-FEWEST_PAGES = 3
-"""Pages that a host needs for a template of its own."""
 SUPPORT = 0.5
-"""Share of a group's pages in which the tokens of its template occur."""
+"""Share of a host's pages in which the tokens of its template occur."""
+PRIOR = 2.0
+"""Pages that the figures of all hosts count as."""
+HELD = 0.8
+"""Share of the prose that the element on the way to the main element holds."""
+HELD_MARKED = 0.5
+"""The same for an element that is an article by its own word."""
 LINK_SHARE = 0.5
+STEADY = 0.5
+"""Variation, relative to the host's most varied slot, below which a slot's text is the template's."""
 BROADCAST_BYTES = 8 << 20
 """Templates over this size in all are joined by host instead of being broadcast."""
-ALL = "*"
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-_TOKENS = pa.schema(
-    [
-        ("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("n", pa.int64()), ("place", pa.int64()),
-        ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.int64()), ("judged", pa.string()),
+_COUNTS = ("token", "parent", "kind", "slot", "n", "place", "chars", "linked", "text")
+_SIGN = 1 << 63
+
+
+def _signed(token: int) -> int:
+    return token - (1 << 64) if token >= _SIGN else token
+
+
+def page_tokens(page: Page) -> list[tuple]:
+    """Rows of _COUNTS: the structural elements, which are slots, and the other start tags in them. Characters are all
+    that an element holds; text is the CRC of what it holds directly, or else further in."""
+    es = page.elements
+    chars, linked, inner = [e.chars for e in es], [e.linked for e in es], [e.text for e in es]
+    for i in range(len(es) - 1, 0, -1):
+        if es[i].kind != HIDDEN:
+            chars[es[i].parent] += chars[i]
+            linked[es[i].parent] += linked[i]
+            inner[es[i].parent] ^= inner[i]
+    rows = [
+        (_signed(e.token), _signed(es[e.parent].token), e.kind, True, e.n, e.place, chars[i], linked[i], e.text or inner[i])
+        for i, e in enumerate(es)
     ]
-)
-
-
-def said(roles: tuple[str, ...]) -> str:
-    """What the elements around a place say of it: menus hide what is in them, and an article is more than a body."""
-    return next((r for r in ("menu", "article", "body") if r in roles), "")
-
-
-def page_tokens(html: str) -> list[dict]:
-    """Tokens of a page: number, first place, and the text directly in the slot that each opens."""
-    found: dict[str, dict] = {}
-    place = 0
-    for kind, value, path, roles, linked in Page(html).stream():
-        token = "/".join(path)
-        if kind == "start":
-            place += 1
-            if not path or path[-1] != value:
-                token += ">" + value  # not a structural element
-            judged = said(roles)
-            t = found.setdefault(token, {"token": token, "n": 0, "place": place, "chars": 0, "linked": 0, "text": 0, "judged": judged})
-            t["n"] += 1
-        elif kind == "text" and token in found and not value.isspace():
-            t = found[token]
-            t["chars"] += len(value)
-            t["linked"] += len(value) if linked else 0
-            t["text"] = zlib.crc32(value.encode("utf-8", "replace"), t["text"])
-    return list(found.values())
+    rows += [(_signed(t), _signed(es[p].token), 0, False, n, at, 0, 0, 0) for t, (n, p, at) in page.others.items()]
+    return rows
 
 
 def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """A row for each page and token, for the page's host and for all pages together."""
+    """A row for each page and token."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         for b in batches:
-            rows = []
+            hosts, ids, rows = [], [], []
             for h, p, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                for t in page_tokens(text or ""):
-                    rows.append({"host": h, "page": p} | t)
-            yield pa.RecordBatch.from_pylist(rows, schema=_TOKENS)
+                found = page_tokens(Page(text or ""))
+                hosts += [h] * len(found)
+                ids += [p] * len(found)
+                rows += found
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), *columns], ["host", "page", *_COUNTS])
 
     narrow = pages.select(host(F.col(url)).alias("host"), F.xxhash64(key, url).alias("page"), F.col(html).cast("string").alias("html"))
-    out = "host string, page bigint, token string, n bigint, place bigint, chars bigint, linked bigint, text bigint, judged string"
-    return map_batches(narrow, run, out)
+    return map_batches(
+        narrow, run,
+        "host string, page bigint, token bigint, parent bigint, kind int, slot boolean, n bigint, place bigint, chars bigint, linked bigint, text bigint",
+    )
 
 
 def host_tokens(found: DataFrame) -> DataFrame:
-    """What is known of each token of a host, with the fingerprint of its occurrence vector."""
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
+    """What is known of each token of a host, with the fingerprint of its occurrence vector in two halves."""
+    v = F.xxhash64("page", "n")
     return found.groupBy("host", "token").agg(
-        vector.alias("vector"),
+        F.sum(v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("low"),
+        F.sum(F.shiftrightunsigned(v, 32)).alias("high"),
         F.count("*").alias("pages"),
         F.avg("place").alias("place"),
         F.sum("chars").alias("chars"),
         F.sum("linked").alias("linked"),
-        F.min("text").alias("low"),
-        F.max("text").alias("high"),
-        F.max("judged").alias("judged"),
+        F.approx_count_distinct("text", 0.1).alias("texts"),
+        F.min("parent").alias("parent"),
+        F.min("kind").alias("kind"),
+        F.max("slot").alias("slot"),
     )
 
 
-def equivalence_classes(own: DataFrame) -> DataFrame:
-    """host, vector, pages, tokens (array of what is known of each): the frequent classes of every group."""
-    # All pages together: sums of the hosts' sums, so that hardly anything more is shuffled.
-    every = own.groupBy(F.lit(ALL).alias("host"), "token").agg(
-        F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"),
-        F.sum("pages").alias("pages"),
-        (F.sum(F.col("place") * F.col("pages")) / F.sum("pages")).alias("place"),
-        F.sum("chars").alias("chars"),
-        F.sum("linked").alias("linked"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.max("judged").alias("judged"),
+def frequent_tokens(own: DataFrame) -> DataFrame:
+    """host, tokens: those of at least SUPPORT of a host's pages, with the figures of all hosts beside their own.
+
+    They are at most 1 / SUPPORT times a page's tokens, so a host's are bounded by its pages' size, not their number."""
+    every = own.groupBy("token").agg(
+        F.sum("pages").alias("all_pages"), F.sum("chars").alias("all_chars"), F.sum("linked").alias("all_linked"), F.sum("texts").alias("all_texts")
     )
-    both = own.where(F.col("host") != ALL).unionByName(every)
-    # Every page has at least one token in the most frequent class, so its pages are the group's pages.
-    size = both.groupBy("host").agg(F.max("pages").alias("of"))
-    frequent = both.join(size, "host").where((F.col("of") >= FEWEST_PAGES) & (F.col("pages") >= F.ceil(SUPPORT * F.col("of"))))
-    token = F.struct("place", "token", "chars", "linked", (F.col("low") == F.col("high")).alias("constant"), "judged", "pages")
-    return frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(token)).alias("tokens"))
-
-
-def slots_of(classes: list[list[dict]]) -> dict[str, str]:
-    """Nest the classes of a group to its template and judge the slots: path to "menu", "body", "outside" (of what other
-    slots say is the article) or "rest" (where none says so).
-
-    The largest class that occurs first is the root. Another class is valid if all its tokens lie in slots of classes
-    that are nested already, below the element that opens the slot; the rest is noise and left out.
-    """
-    order = sorted(classes, key=lambda c: (-len(c), c[0]["place"]))
-    template: dict[str, dict] = {}
-    for c in order:
-        inside = [t["token"].rpartition(">")[0] or t["token"].rpartition("/")[0] for t in c]
-        ordered = all(a["place"] <= b["place"] for a, b in zip(c, c[1:], strict=False))
-        if not template or (ordered and all(i in template or any(i == t["token"] for t in c) or not i for i in inside)):
+    size = own.where("token = 0").select("host", F.col("pages").alias("of"))  # every page has one root
+    frequent = own.join(size, "host").where(F.col("pages") >= F.ceil(SUPPORT * F.col("of"))).join(every, "token")
+    row = F.struct(
+        "token", "parent", "kind", "slot", "low", "high", "pages", "place", "chars", "linked", "texts",
+        "all_pages", "all_chars", "all_linked", "all_texts",
+    )
+    return frequent.groupBy("host").agg(F.collect_list(F.to_json(row)).alias("tokens"))
+
+
+def nested(rows: list[dict]) -> dict[int, dict]:
+    """The template: classes of tokens with equal vectors, nested one into another.
+
+    The class of the root comes first. Another class is valid if each of its tokens lies in a slot of the template so
+    far, or of a token of its own class; the rest is noise and left out."""
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for t in sorted(rows, key=lambda t: (t["place"], t["token"])):
+        classes[t["low"], t["high"]].append(t)
+    template: dict[int, dict] = {}
+    for c in sorted(classes.values(), key=lambda c: (c[0]["place"], -len(c))):
+        own = {t["token"] for t in c}
+        if not template or all(t["parent"] in template or t["parent"] in own for t in c):
             template |= {t["token"]: t for t in c}
-    slots = {p: t for p, t in template.items() if ">" not in p}
-    total = sum(t["chars"] for t in slots.values()) or 1
-    said_ = {t["judged"] for t in slots.values() if t["chars"]}
-    mark = next((m for m in ("article", "body") if m in said_), None)  # what the group's articles are marked by, if at all
-    out = {}
-    for p, t in slots.items():
-        links = t["chars"] and t["linked"] / t["chars"] > LINK_SHARE
-        fixed = t["constant"] and t["pages"] >= FEWEST_PAGES and t["chars"] < total / 2
-        if mark:
-            out[p] = "body" if t["judged"] == mark else t["judged"] if t["judged"] == "menu" else "outside"
+    return template
+
+
+def judged(rows: list[dict]) -> dict[int, bool]:
+    """Slot to whether its text is main text."""
+    template = nested(rows)
+    slots = {k: t for k, t in template.items() if t["slot"]}
+    if not slots:
+        return {}
+    children: dict[int, list[int]] = defaultdict(list)
+    for k, t in slots.items():
+        if k:
+            children[t["parent"]].append(k)
+    order, at = [0] if 0 in slots else [], 0
+    while at < len(order):
+        order += children[order[at]]
+        at += 1
+    chars, linked, vary = {}, {}, {}
+    for k in order:
+        t = slots[k]
+        of = max(1, t["all_pages"])
+        chars[k] = t["chars"] + PRIOR * t["all_chars"] / of
+        linked[k] = t["linked"] + PRIOR * t["all_linked"] / of
+    for k in order:  # what the slots further in don't hold
+        inner = [c for c in children[k] if slots[c]["kind"] != HIDDEN]
+        chars[k] = max(0.0, chars[k] - sum(chars[c] for c in inner))
+        linked[k] = max(0.0, linked[k] - sum(linked[c] for c in inner))
+    for k in order:
+        t = slots[k]
+        of = max(1, t["all_pages"])
+        all_vary = min(1.0, t["all_texts"] / of)
+        vary[k] = (min(t["texts"], t["pages"]) - 1 + PRIOR * all_vary) / (t["pages"] - 1 + PRIOR)
+    most = max((vary[k] for k in order if chars[k] > linked[k] and slots[k]["kind"] != HIDDEN), default=1.0) or 1.0
+    mass = {k: 0.0 if slots[k]["kind"] == HIDDEN else max(0.0, chars[k] - linked[k]) * vary[k] / most for k in order}
+    for k in reversed(order[1:]):
+        if slots[k]["kind"] != HIDDEN:
+            mass[slots[k]["parent"]] += mass[k]
+    chain = [0]
+    while children[chain[-1]]:
+        best = max(children[chain[-1]], key=lambda k: (mass[k], -slots[k]["place"]))
+        if mass[best] <= 0 or mass[best] < _least(slots[best]["kind"]) * mass[chain[-1]]:
+            break
+        chain.append(best)
+    main = next((k for k in chain if slots[k]["kind"] == ARTICLE), chain[-1])
+    out: dict[int, bool] = {}
+    for k in order:
+        if k == main:
+            out[k] = True
+        elif not k or not out[slots[k]["parent"]]:
+            out[k] = False
         else:
-            out[p] = "menu" if t["judged"] == "menu" or links or fixed else "rest"
+            minor = mass[k] < mass[main] / 2
+            links = chars[k] > 0 and linked[k] > LINK_SHARE * chars[k]
+            steady = chars[k] > 0 and vary[k] < STEADY * most
+            out[k] = not (slots[k]["kind"] == HIDDEN or links or (minor and (steady or slots[k]["kind"] == ASIDE)))
     return out
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """host, template (JSON: slot path to its kind). Frequent tokens are at most 1 / SUPPORT times a page's tokens, so
-    the classes of a host are bounded by the size of a page, not by the number of its pages."""
+    """host, template (JSON: slot to whether it is main text)."""
     own = written(host_tokens(tokens(pages, key, url, html)), scratch(pages.sparkSession, "tokens"))
-    classes = equivalence_classes(own)
-    gathered = classes.groupBy("host").agg(F.collect_list(F.to_json("tokens")).alias("classes"))
 
     def run(batches):
         for b in batches:
-            made = [json.dumps(slots_of([json.loads(c) for c in cs])) for cs in b.column("classes").to_pylist()]
+            made = [json.dumps(judged([json.loads(t) for t in ts])) for ts in b.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(made, pa.string())], ["host", "template"])
 
-    return map_batches(gathered, run, "host string, template string")
-
-
-def slot_kind(path: tuple[str, ...], roles: tuple[str, ...], known: tuple[dict[str, str], ...], mark: str | None) -> str:
-    """The template's word on the slot of a path (see slots_of). Where the innermost elements are in no
-    template, what they say themselves comes first, and then the slot that they lie in."""
-    if len(roles) > len(path):
-        return "menu"  # a block that calls itself so
-    for n in range(len(path), 0, -1):
-        token = "/".join(path[:n])
-        slot = next((t[token] for t in known if token in t), None)
-        if slot is not None:
-            own = said(roles[n:])
-            if own == "menu" or n == len(path):
-                return own or slot
-            return "body" if own == mark and mark else slot if slot in ("body", "outside") else "rest"
-    own = said(roles)
-    return "menu" if own == "menu" else "body" if own == mark and mark else "rest"
-
-
-def main_text(html: str | None, *known: dict[str, str]) -> str:
-    """The text in article slots, or in those that are no menus if a page has no article; known: templates, the host's
-    own first."""
-    page = [x[:4] for x in Page(html or "").stream() if x[0] != "start"]
-    marks = {said(r) for k, v, _, r in page if k == "text" and not v.isspace()}
-    mark = next((m for m in ("article", "body") if m in marks), None)
-    parts: dict[str, list[list[str]]] = defaultdict(lambda: [[]])  # by kind: blocks
-    kinds: dict[tuple, str] = {}
-    for k, v, path, roles in page:
-        if k == "break":
-            for blocks in parts.values():
-                if blocks[-1]:
-                    blocks.append([])
-            continue
-        kind = kinds.get((path, roles))
-        if kind is None:
-            kind = kinds[path, roles] = slot_kind(path, roles, known, mark)
-        parts[kind][-1].append(v)
-    texts = {kind: [t for t in (" ".join("".join(b).split()) for b in blocks) if t] for kind, blocks in parts.items()}
-    return "\n\n".join(texts.get("body") or texts.get("rest") or texts.get("outside") or [])
+    return map_batches(frequent_tokens(own), run, "host string, template string")
+
+
+def by_itself(page: Page) -> dict[int, bool]:
+    """The template of one page. One page shows no variation, so elements that call themselves something else are believed."""
+    rows = []
+    for token, parent, kind, slot, n, place, chars, linked, _ in page_tokens(page):
+        rows.append(
+            {"token": token, "parent": parent, "kind": HIDDEN if kind == ASIDE else kind, "slot": slot, "low": n, "high": 0, "pages": 1, "place": place, "chars": chars,
+             "linked": linked, "texts": 1, "all_pages": 1, "all_chars": 0, "all_linked": 0, "all_texts": 1}
+        )
+    return judged(rows)
+
+
+def _least(kind: int) -> float:
+    return HELD_MARKED if kind == ARTICLE else HELD
+
+
+def narrowed(page: Page, keep: list[bool], template: dict[int, bool]) -> list[bool]:
+    """Where the template leads to an element without text of its own and the page goes on with elements that are in no
+    template, as when a host's pages share their frame only, the way to the main element goes on in the same manner."""
+    es = page.elements
+    mass = [max(0, e.chars - e.linked) if k else 0 for e, k in zip(es, keep, strict=True)]
+    own = list(mass)
+    inner: dict[int, list[int]] = defaultdict(list)
+    for i in range(len(es) - 1, 0, -1):
+        if keep[i] and keep[es[i].parent]:
+            mass[es[i].parent] += mass[i]
+            inner[es[i].parent].append(i)
+    tops = [i for i, e in enumerate(es) if keep[i] and (not i or not keep[e.parent])]
+    if not tops:
+        return keep
+    at = max(tops, key=lambda i: mass[i])
+    chain = []
+    while inner[at] and not own[at]:
+        best = max(inner[at], key=lambda i: (mass[i], -i))
+        known = _signed(es[best].token) in template  # the template has had its say: only if nothing else is lost
+        if mass[best] <= 0 or mass[best] < (1.0 if known else _least(es[best].kind)) * mass[at]:
+            break
+        chain.append(at := best)
+    if all(_signed(es[i].token) in template for i in chain):
+        return keep
+    main = next((i for i in chain if es[i].kind == ARTICLE), chain[-1])
+    out: list[bool] = []
+    for i, e in enumerate(es):
+        out.append(i == main or (i > main and keep[i] and out[e.parent]))
+    return out
+
+
+def slot_text(page: Page, template: dict[int, bool]) -> str:
+    """The text in the template's main slots, block by block."""
+    keep: list[bool] = []
+    for e in page.elements:
+        known = template.get(_signed(e.token))
+        keep.append(known if known is not None else bool(keep) and keep[e.parent] and e.kind not in (ASIDE, HIDDEN))
+    keep = narrowed(page, keep, template)
+    blocks, block = [], []
+    for element, text in page.pieces:
+        if element < 0:
+            if block:
+                blocks.append("".join(block))
+                block = []
+        elif keep[element]:
+            block.append(text)
+    blocks.append("".join(block))
+    return "\n\n".join(t for t in (" ".join(b.split()) for b in blocks) if t)
+
+
+def main_text(html: str | None, template: dict[int, bool] | None = None) -> str:
+    if not html:
+        return ""
+    page = Page(html)
+    return (slot_text(page, template) if template else "") or slot_text(page, by_itself(page))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -216,13 +295,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     spark = pages.sparkSession
     made = written(templates(pages, key, url, html), scratch(spark, "templates"))
     size = made.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0
-    every = made.where(F.col("host") == ALL).select("template").collect()  # one row at most
-    common = json.loads(every[0]["template"]) if every else {}
-    own = made.where(F.col("host") != ALL)
     rows = pages.select(
         F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host(F.col(url)).alias("host")
     )
-    joined = rows.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "host", "left").drop("host")
+    joined = rows.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left").drop("host")
 
     def run(batches):
         cache: dict[str, dict] = {}
@@ -231,8 +307,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for h, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
                 if t and t not in cache:
                     cache = cache if len(cache) < 1000 else {}
-                    cache[t] = json.loads(t)
-                out.append(main_text(h, *([cache[t]] if t else []), common))
+                    cache[t] = {int(k): v for k, v in json.loads(t).items()}
+                out.append(main_text(h, cache[t] if t else None))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(out, pa.string())], ["key", "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()

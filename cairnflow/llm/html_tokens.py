@@ -1,123 +1,213 @@
-"""HTML as a stream of tags and text, with the path of structural elements around each."""
+"""HTML as pieces of text over a tree of structural elements, read in one pass that is linear in the page.
+
+An element of the tree is told apart by its parent, its name and class words, and its number among equal siblings. Its
+token is a hash of these, so that a path of any depth costs one number.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from dataclasses import dataclass, field
 from html import unescape
 
+import xxhash
+
 # Element names by what they do.
 STRUCTURE = frozenset(
     "html head body div nav article section main header footer aside form ul ol table dialog menu figure details "
     "fieldset noscript template iframe svg button select object video audio canvas".split()
 )
-BLOCKS = STRUCTURE | frozenset(
-    "p h1 h2 h3 h4 h5 h6 li tr blockquote pre dl dt dd figcaption hr address summary caption thead tbody tfoot".split()
-)
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+BLOCKS = STRUCTURE | LEAVES | frozenset("li tr blockquote pre dl dt dd figcaption hr address summary caption thead tbody tfoot".split())
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MENU_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar rail footer foot header masthead topbar comment comments commentlist disqus reply replies respond "
-    "cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup social share sharing "
-    "related recommended recommendations popup modal overlay widget toolbar pagination pager search login copyright legal disclaimer".split()
+UNSEEN = frozenset("head noscript template iframe svg button select object video audio canvas".split())
+ASIDE_ELEMENTS = frozenset("nav footer aside form dialog menu".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+ASIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar footer header masthead comment comments disqus reply replies cookie cookies consent notice newsletter subscribe "
+    "social share sharing related recommended popup modal pagination login copyright".split()
 )
-MENU_ELEMENTS = frozenset(
-    "head nav footer aside form dialog menu noscript template iframe svg button select object video audio canvas".split()
-)
-MENU_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-ARTICLE_WORDS = frozenset("article post entry story articlebody".split())
-BODY_WORDS = frozenset("content main".split())
+ARTICLE_WORDS = frozenset("article entry post story".split())
+"""Names such as entry-header are of the article."""
+STATES = frozenset("has with no without is not open closed on off enabled disabled active".split())
+"""Names such as has-sidebar and comments-open speak of the page, not of the element."""
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?P<close>>|\Z)|(?P<text>[^<]+|<)",
-    re.DOTALL,
-)
+PLAIN, ARTICLE, ASIDE, HIDDEN = range(4)
+"""What an element says of itself."""
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN_PART = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NUMBERS = re.compile(r"\d{3,}")
+_NOTABLE = re.compile(r"class|id|role|itemprop|hidden|style", re.IGNORECASE)
+_NUMBERS = re.compile(r"\d+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 
 
 def attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
+    if not _NOTABLE.search(rest):
+        return {}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
 
 
 def signature(name: str, at: dict[str, str]) -> str:
-    """Name, class words and role; long numbers are dropped, so that ids in names don't part alike elements."""
+    """Name, class words, id and role; numbers are dropped, so that ids in names don't part alike elements."""
     words = sorted({_NUMBERS.sub("", w.lower()) for w in (at.get("class", "") + " " + at.get("id", "")).split()} - {""})
-    return ".".join([name, *words[:4], *(f"@{at[k].lower()}" for k in ("role", "itemprop") if k in at)])
-
-
-def role(name: str, at: dict[str, str], inside_body: bool) -> str:
-    """What an element says of itself: "menu" (not part of the article), "article", "body" (the page's main part, which
-    may hold the article and more), or "" if nothing."""
-    words = {w for x in (at.get("class", ""), at.get("id", "")) for w in re.split(r"[^a-z]+", x.lower()) if w}
-    if (
-        name in MENU_ELEMENTS
-        or at.get("role", "").lower() in MENU_ROLES
-        or words & MENU_WORDS
-        or "hidden" in at
-        or at.get("aria-hidden") == "true"
-        or re.search(r"display\s*:\s*none", at.get("style", ""))
-        or (name == "header" and not inside_body)
-    ):
-        return "menu"
+    return ".".join([name, *words, *(f"@{at[k].lower()}" for k in ("role", "itemprop") if k in at)])
+
+
+def _aside_word(names: str) -> bool:
+    for one in names.lower().split():
+        w = [x for x in re.split(r"[^a-z]+", one) if x]
+        if w and not STATES & {w[0], w[-1]} and w[0] not in ARTICLE_WORDS and ASIDE_WORDS & {w[0], w[-1]}:
+            return True
+    return False
+
+
+def kind_of(name: str, at: dict[str, str], inside: bool) -> int:
+    """inside: of an article or of the page's main part, whose headers are their own."""
     own = at.get("role", "").lower()
-    if name == "article" or own == "article" or at.get("itemprop", "") == "articleBody" or words & ARTICLE_WORDS:
-        return "article"
-    return "body" if name == "main" or own == "main" or words & BODY_WORDS else ""
+    if name in UNSEEN or "hidden" in at or at.get("aria-hidden") == "true" or _NOT_SHOWN.search(at.get("style", "")):
+        return HIDDEN
+    if name == "article" or own == "article" or at.get("itemprop", "") == "articleBody":
+        return ARTICLE
+    if name in ("html", "body"):
+        return PLAIN
+    if name in ASIDE_ELEMENTS or (name == "header" and not inside) or own in ASIDE_ROLES or _aside_word(at.get("class", "")) or _aside_word(at.get("id", "")):
+        return ASIDE
+    return PLAIN
+
 
+def _tag(html: str, at: int) -> tuple[bool, str, str, int, bool] | None:
+    """(end tag, name, attributes, place behind it, closed) of the tag that starts here; None if none does.
 
+    A quote that is never closed counts as an ordinary character, and a tag that is never closed ends with the page."""
+    m = _TAG.match(html, at)
+    if m:
+        return bool(m[1]), m[2].lower(), m[3], m.end(), True
+    m = _NAME.match(html, at)
+    if not m:
+        return None
+    i, n = m.end(), len(html)
+    while i < n:
+        i = _PLAIN_PART.match(html, i).end()
+        if i >= n or html[i] == ">":
+            break
+        end = html.find(html[i], i + 1)
+        i = end + 1 if end >= 0 else i + 1
+    return bool(m[1]), m[2].lower(), html[m.end() : i], min(i + 1, n), i < n
+
+
+@dataclass
+class Element:
+    token: int
+    parent: int
+    """Place of the parent in Page.elements; of the root, itself."""
+    kind: int = PLAIN
+    n: int = 1
+    place: int = 0
+    chars: int = 0
+    linked: int = 0
+    text: int = 0
+    """Running CRC of the text directly in it."""
+
+
+@dataclass
 class Page:
-    """stream() gives (kind, value, path, roles, linked): kind "start" with the element's name, "break" at the edge of
-    a block, or "text" with decoded characters. path: signatures of the structural elements around it; roles: theirs,
-    and "menu" inside of another block that calls itself so."""
-
-    def __init__(self, html: str):
-        self.html = html
-
-    def stream(self) -> Iterator[tuple[str, str, tuple[str, ...], tuple[str, ...], bool]]:
-        names: list[str] = []
-        path: tuple[str, ...] = ()
-        roles: tuple[str, ...] = ()
-        links, at, html, muted = 0, 0, self.html, ()
-        while m := _TOKEN.match(html, at):
-            at = m.end()
-            if m["text"] is not None:
-                yield "text", unescape(m["text"]), path, roles + muted, links > 0
+    """elements: the tree, a row for each token, the root first. others: number and parent of tokens of start tags that
+    are not structural. pieces: (element, text), with element -1 at the edge of a block."""
+
+    html: str
+    elements: list[Element] = field(default_factory=lambda: [Element(0, 0)])
+    others: dict[int, list[int]] = field(default_factory=dict)
+    pieces: list[tuple[int, str]] = field(default_factory=list)
+
+    def __post_init__(self):
+        html, n = self.html, len(self.html)
+        elements, pieces = self.elements, self.pieces
+        names, path, seen = [""], [0], [{}]  # open elements: name, place in elements, equal children so far
+        open_: dict[str, int] = {}
+        known: dict[int, int] = {0: 0}
+        links = place = at = 0
+
+        def pop():
+            open_[names.pop()] -= 1
+            path.pop()
+            seen.pop()
+
+        while at < n:
+            start = html.find("<", at)
+            tag = _tag(html, at) if start == at else None
+            if tag is None:
+                if start == at and html[at + 1 : at + 2] in ("!", "?"):
+                    comment = html.startswith("<!--", at)
+                    end = html.find("-->" if comment else ">", at + 2)
+                    at = n if end < 0 else end + (3 if comment else 1)
+                    continue
+                end = html.find("<", at + 1)
+                end = n if end < 0 else end
+                text = html[at:end]
+                text = unescape(text) if "&" in text else text
+                at = end
+                pieces.append((path[-1], text))
+                if not text.isspace():
+                    e = elements[path[-1]]
+                    e.chars += len(text)
+                    e.linked += len(text) if links else 0
+                    e.text = zlib.crc32(text.encode("utf-8", "replace"), e.text)
                 continue
-            name = (m["name"] or "").lower()
-            if not name or not m["close"]:
+            ends, name, rest, at, closed = tag
+            if not closed:
                 continue
-            if m["end"]:
+            if ends:
                 if name == "a":
                     links = max(0, links - 1)
-                if name in STRUCTURE and name in names:
-                    keep = len(names) - 1 - names[::-1].index(name)
-                    names, path, roles = names[:keep], path[:keep], roles[:keep]
                 if name in BLOCKS:
-                    links, muted = 0, ()
-                    yield "break", name, path, roles, False
+                    links = 0
+                    pieces.append((-1, ""))
+                if open_.get(name):
+                    while names[-1] != name:
+                        pop()
+                    pop()
                 continue
             if name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
-                at = close.end() if close else len(html)
+                close = _CLOSE[name].search(html, at)
+                at = close.end() if close else n
                 continue
-            own = attributes(m["rest"])
+            own = attributes(rest) if rest else {}
             if name in BLOCKS:
-                links, muted = 0, ()
-                yield "break", name, path, roles, False
-                if name not in STRUCTURE and own and role(name, own, True) == "menu":
-                    muted = ("menu",)
-            sign = signature(name, own)
-            if name in STRUCTURE and not m["rest"].rstrip().endswith("/"):
+                links = 0
+                pieces.append((-1, ""))
+                while names[-1] in LEAVES or names[-1] == name == "li":
+                    pop()
+            sign = signature(name, own) if own else name
+            place += 1
+            if (name in STRUCTURE or (own and name in BLOCKS and sign != name)) and name not in VOID:
+                if rest.rstrip().endswith("/"):
+                    continue
+                among = seen[-1]
+                among[sign] = k = among.get(sign, 0) + 1
+                token = xxhash.xxh64_intdigest(f"{sign}#{k}", elements[path[-1]].token)
+                i = known.get(token)
+                if i is None:
+                    i = known[token] = len(elements)
+                    inside = bool(open_.get("article") or open_.get("main"))
+                    elements.append(Element(token, path[-1], kind_of(name, own, inside), 0, place))
+                elements[i].n += 1
                 names.append(name)
-                path += (sign,)
-                roles += (role(name, own, "body" in roles or "article" in roles),)
-                yield "start", sign, path, roles, False
-            else:
-                if name == "a":
-                    links += 1
-                if name not in VOID:
-                    yield "start", sign, path, roles, False
-                if name in ("br", "td", "th", "img", "wbr"):
-                    yield "text", " ", path, roles + muted, links > 0
+                path.append(i)
+                seen.append({})
+                open_[name] = open_.get(name, 0) + 1
+                continue
+            if name == "a":
+                links += 1
+            if name not in VOID:
+                token = xxhash.xxh64_intdigest(f">{sign}", elements[path[-1]].token)
+                other = self.others.setdefault(token, [0, path[-1], place])
+                other[0] += 1
+            if name in ("br", "td", "th", "img", "wbr"):
+                pieces.append((path[-1], " "))
