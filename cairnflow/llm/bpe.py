@@ -16,6 +16,9 @@ merge tree, and the disagreement moves at most
 to the left in all. The lookahead is the largest reach of any merge. (Equal ranks merge from the left, so a run of one
 symbol is not disturbed by what follows it, except for its last symbol.)
 
+A pre-token's end makes all of its tokens stable, which is how the pre-tokens of ordinary text are closed; longer runs
+are emitted while they go on. A text passes through the cutter in slices, so neither its pre-tokens nor its ids are held.
+
 Decoding. Token bytes pass through an incremental UTF-8 machine that emits a character as soon as it is complete.
 """
 
@@ -26,6 +29,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from itertools import chain, islice
 
@@ -34,6 +38,11 @@ import regex
 CACHE = 100_000
 """Pre-tokens that a worker keeps with their tokens, twice (a young and an old generation)."""
 CACHED_LENGTH = 48
+"""Bytes of the longest pre-token that is kept, so that the cache's memory is bounded."""
+SHORT = 64
+"""Symbols up to which a list is merged faster than a heap."""
+SLICE = 1 << 16
+"""Characters of a text that are cut at once."""
 CHUNK = 4096
 _NONE = 1 << 60
 
@@ -140,25 +149,47 @@ class Merges:
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one pre-token that arrives in pieces; each is emitted as soon as it is stable."""
-        held: list[int] = []
-        last = -1  # the newest byte; it may be the final one, which is another symbol
+        run = Transducer(self)
         for piece in data:
-            for start in range(0, len(piece), CHUNK):
-                new = piece[start : start + CHUNK]
-                if last >= 0:
-                    held.append(self.inner[last])
-                held += [self.inner[x] for x in new[:-1]]
-                last = new[-1]
-                if len(held) >= self.lookahead + self.longest + CHUNK:
-                    used = 0
-                    for t in self.merge_long(list(held)):
-                        if used + self.units[t] > len(held) - self.lookahead:
-                            break
-                        used += self.units[t]
-                        yield t
-                    del held[:used]
-        if last >= 0:
-            yield from self.merge_long([*held, self.final[last]])
+            yield from run.feed(piece)
+        yield from run.close()
+
+
+class Transducer:
+    """One pre-token. It holds the bytes whose tokens may still change, at most `most` of them."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.held: list[int] = []
+        self.last = -1  # the newest byte; it may be the final one, which is another symbol
+        self.most = 2 * (merges.lookahead + merges.longest)
+
+    def feed(self, data: bytes) -> Iterator[int]:
+        m, at = self.merges, 0
+        inner = m.inner
+        while at < len(data):
+            new = data[at : at + self.most - len(self.held)]
+            at += len(new)
+            if self.last >= 0:
+                self.held.append(inner[self.last])
+            self.held += [inner[x] for x in new[:-1]]
+            self.last = new[-1]
+            if len(self.held) >= self.most - 1:
+                used = 0
+                for t in m.merge_long(list(self.held)):
+                    if used + m.units[t] > len(self.held) - m.lookahead:
+                        break
+                    used += m.units[t]
+                    yield t
+                del self.held[:used]
+
+    def close(self) -> list[int]:
+        """The end of the pre-token makes everything stable."""
+        if self.last < 0:
+            return []
+        m, ids = self.merges, [*self.held, self.merges.final[self.last]]
+        self.held, self.last = [], -1
+        return m.merge(ids) if len(ids) <= SHORT else m.merge_long(ids)
 
 
 # Fixed values of the tokenizer's file: how it cuts lower-cased text, with white space as its library defines it.
@@ -171,7 +202,8 @@ _SETTLED = regex.compile(r"[\x00-\u0557\u2000-\u206f\u20a0-\u20b9]*")
 
 
 class Pieces(dict):
-    """Tokens by pre-token, of short ones only; when it is full, the entries of the last round stay a round longer."""
+    """What the transducer gives for whole pre-tokens; short ones are kept. When it is full, the entries of the last
+    round stay a round longer."""
 
     def __init__(self, merges: Merges):
         super().__init__()
@@ -180,10 +212,10 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.old.get(piece)
         if found is None:
-            m, data = self.merges, piece.encode("utf-8", "replace")
+            data = piece.encode("utf-8", "replace")
+            found = tuple(self.merges.stream([data]))
             if len(data) > CACHED_LENGTH:
-                return tuple(m.stream([data]))
-            found = tuple(m.merge([*(m.inner[x] for x in data[:-1]), m.final[data[-1]]]))
+                return found
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -191,6 +223,23 @@ class Pieces(dict):
         return found
 
 
+@dataclass
+class _Open:
+    """A pre-token that the text so far ends in: a character of its class, "" if there is none, and its transducer."""
+
+    sign: str = ""
+    run: Transducer | None = None
+
+    def close(self) -> list[int]:
+        out = self.run.close() if self.run else []
+        self.sign, self.run = "", None
+        return out
+
+
+_INSIDE = regex.compile(r"[a-zA-Z]{4}(?=[a-zA-Z])|(?P<digit>[0-9](?=[0-9]))|(?P<sign>[-=_.*#!/+~]{2}(?=[-=_.*#!/+~]))")
+"""Places inside a run, away from the contractions that start with an apostrophe."""
+
+
 class Encoder:
     def __init__(self, path: str):
         self.path = path
@@ -225,16 +274,56 @@ class Encoder:
         normalizer, cut = self.library
         return [p for p, _ in cut.pre_tokenize_str(normalizer.normalize_str(text))]
 
-    def encode(self, text: str) -> list[int]:
+    def stream(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of one text that arrives in pieces of any size, in lists as they become known.
+
+        Pre-tokens hold no white space, so a text is cut in front of its last blank and the rest waits for what follows.
+        A stretch of SLICE characters without a blank is cut inside a run of letters, digits or signs, where neither
+        normalization nor the cutter looks across; the run's pre-token stays open in a transducer. (A stretch without
+        such a run waits for its end; its memory is its own length.)"""
+        rest, state = "", _Open()
+        for text in texts:
+            for at in range(0, len(text), SLICE):
+                rest = rest + text[at : at + SLICE] if rest else text[at : at + SLICE]
+                cut = max(rest.rfind(" "), rest.rfind("\n"))
+                if cut > 0:
+                    yield self._ids(rest[:cut], state)
+                    rest = rest[cut:]
+                elif len(rest) >= SLICE and "<|" not in rest:
+                    inside = None
+                    for inside in _INSIDE.finditer(rest, len(rest) - SLICE // 2):
+                        pass
+                    if inside:
+                        yield self._ids(rest[: inside.end()], state, "!" if inside["sign"] else "" if inside["digit"] else "a")
+                        rest = rest[inside.end() :]
+        yield self._ids(rest, state)
+
+    def _ids(self, text: str, state: _Open, goes_on: str = "") -> list[int]:
+        """goes_on: a character of the run that the text ends in and that goes on behind it."""
         out: list[int] = []
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
-        for part in parts:
+        for part in self.special.split(text) if self.special and "<|" in text else [text]:
             if part in self.merges.special:
+                out += state.close()
                 out.append(self.merges.special[part])
+                continue
+            pieces = self.cut(state.sign + part)
+            if state.sign and pieces:
+                out += state.run.feed(pieces[0][1:].encode("utf-8", "replace"))
+                if len(pieces) == 1 and goes_on == state.sign:
+                    return out
+                out += state.close()
+                pieces = pieces[1:]
+            if goes_on:
+                out += chain.from_iterable(map(self.known.__getitem__, pieces[:-1]))
+                state.sign, state.run = goes_on, Transducer(self.merges)
+                out += state.run.feed(pieces[-1].encode("utf-8", "replace"))
             else:
-                out += chain.from_iterable(map(self.known.__getitem__, self.cut(part)))
+                out += chain.from_iterable(map(self.known.__getitem__, pieces))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.stream((text,))))
+
 
 class Decoder:
     """Tokens to text. surface: the tokens' own spelling, parted by blanks, which is what a file without a decoder

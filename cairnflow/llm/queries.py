@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.llm import collisions, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc
 from cairnflow.llm.common import table
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-"""Folder of the public tokenizer files."""
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +61,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").select(
+    return tokenize.round_trip(table(spark, sf_dir, "documents"), WORD_BPE).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -152,7 +151,7 @@ FROM v JOIN least ON least.x = vec_id LEFT JOIN counted ON counted.x = vec_id
 
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -51,11 +51,26 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         enc, dec = encoder(path), decoder(path, surface)
+        names = {i: str(i) for i in enc.merges.tokens}
+
+        def one(t: str | None) -> tuple[int, str, str]:
+            n, parts = 0, []
+
+            def passing():
+                nonlocal n
+                for ids in enc.stream((t or "",)):
+                    if ids:
+                        n += len(ids)
+                        parts.append(" ".join(map(names.__getitem__, ids)))
+                        yield from ids
+
+            back = dec.decode(passing())
+            return n, " ".join(parts), back
+
         for b in batches:
-            ids = [" ".join(map(str, enc.encode(t))) if t else "" for t in b.column("text").to_pylist()]
-            n = pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
-            back = pa.array([dec.decode(x.split()) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("key"), n, pa.array(ids, pa.string()), back], ["key", "n_tokens", "ids", "decoded"])
+            n, ids, back = zip(*map(one, b.column("text").to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *columns], ["key", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
     return map_batches(text_input(docs, key, text), run, f"key {kind}, n_tokens bigint, ids string, decoded string").withColumnRenamed("key", key)

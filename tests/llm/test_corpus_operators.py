@@ -26,7 +26,8 @@ from cairnflow.llm.dac import Reader, dump
 from cairnflow.llm.fmindex import FMIndex, suffix_order
 from cairnflow.llm.zip_directory import ZipDirectory
 
-WORD_BPE, BYTE_BPE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
+from cairnflow.llm.queries import BYTE_BPE, WORD_BPE
+
 CLASH = "key long, text_ string, cell string, digest string, host string, row long, spans long, ids long, label_ string"
 LONG = "the quick brown fox " * 20_000
 
@@ -151,6 +152,41 @@ def test_bpe_streams_in_pieces():
     assert Decoder(e.merges, surface=False).decode(e.encode("hello brave world")) == "hello brave world"
 
 
+@needs_files
+@pytest.mark.parametrize("size", [16, 64, 300])
+def test_bpe_of_slices_equals_the_library(monkeypatch, size):
+    """Runs longer than a slice stay open, wherever the text is cut."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from cairnflow.llm import bpe
+
+    monkeypatch.setattr(bpe, "SLICE", size)
+    e, library, rng = Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE), random.Random(size)
+    parts = ["aaaa" * 40, "word", "don't", "'re", " ", "\n", "123456", "!" * 50, "----", "é", "日本語", "<|endoftext|>", "<|", "'", "''s", "x" * 1900, "Σß…", "=/=" * 30]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(3))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        assert [i for ids in e.stream(pieces) for i in ids] == library.encode(text, add_special_tokens=False).ids
+
+
+@needs_files
+def test_bpe_of_a_stream_takes_constant_memory():
+    """50 MB of words, then 300 KB without a blank, in pieces; nothing of the text is kept."""
+    import psutil
+
+    e, me, most, n = Encoder(WORD_BPE), psutil.Process(), 0, 0
+    e.encode("warm up")
+    before = me.memory_info().rss
+    texts = (*(("the quick brown fox jumps over the lazy dog. " * 1000) for _ in range(1150)), *["thaeinorgs" * 1000] * 30)
+    for ids in e.stream(iter(texts)):
+        n += len(ids)
+        most = max(most, me.memory_info().rss)
+    assert n > 11_000_000 and most - before < 40 << 20
+
+
 # 3 and 7 classifiers
 
 

@@ -35,7 +35,7 @@ def test_pipeline_equals_plain_version(spark):
         w = decontaminate.words_of(r.text)
         k = min(10, len(w))
         phrases |= {tuple(w[i : i + k]) for i in range(len(w) - k + 1) if w}
-    scanner, enc, dec = secrets.Scanner(), encoder(f"{queries.TOKENIZERS}/word_bpe_49k.json"), decoder(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    scanner, enc, dec = secrets.Scanner(), encoder(queries.WORD_BPE), decoder(queries.WORD_BPE)
     want = set()
     for i, t in kept:
         at = [(m.start(), m.end()) for m in decontaminate.WORD.finditer(t)]
