@@ -2,7 +2,8 @@
 
 Every candidate string (a long run of key characters) is put in a character class; a window slides over it while the
 counts of its characters, and with them the entropy, are kept up to date incrementally. Windows at or over the class's
-threshold are joined to spans, unless an allow-list pattern explains the candidate.
+threshold, with digits or changes of case as keys have them, are joined to spans. Windows that touch a stretch that the
+allow-list explains (a UUID, a placeholder word with the letters around it) don't count; others of the candidate do.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty
 table; columns other than the key and the text are not read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,14 +30,15 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 # Bits per character that a window of each class must reach.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
+THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8, "letters": 3.9}
 
-# Fixed patterns: candidates that look random and are not secrets.
+# Fixed patterns: stretches of a candidate that look random and are not secrets.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i:.*(?:example|placeholder|changeme|dummy|abcdefgh|01234567).*)",
-    r"[0-9_=/+-]+",
+    r"(?i:example|placeholder|changeme|dummy|abcdefgh|01234567)",
 )
+DIGITS, SWITCHES = 3, 7
+"""A window holds so many digits, or changes so often between lower case, upper case and digits; names and paths don't."""
 
 
 @dataclass(frozen=True)
@@ -44,20 +47,24 @@ class ScanSettings:
     min_assigned: int = 12
     thresholds: dict[str, float] = field(default_factory=lambda: dict(THRESHOLDS))
     allowed: tuple[str, ...] = ALLOWED
+    digits: int = DIGITS
+    switches: int = SWITCHES
 
 
 def char_class(s: str) -> str | None:
-    """hex, alnum or base64; None if the string lacks the mix of digits and letters that keys have."""
-    digits = sum(c.isdigit() for c in s)
-    if digits < 2 or digits == len(s):
+    """hex, alnum, base64 or letters; None if the string has no letter."""
+    letters = sum(c.isalpha() for c in s)
+    if not letters:
         return None
+    if letters == len(s):
+        return "letters"
     if re.fullmatch(r"[0-9a-fA-F]+", s):
         return "hex"
     return "alnum" if s.isalnum() else "base64"
 
 
-def dense_windows(s: str, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Maximal unions of windows whose entropy is at least the threshold.
+def dense_windows(s: str, window: int, threshold: float, fits=lambda start, end: True) -> list[tuple[int, int]]:
+    """Maximal unions of windows whose entropy is at least the threshold and that fit.
 
     With counts c of a window of W characters, the entropy is log2 W - (sum of c log2 c) / W; moving the window by one
     character changes two counts only.
@@ -76,8 +83,8 @@ def dense_windows(s: str, window: int, threshold: float) -> list[tuple[int, int]
             n = counts[old]
             total += cost[n - 1] - cost[min(n, w)]
             counts[old] = n - 1
-        if i >= w - 1 and total <= most:
-            start = i - w + 1
+        start = i - w + 1
+        if start >= 0 and total <= most and fits(start, i + 1):
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -85,6 +92,10 @@ def dense_windows(s: str, window: int, threshold: float) -> list[tuple[int, int]
     return spans
 
 
+def _running(steps) -> list[int]:
+    return [0, *accumulate(steps)]
+
+
 class Scanner:
     def __init__(self, settings: ScanSettings = ScanSettings()):
         self.settings = settings
@@ -93,6 +104,37 @@ class Scanner:
         self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % settings.window)
         self.allowed = [re.compile(p) for p in settings.allowed]
 
+    def mixed(self, s: str):
+        """Whether a window of s has the mix of keys and touches nothing that the allow-list explains; in constant time
+        by running counts."""
+        blocked = [0] * (len(s) + 1)
+        for p in self.allowed:
+            done = 0
+            for m in p.finditer(s):
+                if m.start() >= done:  # else it lies in the stretch around the one before
+                    start, end = m.span()
+                    while start > done and s[start - 1].isalnum():
+                        start -= 1
+                    while end < len(s) and s[end].isalnum():
+                        end += 1
+                    blocked[start] += 1
+                    blocked[end] -= 1
+                    done = end
+        allowed = _running(map(bool, accumulate(blocked)))
+        digits = _running(map(str.isdigit, s))
+        kinds, last, switch = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "" for c in s], "", []
+        for k in kinds:
+            switch.append(bool(k and last and k != last))
+            last = k or last
+        switches, own = _running(switch), self.settings
+
+        def fits(start: int, end: int) -> bool:
+            if allowed[end] > allowed[start]:
+                return False
+            return digits[end] - digits[start] >= own.digits or switches[end] - switches[start + 1] >= own.switches
+
+        return fits
+
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, place of the kind in KINDS, end), in order."""
         least = self.settings.min_assigned
@@ -103,15 +145,18 @@ class Scanner:
 
     def entropic(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans that the base scan hasn't covered already."""
-        out = []
+        out, at, reach = [], 0, 0
         for m in self.candidate.finditer(text):
             s = m.group()
             kind = char_class(s)
-            if kind is None or any(p.fullmatch(s) for p in self.allowed):
+            if kind is None:
                 continue
-            for a, b in dense_windows(s, self.settings.window, self.settings.thresholds[kind]):
+            for a, b in dense_windows(s, self.settings.window, self.settings.thresholds[kind], self.mixed(s)):
                 a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, _, y in known):
+                while at < len(known) and known[at][0] <= a:  # both are in order, so the base spans are passed once
+                    reach = max(reach, known[at][2])
+                    at += 1
+                if reach < b:
                     out.append((a, 3, b))
         return out
 
