@@ -5,7 +5,8 @@ document counts that Spark aggregates over the labelled fit rows. Features are d
 nearness to words of the second person, capitals, punctuation and obfuscation.
 
 Labels are learned from rows of the fit folds only, at most FIT_ROWS of them, chosen by a hash of the key; the trees
-and the lexicon see two folds, the calibration the third. Every other step covers all documents.
+and the lexicon see two folds, the calibration the third. The trees see each row by a lexicon that was learned without
+it. Every other step covers all documents.
 
 Defined results: null and empty texts have no words and get the score of an empty feature row; repeated rows get equal
 scores; of several labels of a key the largest counts, null labels do not; without labels, or with labels of one class,
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm.boosting import Boosting, Isotonic
-from cairnflow.llm.common import crc_fold, map_batches, text_input
+from cairnflow.llm.common import crc_fold, map_batches, scratch, text_input, written
 
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 FIT_ROWS = 20_000
 """Bound on the labelled rows that a model is fitted on."""
+LEXICON_FOLDS = 4
 LEXICON = 1_000
 """Most entries of the lexicon, by significance."""
 THRESHOLD = 0.3
@@ -59,7 +61,7 @@ class Lexicon:
     """Weights from 1 to 15."""
 
 
-_EDGE = re.compile(r"^\W+|\W+$")
+_CORE = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 _LETTERS = re.compile(r"[^\W\d_]")
 _STRETCHED = re.compile(r"(.)\1\1", re.DOTALL)
 _SPLIT_LETTERS = re.compile(r"(?:[^\W\d_][.\-*_]){2,}[^\W\d_]")
@@ -69,6 +71,8 @@ _WORD_HIT, _STEM_HIT, _DISGUISED_HIT, _YOU, _CAPS, _DISGUISED, _LONG = (1 << k f
 
 class Featurizer:
     CACHE = 100_000
+    CACHED_LENGTH = 48
+    """Characters of the longest token that is kept, so that the cache's memory is bounded."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -86,7 +90,8 @@ class Featurizer:
         out = self.known.get(token)
         if out is not None:
             return out
-        core = _EDGE.sub("", token)
+        found = _CORE.search(token)
+        core = found[0] if found else ""
         low = core.lower()
         mark, weight = self._weight(low)
         out = mark
@@ -105,9 +110,10 @@ class Featurizer:
                 out |= _DISGUISED_HIT
                 weight = w
         out |= weight << 8
-        if len(self.known) >= self.CACHE:
-            self.known = {}
-        self.known[token] = out
+        if len(token) <= self.CACHED_LENGTH:
+            if len(self.known) >= self.CACHE:
+                self.known = {}
+            self.known[token] = out
         return out
 
     def features(self, text: str | None) -> list[float]:
@@ -141,10 +147,19 @@ def fold(key: str = "doc_id"):
     return crc_fold(key, FOLDS)
 
 
+def lexicon_fold(folds: int = LEXICON_FOLDS):
+    """Not crc32, by whose remainders the rows have been chosen."""
+    return F.pmod(F.xxhash64("key"), F.lit(folds))
+
+
+_SHARES = 1 << 40
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, allowed, rows: int) -> DataFrame:
     """key, text, label (0 or 1) of at most about `rows` documents of the allowed folds, by a hash of the key.
 
-    The chosen labels are bounded by `rows`, so they are broadcast and no text is shuffled."""
+    The chosen labels are bounded by `rows`, so they are broadcast and only their texts are shuffled: of rows that
+    repeat a key one is used, chosen by a hash of its text, so that the rows are bounded too."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
@@ -152,31 +167,44 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str
         .where(allowed("key"))
     )
     share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return text_input(docs, key, text).join(F.broadcast(chosen), "key")
-
-
-def learn_lexicon(rows: DataFrame, entries: int = LEXICON) -> Lexicon:
-    """rows: text, label. Weights are log odds of document counts; entries must stand out by three standard errors."""
-    sizes = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    toxic, clean = sizes[0] or 0, sizes[1] or 0
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    words = rows.select("label", F.monotonically_increasing_id().alias("row"), word).where(F.length("word") >= 3)
-    stems = F.array(F.col("word"), *(F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS))
-    entry = words.select("label", "row", F.explode(stems).alias("entry")).where("entry IS NOT NULL")
-    counts = (
-        entry.groupBy("entry", "row").agg(F.max("label").alias("label"))
-        .groupBy("entry").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    )
-    odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    z = F.col("w") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counts.where("t >= 3").withColumn("w", odds).withColumn("z", z).where("z >= 3 AND w >= 1.5")
-    top = best.orderBy(F.desc("z"), "entry").limit(entries).collect()
-    weight = lambda w: int(min(15, max(1, round(2 * w))))
-    return Lexicon(
-        {r["entry"]: weight(r["w"]) for r in top if not r["entry"].endswith("*")},
-        {r["entry"][:-1]: weight(r["w"]) for r in top if r["entry"].endswith("*")},
-    )
+    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(_SHARES)) < math.ceil(share * _SHARES))
+    found = text_input(docs, key, text).join(F.broadcast(chosen), "key")
+    one = found.groupBy("key").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("one"))
+    return one.select("key", "one.text", "one.label")
+
+
+def learn_lexicons(rows: DataFrame, folds: int = LEXICON_FOLDS, entries: int = LEXICON) -> list[Lexicon]:
+    """rows: key, text, label. The lexicon of all rows, then that of all rows but each fold's. Weights are log odds of
+    document counts; entries must stand out by three standard errors."""
+    spark, fold_of = rows.sparkSession, lexicon_fold(folds)
+    parts = rows.groupBy(fold_of.alias("fold")).agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect()
+    sizes = {r["fold"]: (r["t"], r["c"]) for r in parts}
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+    forms = lambda w: F.array(w, *(F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS))
+    entry = F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(words, forms))))).alias("entry")
+    found = rows.select("label", fold_of.alias("fold"), entry)
+    toxic = [F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0)).alias(f"t{k}") for k in range(folds)]
+    clean = [F.sum(F.when(F.col("fold") == k, 1 - F.col("label")).otherwise(0)).alias(f"c{k}") for k in range(folds)]
+    counts = found.groupBy("entry").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"), *toxic, *clean).where("t >= 3")
+    counts = written(counts, scratch(spark, "lexicon"))
+
+    def learn(left_out: int | None) -> Lexicon:
+        t, c = F.col("t"), F.col("c")
+        out = [v for k, v in sizes.items() if k != left_out]
+        if left_out is not None:
+            t, c = t - F.col(f"t{left_out}"), c - F.col(f"c{left_out}")
+        n_toxic, n_clean = sum(x for x, _ in out), sum(x for _, x in out)
+        w = F.log((t + 0.5) / F.lit(n_toxic + 1.0)) - F.log((c + 0.5) / F.lit(n_clean + 1.0))
+        z = F.col("w") / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        best = counts.where(t >= 3).withColumn("w", w).withColumn("z", z).where("z >= 3 AND w >= 1.5")
+        top = best.orderBy(F.desc("z"), "entry").limit(entries).select("entry", "w").collect()
+        weight = lambda w: int(min(15, max(1, round(2 * w))))
+        return Lexicon(
+            {r["entry"]: weight(r["w"]) for r in top if not r["entry"].endswith("*")},
+            {r["entry"][:-1]: weight(r["w"]) for r in top if r["entry"].endswith("*")},
+        )
+
+    return [learn(None), *map(learn, range(folds))]
 
 
 @dataclass
@@ -194,25 +222,31 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS
 ) -> Model:
     rows = labelled(docs, labels, label, key, text, lambda k: crc_fold(k, FOLDS) != HELD_OUT, fit_rows)
-    grown = rows.where(crc_fold("key", FOLDS) != CALIBRATION)
-    lexicon = learn_lexicon(grown.select("text", "label"))
+    rows = written(rows, scratch(docs.sparkSession, "labelled"))
+    later = crc_fold("key", FOLDS) == CALIBRATION
+    whole, *others = learn_lexicons(rows.where(~later))
+    # A row that the lexicon was learned on would look more toxic by it than it is: it gets the lexicon of other rows.
+    marked = rows.select("key", "label", "text", F.when(~later, lexicon_fold()).cast("int").alias("fold"))
 
     def run(batches):
-        featurizer = Featurizer(lexicon)
+        plain, apart = Featurizer(whole), [Featurizer(x) for x in others]
         for b in batches:
-            x = [featurizer.features(t) for t in b.column("text").to_pylist()]
+            x = [
+                (plain if k is None else apart[k]).features(t)
+                for t, k in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["key", "label", "x"]
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    found = map_batches(rows.select("key", "label", "text"), run, f"key {kind}, label int, x array<double>")
-    sample = found.select((crc_fold("key", FOLDS) == CALIBRATION).alias("later"), "label", "x").orderBy("key").collect()
+    found = map_batches(marked, run, f"key {kind}, label int, x array<double>")
+    sample = found.select(later.alias("later"), "label", "x").orderBy("key").collect()
     x = np.array([r["x"] for r in sample]).reshape(len(sample), len(FEATURES))
     y = np.array([float(r["label"]) for r in sample])
     later = np.array([r["later"] for r in sample], bool)
     trees = Boosting().fit(x[~later], y[~later])
-    return Model(lexicon, trees, Isotonic().fit(trees.raw(x[later]), y[later]))
+    return Model(whole, trees, Isotonic().fit(trees.raw(x[later]), y[later]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
