@@ -25,7 +25,9 @@ FOLDS, HELD_OUT = 3, 1
 FIT_ROWS = 1_200
 """Bound on the labelled rows that the network is fitted on."""
 FIT_BYTES = 16 << 20
-"""Bound on their bytes: rows beyond it, in hash order, are not used for fitting."""
+"""Bound on their bytes, half of it for each label: a row that doesn't fit any more, in hash order, is passed over."""
+FIT_ROW_BYTES = 1 << 17
+"""Longer texts are not used for fitting (they are scored like any other), so that a step's memory is bounded."""
 THRESHOLD = 0.5
 
 
@@ -48,13 +50,13 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS
 ) -> Model:
     rows = labelled(docs, labels, label, key, text, lambda k: crc_fold(k, FOLDS) != HELD_OUT, fit_rows)
-    sample, size = [], 0
-    for r in rows.select("label", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("key"), "key").toLocalIterator():
+    rows = rows.select("key", "label", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_ROW_BYTES)
+    sample, left = [], {0: FIT_BYTES // 2, 1: FIT_BYTES // 2}
+    for r in rows.orderBy(F.xxhash64("key"), "key").toLocalIterator():
         data = r["text"].encode("utf-8", "replace")
-        size += len(data)
-        if size > FIT_BYTES and sample:
-            break
-        sample.append((r["label"], data))
+        if len(data) <= left[r["label"]]:
+            left[r["label"]] -= len(data)
+            sample.append((r["label"], data))
     y = np.array([v for v, _ in sample], float)
     rate = float((y.sum() + 0.5) / (len(y) + 1))
     if len(y) == 0 or y.min() == y.max():
