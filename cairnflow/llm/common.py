@@ -12,22 +12,21 @@ from pyspark.sql import types as T
 
 ROWS_PER_BATCH = 256
 """Rows of an Arrow batch. Texts may be long, so batches are kept far below Spark's 10,000 rows."""
+BYTES_PER_BATCH = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep the memory of a Python worker bounded when rows hold long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def map_batches(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = ROWS_PER_BATCH
 ) -> DataFrame:
-    """mapInArrow with small batches."""
-    small_batches(df.sparkSession)
+    """mapInArrow with batches bounded in rows and bytes, so that the memory of a Python worker is bounded.
+
+    Both bounds are settings of the session (Spark reads them when the query runs, so they stay set)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return df.mapInArrow(fn, schema)
 
 
@@ -47,10 +46,11 @@ def extended(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir.
 
-    Where that setting is absent (tests on one machine), it is set to a folder of this machine.
-    """
+    Where that setting is absent, a folder of this machine will do only if all tasks run here; elsewhere it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -88,15 +88,23 @@ def block_keys(bits: Column) -> Column:
     )
 
 
+def _count(bits: np.ndarray) -> np.ndarray:
+    """Ones of each row, of one word or several."""
+    n = np.bitwise_count(bits)
+    return n.astype(np.int64) if n.ndim == 1 else n.sum(1, dtype=np.int64)
+
+
 class GrayIndex:
-    """Over rows sorted by key and then Gray rank; a tree for each key, all trees side by side in each level."""
+    """Over rows sorted by key and then Gray rank; a tree for each key, all trees side by side in each level.
+
+    bits: a word of 64 bits for each row, or several (rows, words)."""
 
     def __init__(self, keys: np.ndarray, bits: np.ndarray):
         self.bits = bits
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))  # tree of each row
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.levels = [(bits, np.full(len(bits), full), np.arange(len(bits) + 1), np.arange(len(bits)) + 1)]
+        self.levels = [(bits, np.full(bits.shape, full), np.arange(len(bits) + 1), np.arange(len(bits)) + 1)]
         trees = owner
         while len(trees) > len(first):
             pattern, mask, _, end = self.levels[-1]
@@ -111,19 +119,19 @@ class GrayIndex:
             trees = trees[heads]
         self.root = owner
 
-    def pairs(self, queries: np.ndarray, apart: int = BITS_APART):
-        """(row, later row of the same tree) at most so many bits apart."""
+    def pairs(self, queries: np.ndarray, apart: int = BITS_APART, both: bool = False):
+        """(row, later row of the same tree) at most so many bits apart; both: later or earlier."""
         row, node = queries, self.root[queries]
         acc = np.zeros(len(queries), np.int64)
-        known = np.zeros(len(queries), np.uint64)
+        known = np.zeros((len(queries), *self.bits.shape[1:]), np.uint64)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask, children, end = self.levels[depth]
-            acc = acc + np.bitwise_count((self.bits[row] ^ pattern[node]) & mask[node] & ~known)
-            live = (acc <= apart) & (end[node] > row + 1)
+            acc = acc + _count((self.bits[row] ^ pattern[node]) & mask[node] & ~known)
+            live = (acc <= apart) & (both | (end[node] > row + 1))
             row, node, acc = row[live], node[live], acc[live]
             if depth == 0:
-                later = node > row
-                return row[later], node[later]
+                other = node != row if both else node > row
+                return row[other], node[other]
             known = mask[node]
             n = children[node + 1] - children[node]
             at = np.repeat(np.arange(len(node)), n)

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from cairnflow.llm import decontaminate, queries, secrets, simhash, toxicity
+from cairnflow.llm import decontaminate, near_copies, queries, secrets, toxicity
 from cairnflow.llm.bpe import decoder, encoder
 
 SF = "/root/testdata/sf0.001"
@@ -22,11 +22,12 @@ def test_pipeline_equals_plain_version(spark):
     scores = model.scores([t for _, t in rows], toxicity.Featurizer(model.lexicon))
     rows = [r for r, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD]
     kept: list[tuple[int, str]] = []
-    prints = [simhash.fingerprint(t) for _, t in rows]
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= near_copies.SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     kept = [r for i, r in enumerate(rows) if group[i] == i]
