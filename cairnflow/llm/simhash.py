@@ -120,7 +120,7 @@ class GrayIndex:
         self.root = owner
 
     def pairs(self, queries: np.ndarray, apart: int = BITS_APART, both: bool = False):
-        """(row, later row of the same tree) at most so many bits apart; both: later or earlier."""
+        """(row, later row of the same tree) at most so many bits apart; both: later or earlier, and the bits apart."""
         row, node = queries, self.root[queries]
         acc = np.zeros(len(queries), np.int64)
         known = np.zeros((len(queries), *self.bits.shape[1:]), np.uint64)
@@ -131,7 +131,7 @@ class GrayIndex:
             row, node, acc = row[live], node[live], acc[live]
             if depth == 0:
                 other = node != row if both else node > row
-                return row[other], node[other]
+                return (row[other], node[other], acc[other]) if both else (row[other], node[other])
             known = mask[node]
             n = children[node + 1] - children[node]
             at = np.repeat(np.arange(len(node)), n)
