@@ -21,8 +21,8 @@ def number(text: Column | str) -> Column:
 def json_of(value: Column, kind: str) -> Column:
     """A scalar as JSON text."""
     if kind == "string":
-        escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
-        return F.concat(F.lit('"'), escaped, F.lit('"'))
+        made = F.to_json(F.struct(value.alias("v")))  # {"v":...}
+        return F.when(value.isNotNull(), made.substr(F.lit(6), F.length(made) - 6))
     return value.cast("string")
 
 
@@ -30,8 +30,9 @@ def json_scalar(text: Column | str) -> Column:
     """The text of a JSON scalar: strings lose their quotes; null stays null, and so does JSON null."""
     text = F.col(text) if isinstance(text, str) else text
     quoted = text.startswith('"') & text.endswith('"') & (F.length(text) >= 2)
-    body = F.regexp_replace(text.substr(F.lit(2), F.length(text) - 2), r"\\(.)", "$1")
-    return F.when(quoted, body).when(text != "null", text)
+    body = text.substr(F.lit(2), F.length(text) - 2)
+    escaped = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
+    return F.when(quoted, F.when(text.contains("\\"), escaped).otherwise(body)).when(text != "null", text)
 
 
 def temporal_features(ts: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import DAY
+from cairnflow.operators.history import unpivot
 
 
 class BatchJob(Protocol):
@@ -17,6 +18,33 @@ class BatchJob(Protocol):
     def compute(self, transactions: DataFrame, as_of: datetime) -> DataFrame: ...
 
 
+class UserAggregates:
+    """The four user aggregates as a job."""
+
+    def compute(self, transactions: DataFrame, as_of: datetime) -> DataFrame:
+        return user_aggregates(transactions, as_of, as_of)
+
+
+class DailyCount:
+    def compute(self, transactions: DataFrame, as_of: datetime) -> DataFrame:
+        return daily_count(transactions, as_of)
+
+
+JOBS: dict[str, BatchJob] = {"user_aggregates": UserAggregates(), "daily_count": DailyCount()}
+"""Jobs by name. Further jobs are added by further entries."""
+
+
+def run_jobs(transactions: DataFrame, as_of: datetime, jobs: dict[str, BatchJob] = JOBS) -> DataFrame:
+    """The features of all jobs as history: entity_id, job, feature_name, feature_value (JSON), event_time."""
+    out: DataFrame | None = None
+    for name, job in jobs.items():
+        made = job.compute(transactions, as_of)
+        long = unpivot(made.withColumn("job", F.lit(name)), [c for c in made.columns if c != "entity_id"], ["entity_id", "job"])
+        out = long if out is None else out.unionByName(long)
+    assert out is not None, "no job"
+    return out.withColumn("event_time", F.lit(as_of).cast("timestamp"))
+
+
 def _at(t: datetime) -> Column:
     return F.unix_micros(F.lit(t).cast("timestamp"))
 

@@ -42,10 +42,10 @@ def append(log: DataFrame, path: str) -> None:
     log.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def group_table(log: DataFrame, group: str) -> None:
-    """The history of one feature group as a table of its own."""
-    rows = log.where(F.col("feature_group") == group).withColumn("event_date", F.to_date("event_time"))
-    rows.write.mode("append").partitionBy("event_date").saveAsTable(f"features_{group}")
+def group_table(log: DataFrame, group: str, path: str) -> DataFrame:
+    """The history of one feature group as a table of its own, in folders by event date; gives what is stored."""
+    append(log.where(F.col("feature_group") == group), f"{path}/features_{group}")
+    return log.sparkSession.read.parquet(f"{path}/features_{group}")
 
 
 def scan(

@@ -29,28 +29,54 @@ def spread(rows: DataFrame, length: int, bucket: int) -> DataFrame:
     return rows.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn("home", F.col("bucket") == first)
 
 
+_ENDS = {"h": HOUR, "d": DAY, "w": 7 * DAY, "m": 30 * DAY}
+
+
 def rolling_features(transactions: DataFrame, bucket: int | None = None) -> DataFrame:
     """Counts over 1 hour, 24 hours, 7 and 30 days, sum over 24 hours, mean over 7 days, largest over 30 days.
 
+    Linear in the rows of an entity: each row enters once and leaves once for each length, and a window's count or sum
+    is what has entered less what has left, by running totals (of decimals, so that nothing drifts). The largest value
+    is taken over blocks of 30 days: the block's own rows so far, and those of the block before that are still inside.
     bucket: microseconds of a time bucket (see spread), for entities too busy for one task."""
     rows = transactions.select(*KEYS, "amount")
     keys = ("entity_id",)
     if bucket:
         rows, keys = spread(rows, 30 * DAY, bucket), ("entity_id", "bucket")
-    over = lambda value, length: value.over(before(length, *keys))
-    count = F.count("*")
+    month = _ENDS["m"]
+    moves = F.array(
+        F.struct(F.col("us").alias("at"), F.lit("in").alias("move")),
+        *(F.struct((F.col("us") + length).alias("at"), F.lit(name).alias("move")) for name, length in _ENDS.items()),
+    )
+    rows = rows.withColumn("exact", F.col("amount").cast("decimal(28,10)")).select("*", F.inline(moves))
+    rows = rows.withColumn("block", F.floor(F.col("at") / month))
+    entered = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    left = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "block").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    of = lambda move, value: F.when(F.col("move") == move, value)
+    one, amount = F.lit(1), F.col("exact")
+
+    def count(move: str, value: Column = one) -> Column:
+        return F.count(of("in", value)).over(entered) - F.count(of(move, value)).over(left)
+
+    def total(move: str) -> Column:
+        zero = F.lit(0).cast("decimal(38,10)")
+        return (F.coalesce(F.sum(of("in", amount)).over(entered), zero) - F.coalesce(F.sum(of(move, amount)).over(left), zero)).cast("double")
+
+    some = count("w", amount)
     out = rows.withColumns(
         {
-            "transaction_count_24h": over(count, DAY),
-            "transaction_count_7d": over(count, 7 * DAY),
-            "transaction_count_30d": over(count, 30 * DAY),
-            "total_amount_24h": F.coalesce(over(F.sum("amount"), DAY), F.lit(0.0)),
-            "avg_amount_7d": F.coalesce(over(F.avg("amount"), 7 * DAY), F.lit(0.0)),
-            "max_amount_30d": F.coalesce(over(F.max("amount"), 30 * DAY), F.lit(0.0)),
-            "transactions_last_hour": over(count, HOUR),
+            "transaction_count_24h": count("d"),
+            "transaction_count_7d": count("w"),
+            "transaction_count_30d": count("m"),
+            "total_amount_24h": total("d"),
+            "avg_amount_7d": F.when(some > 0, total("w") / some).otherwise(F.lit(0.0)),
+            "max_amount_30d": F.coalesce(F.greatest(F.max(of("in", F.col("amount"))).over(own), F.max(of("m", F.col("amount"))).over(inside)), F.lit(0.0)),
+            "transactions_last_hour": count("h"),
         }
-    )
-    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount")
+    ).where("move = 'in'")
+    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount", "exact", "at", "move", "block")
 
 
 def velocity(count_last_hour: Column) -> Column:

@@ -16,6 +16,7 @@ from cairnflow.sources.folders import shared_folder
 
 AS_OF = datetime(2024, 1, 31)
 MID = datetime(2024, 1, 20)
+EARLY = datetime(2024, 1, 2)
 TIMES = [datetime(2024, 1, 10), datetime(2024, 1, 20), datetime(2024, 1, 30)]
 
 
@@ -141,10 +142,10 @@ def late_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {LOG} SELECT DISTINCT entity_id, feature_name FROM flog
-    EXCEPT SELECT entity_id, feature_name FROM flog WHERE event_time <= TIMESTAMP '2024-01-20'"""
+    EXCEPT SELECT entity_id, feature_name FROM flog WHERE event_time <= TIMESTAMP '2024-01-02'"""
 )
 def newly_present(spark: SparkSession, sf: str) -> DataFrame:
-    return asof.newly_present(tables.feature_log(spark, sf), MID)
+    return asof.newly_present(tables.feature_log(spark, sf), EARLY)
 
 
 @query(
@@ -267,6 +268,16 @@ def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {TXN}, s AS (SELECT entity_id, {_AGGS.format(at=_NOW)} FROM txn WHERE us <= {_NOW} AND us >= epoch_us(TIMESTAMP '2024-01-01') GROUP BY entity_id)
+    SELECT 'user_aggregates' AS job, f AS feature_name, count(*) AS n FROM s, (SELECT unnest(['avg_transaction_amount_7d', 'std_transaction_amount_7d', 'unique_merchants_30d', 'user_lifetime_value']) AS f) GROUP BY ALL
+    UNION ALL SELECT 'daily_count', 'transaction_count_24h', count(DISTINCT entity_id) FROM txn"""
+)
+def batch_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """All registered jobs, their features as history."""
+    return batch.run_jobs(tables.transactions(spark, sf), AS_OF).groupBy("job", "feature_name").agg(F.count("*").alias("n"))
+
+
 START, END = date(2024, 1, 1), date(2024, 1, 30)
 _BACKFILL = f""", days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS as_of),
     filled AS (SELECT entity_id, as_of, {_AGGS.format(at="epoch_us(as_of::TIMESTAMP)")} FROM days JOIN txn ON us <= epoch_us(as_of::TIMESTAMP) AND us >= epoch_us(as_of::TIMESTAMP) - 31 * 86400000000 GROUP BY ALL)"""

@@ -12,7 +12,7 @@ from cairnflow.operators import catalog, experiments, history, ml, online, rolli
 from cairnflow.plans.registry import EVENTS, LOG, TXN, query
 from cairnflow.plans.rolling import rounded
 from cairnflow.sources import ingest, tables
-from cairnflow.sources.folders import shared_folder
+from cairnflow.sources.folders import shared_folder, written
 from cairnflow.streaming import streams
 
 AS_OF = datetime(2024, 1, 31)
@@ -442,26 +442,35 @@ def temporal_split(spark: SparkSession, sf: str) -> DataFrame:
     return ml.temporal_split(tables.transactions(spark, sf)).select("transaction_id", "train")
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ml.temporal_split(_training(spark, sf))
-    model = ml.fit_forest(rows.where("train"), ml.INPUTS, trees=20, depth=6)
+def _fitted(spark: SparkSession, sf: str):
+    """A forest of the earlier 80 %, saved and loaded, and its scores of the later 20 %. Whether an amount is large is
+    to be told by what came before it."""
+    rows = written(ml.temporal_split(_training(spark, sf)), shared_folder(spark, "training"))
+    model = ml.fit_forest(rows.where("train"), ml.KNOWN_BEFORE)
     path = shared_folder(spark, "model")
     model.save(path)
-    return ml.score(type(model).load(path), rows.where("NOT train"))
+    loaded = type(model).load(path)
+    labels = rows.where("NOT train").select("transaction_id", "label")
+    return loaded, ml.score(loaded, rows.where("NOT train")).join(labels, "transaction_id")
 
 
 @query()
 def rf_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted on the earlier 80 %, saved, loaded, applied to the later 20 %."""
-    return _scored(spark, sf).select("transaction_id", "probability", decision(F.col("probability")).alias("decision"))
+    """Scores and decisions, as they are stored."""
+    return ml.write_scores(_fitted(spark, sf)[1], shared_folder(spark, "scores"))
 
 
 @query()
 def rf_train(spark: SparkSession, sf: str) -> DataFrame:
     """Confusion counts of the fitted forest on the later 20 %."""
-    scored = _scored(spark, sf)
-    labels = _labels(tables.transactions(spark, sf))
-    return ml.metrics(scored.join(labels, "transaction_id").withColumn("prediction", F.col("probability") > 0.5))
+    return ml.metrics(_fitted(spark, sf)[1].withColumn("prediction", F.col("probability") > 0.5))
+
+
+@query()
+def rf_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Area under the curve on the later 20 %, and the inputs by importance."""
+    model, scored = _fitted(spark, sf)
+    return ml.report(scored, model, ml.KNOWN_BEFORE)
 
 
 _GUESS = "k % 4 = 0"
@@ -506,6 +515,41 @@ def latest_100(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tables.transactions(spark, sf).orderBy(F.desc("us"), F.desc("transaction_id")).limit(100).select("transaction_id", "us", "amount"))
 
 
+@query(f"WITH {LOG} SELECT strftime(event_time, '%Y-%m-%d') AS event_date, feature_name, count(*) AS n FROM flog WHERE feature_group = 'profile' GROUP BY ALL")
+def group_table(spark: SparkSession, sf: str) -> DataFrame:
+    stored = history.group_table(tables.feature_log(spark, sf), "profile", shared_folder(spark, "groups"))
+    return stored.groupBy(F.col("event_date").cast("string").alias("event_date"), "feature_name").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LOG} SELECT feature_group, count(DISTINCT feature_name) AS active_features FROM flog GROUP BY 1")
+def active_features(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.active_features(tables.feature_log(spark, sf).select("feature_group", "feature_name").distinct())
+
+
+@query(f"WITH {LOG}{_LATEST} SELECT {_KEYED}, written_us FROM online WHERE feature_name <> 'account_age_days' OR feature_value::BIGINT <= 50")
+def validated_online_write(spark: SparkSession, sf: str) -> DataFrame:
+    """Values are checked before they are written online; those that fail stay out."""
+    rules = [validate.Definition("profile", "v1", "account_age_days", "INTEGER", min_value=0.0, max_value=50.0)]
+    newest = _online(spark, sf).withColumn("feature_version", F.lit("v1"))
+    bad = validate.errors(newest, validate.definitions(spark, rules)).where(
+        (F.col("feature_name") == "account_age_days") & (F.size("errors") > 0)
+    )
+    key = ["entity_id", "feature_group", "feature_name"]
+    good = newest.join(bad.select(*key), key, "left_anti")
+    return good.select(*key, "feature_value", micros("written_at").alias("written_us"))
+
+
+@query(
+    f"""WITH {TXN}, g AS (SELECT transaction_id, CAST(concat('0x', substr(md5('boost:' || entity_id), 1, 8)) AS BIGINT) % 10000 AS b, amount FROM txn)
+    SELECT transaction_id, round(CASE WHEN b < 5000 THEN 1.0 ELSE amount END, 6) AS amount FROM g"""
+)
+def ab_override(spark: SparkSession, sf: str) -> DataFrame:
+    """A feature's value in an experiment that overrides it for one variant."""
+    assigned = experiments.variant(F.col("entity_id"), "boost", [("fixed", 0.5), ("control", 0.5)])
+    value = experiments.overridden(F.col("amount"), assigned, {"fixed": 1.0})
+    return rounded(tables.transactions(spark, sf).select("transaction_id", value.alias("amount")))
+
+
 # Catalogue: definitions that the events of two half-months imply
 
 
@@ -560,8 +604,9 @@ def _ingested(spark: SparkSession, sf: str, runs: int) -> DataFrame:
     lines = tables.raw_lines(spark, sf)
     for n in range(runs):
         # Every run brings all lines once more; one stream with one checkpoint takes them up.
-        lines.write.mode("append").text(f"{folder}/lines")
-        streams.ingest(ingest.file_events(spark, f"{folder}/lines"), f"{folder}/sink", f"{folder}/checkpoint")
+        # They lie in files in no order of time, and are taken up in three micro-batches.
+        lines.repartition(6, F.xxhash64("value")).write.mode("append").text(f"{folder}/lines")
+        streams.ingest(ingest.file_events(spark, f"{folder}/lines", per_trigger=2), f"{folder}/sink", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/sink/log").groupBy("feature_group", "feature_name").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
 
 
@@ -584,9 +629,12 @@ def st_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def st_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    e = _event_stream(spark, sf)
-    twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = streams.result_of(streams.deduplicated(twice).select("event_id", "event_type"), "dedup", "append")
+    """Every event comes twice, in files in no order of time that are taken up in three micro-batches."""
+    folder = shared_folder(spark, "dedup")
+    e = tables.read(spark, sf, "events")
+    e.union(e).repartition(6, F.xxhash64("ts", F.rand(7))).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    once = streams.deduplicate(stream.select("event_id", "event_type"), f"{folder}/sink", f"{folder}/checkpoint")
     return once.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -594,13 +642,13 @@ def st_dedup(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {EVENTS}, w AS (SELECT entity_id, us, unnest(range(0, 24)) AS i FROM ev) SELECT entity_id, us // 3600000000 - i AS start_hour, count(*) AS n FROM w GROUP BY ALL"""
 )
 def st_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    counts = streams.result_of(streams.sliding_counts(_event_stream(spark, sf)), "sliding")
+    counts = streams.result_of(streams.sliding_counts(_event_stream(spark, sf)), "sliding", ["entity_id", "start"])
     return counts.select("entity_id", F.floor(micros("start") / 3_600_000_000).cast("long").alias("start_hour"), "n")
 
 
 @query(f"WITH {EVENTS} SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
 def st_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    counts = streams.result_of(streams.tumbling_counts(_event_stream(spark, sf)), "tumbling")
+    counts = streams.result_of(streams.tumbling_counts(_event_stream(spark, sf)), "tumbling", ["start", "event_type"])
     return rounded(counts.select(micros("start").alias("start_us"), "event_type", "n", "total"), 4)
 
 
@@ -609,20 +657,20 @@ def st_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT entity_id, us, sum(starts) OVER (PARTITION BY entity_id ORDER BY us) AS s FROM g) SELECT entity_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY entity_id, s"""
 )
 def st_session(spark: SparkSession, sf: str) -> DataFrame:
-    found = streams.result_of(streams.sessions(_event_stream(spark, sf)), "sessions")
+    found = streams.result_of(streams.sessions(_event_stream(spark, sf)), "sessions", mode="complete")  # Spark has no update mode for sessions
     return found.select("entity_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n")
 
 
 @query(f"WITH {EVENTS} SELECT entity_id, event_type, round(value, 6) AS value, us FROM ev QUALIFY row_number() OVER (PARTITION BY entity_id, event_type ORDER BY us DESC, event_id DESC) = 1")
 def st_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(streams.result_of(streams.latest_values(_event_stream(spark, sf)), "latest"))
+    return rounded(streams.result_of(streams.latest_values(_event_stream(spark, sf)), "latest", ["entity_id", "event_type"]))
 
 
 @query(f"WITH {TXN} SELECT is_new_merchant, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY entity_id, merchant_id ORDER BY us, transaction_id) = 1 AS is_new_merchant FROM txn) GROUP BY 1")
 def st_new_merchant(spark: SparkSession, sf: str) -> DataFrame:
     e = _event_stream(spark, sf).where("event_type = 'purchase'")
     txn = e.select(F.col("event_id").alias("transaction_id"), "entity_id", "us", F.concat(F.lit("m"), "k").alias("merchant_id"))
-    flags = streams.result_of(streams.new_merchants(txn), "merchants", "append")
+    flags = streams.result_of(streams.new_merchants(txn), "merchants", mode="append")
     return flags.groupBy("is_new_merchant").agg(F.count("*").alias("n"))
 
 

@@ -1,4 +1,8 @@
-"""The same transformations over streams. All stateful ones take a watermark column of event time."""
+"""The same transformations over streams.
+
+Windowed counts take a watermark of event time, by which Spark forgets old windows; the latest value of a key and the
+merchants that an entity has met are kept for good, one small state for each. De-duplication and ingestion keep the ids
+that earlier batches have taken up in a table beside their output, so that no event is lost for coming late."""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.operators.history import unpivot
 from cairnflow.sources.folders import shared_folder
-from cairnflow.sources.ingest import TRANSFORMERS, dead_letters, parse, route
+from cairnflow.sources.ingest import dead_letters, parse, route
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -18,57 +22,76 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     (stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
-def result_of(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The final table of an aggregation over what is there now."""
+def result_of(stream: DataFrame, name: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
+    """The final table of a query over what is there now. Every batch writes what it has changed, in a folder of its own
+    number; of the rows of a key the last one counts. keys: None if rows are only ever added, or all written anew."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
 
     def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else n}")
 
     run_available(stream, each, f"{folder}/checkpoint", mode)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    stored = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    if keys is None:
+        return stored.drop("batch")
+    rest = [c for c in stored.columns if c not in (*keys, "batch")]
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def fresh(batch: DataFrame, folder: str, n: int) -> DataFrame:
+    """Events of a batch whose ids no earlier batch has noted, each once; their ids are noted under the batch's number."""
+    once = batch.dropDuplicates(["event_id"])
+    if n > 0:
+        once = once.join(noted(batch, folder, n), "event_id", "left_anti").select(*batch.columns)
+    once = once.persist()
+    once.select("event_id").write.mode("overwrite").parquet(f"{folder}/noted/batch={n}")
+    return once
 
 
 def ingest(lines: DataFrame, folder: str, checkpoint: str) -> None:
-    """Lines of JSON to history and dead letters, by two queries over the same lines.
+    """Lines of JSON to history and dead letters.
 
     Each event is stored once, however late it comes: a batch leaves out the events whose ids earlier batches have noted.
     It writes to folders of its own number, replacing what an earlier attempt at the same batch left. Lines that can't be
     read, and records that can't be transformed, are dead letters."""
-    parsed = parse(lines)
 
     def store(batch: DataFrame, n: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"])
-        if n > 0:
-            fresh = fresh.join(noted(batch.sparkSession, folder, n), "event_id", "left_anti").select(*batch.columns)
-        fresh = fresh.persist()
-        records = route(fresh).persist()
+        batch = batch.persist()
+        dead_letters(batch).write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=line/batch={n}")
+        events = fresh(batch.where("reason IS NULL"), folder, n)
+        records = route(events).persist()
         good = records.where("reason IS NULL").drop("reason", "raw")
         features = [c for c in good.columns if c not in ("event_id", "entity_id", "occurred_at", "feature_group", "event_type")]
         log = unpivot(good, features, ["event_id", "entity_id", "feature_group", "event_type", "occurred_at"])
         log.write.mode("overwrite").parquet(f"{folder}/log/batch={n}")
         bad = records.where("reason IS NOT NULL").select(F.col("raw").alias("original"), F.col("reason").alias("failure_reason"))
         bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=record/batch={n}")
-        fresh.select("event_id").write.mode("overwrite").parquet(f"{folder}/noted/batch={n}")
-        records.unpersist()
-        fresh.unpersist()
+        for df in (records, events, batch):
+            df.unpersist()
 
-    def reject(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=line/batch={n}")
+    run_available(parse(lines), store, f"{checkpoint}/events")
 
-    run_available(parsed.where("reason IS NULL"), store, f"{checkpoint}/events")
-    run_available(dead_letters(parsed), reject, f"{checkpoint}/dead_letters")
 
-
-def noted(spark: SparkSession, folder: str, before: int) -> DataFrame:
+def noted(batch: DataFrame, folder: str, before: int) -> DataFrame:
     """Ids of the events that batches before this one have taken up."""
-    return spark.read.schema("event_id string, batch long").parquet(f"{folder}/noted").where(F.col("batch") < before).select("event_id")
+    kind = batch.schema["event_id"].dataType.simpleString()
+    known = batch.sparkSession.read.schema(f"event_id {kind}, batch long").parquet(f"{folder}/noted")
+    return known.where(F.col("batch") < before).select("event_id")
 
 
-def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each event id once; events later than the watermark are dropped."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicate(events: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Each event id once, whatever its time and batch; gives what is stored."""
+    spark = events.sparkSession
+
+    def store(batch: DataFrame, n: int) -> None:
+        once = fresh(batch, folder, n)
+        once.write.mode("overwrite").parquet(f"{folder}/events/batch={n}")
+        once.unpersist()
+
+    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{folder}/events/batch=-1")
+    run_available(events, store, checkpoint)
+    return spark.read.schema(events.schema).parquet(f"{folder}/events")
 
 
 def sliding_counts(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 day") -> DataFrame:
@@ -93,24 +116,15 @@ def latest_values(events: DataFrame) -> DataFrame:
 
 
 def new_merchants(transactions: DataFrame) -> DataFrame:
-    """Each transaction with whether its entity meets the merchant for the first time, in order of arrival. State: the
-    merchants met, for each entity."""
+    """Each transaction with whether its entity meets the merchant for the first time: the earliest of the batch in which
+    the pair first comes. State: one mark for each pair of entity and merchant, so that a busy entity is many keys."""
 
     def flag(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        met = set(state.get[0]) if state.exists else set()
-        for f in frames:
-            f = f.sort_values(["us", "transaction_id"])
-            first = []
-            for m in f["merchant_id"]:
-                first.append(m not in met)
-                met.add(m)
-            yield f[["transaction_id", "entity_id", "merchant_id"]].assign(is_new_merchant=first)
-        state.update((sorted(met),))
+        rows = pd.concat(list(frames)).sort_values(["us", "transaction_id"])
+        first = [not state.exists] + [False] * (len(rows) - 1)
+        state.update((True,))
+        yield rows[["transaction_id", "entity_id", "merchant_id"]].assign(is_new_merchant=first)
 
     rows = transactions.select("transaction_id", "entity_id", "us", "merchant_id")
     out = "transaction_id bigint, entity_id string, merchant_id string, is_new_merchant boolean"
-    return rows.groupBy("entity_id").applyInPandasWithState(flag, out, "met array<string>", "append", "NoTimeout")
-
-
-def known_types() -> tuple[str, ...]:
-    return tuple(TRANSFORMERS)
+    return rows.groupBy("entity_id", "merchant_id").applyInPandasWithState(flag, out, "met boolean", "append", "NoTimeout")
