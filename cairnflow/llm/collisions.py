@@ -122,8 +122,10 @@ class Cell:
         return q[near], v[near]
 
 
-def _units(rows: list[list[float]]) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled by the largest component first, so that no square over- or underflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, initial=0.0)[:, None]
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -137,9 +139,9 @@ def near_duplicates(
     rows = vectors.select(
         F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label")
     )
-    huge = F.lit(1e150)
+    endless = F.lit(math.inf)
     sound = F.col("label").isNotNull() & F.coalesce(
-        F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < huge)) & F.exists("v", lambda c: F.abs(c) > 1e-150), F.lit(False)
+        F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < endless)) & F.exists("v", lambda c: c != 0), F.lit(False)
     )
     rows = rows.withColumn("sound", sound)
     # Copies become one vector, whose node is their smallest key.
@@ -154,41 +156,44 @@ def near_duplicates(
             sizes = np.array([len(x) for x in v])
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                x = _units([v[i] for i in at])
-                codes = cell_codes(x, plan)
+                raw = np.array([v[i] for i in at], np.float64)
+                codes = cell_codes(_units(raw), plan)
+                packed = [y.tobytes() for y in raw.astype(carried)]
                 some = b.take(pa.array(at))
                 for t in range(plan.tables):
                     yield pa.RecordBatch.from_arrays(
                         [
                             some.column("first"), some.column("copies"),
                             pa.array([f"{d}|{t}|{c}|{g}" for c, g in zip(codes[:, t].tolist(), some.column("label").to_pylist(), strict=True)]),
-                            pa.array(codes.tolist(), pa.list_(pa.int64())),
-                            pa.array([y.tobytes() for y in x], pa.binary()),
+                            pa.array(packed, pa.binary()),
                         ],
-                        ["first", "copies", "cell", "codes", "x"],
+                        ["first", "copies", "cell", "x"],
                     )
 
+    carried = np.float32 if vectors.schema[embedding].dataType.simpleString() == "array<float>" else np.float64  # without loss
     kind = vectors.schema[key].dataType.simpleString()
-    placed = map_batches(distinct, place, f"first {kind}, copies bigint, cell string, codes array<bigint>, x binary")
-    placed = written(placed.withColumn("mix", F.xxhash64("first", "x")), f"{folder}/cells")
+    # Not written: cells are counted from one reading and dealt from another, which costs less than their disk.
+    placed = map_batches(distinct, place, f"first {kind}, copies bigint, cell string, x binary")
     # Large cells are dealt out in parts of about CELL vectors; every two parts meet in one block, and so does each part
     # with itself, so a block holds two parts at most.
     large = placed.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(F.col("count") / CELL).alias("parts"))
+    large = written(large, f"{folder}/large")
+    placed = placed.withColumn("mix", F.xxhash64("first", "x"))
     dealt = placed.join(large, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("bigint"))
     dealt = dealt.withColumn("part", F.pmod("mix", "parts"))
     meets = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
         lambda k: F.struct(F.least(k, "part").alias("low"), F.greatest(k, "part").alias("high")),
     )
-    dealt = dealt.withColumn("block", F.explode(meets)).select("first", "copies", "cell", "codes", "x", "mix", "part", "block.low", "block.high")
+    dealt = dealt.withColumn("block", F.explode(meets)).select("first", "copies", "cell", "x", "mix", "part", "block.low", "block.high")
     cells = dealt.repartition(parts, "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "mix").drop("mix")
 
     def search(batches):
         held: list[dict] = []
 
         def found():
-            x = np.stack([np.frombuffer(r["x"]) for r in held])
-            codes = np.array([r["codes"] for r in held])
+            x = _units(np.stack([np.frombuffer(r["x"], carried) for r in held]))
+            codes = cell_codes(x, plan)
             table = int(held[0]["cell"].split("|")[1])
             copies = np.array([r["copies"] for r in held])
             part, low, high = np.array([r["part"] for r in held]), held[0]["low"], held[0]["high"]
