@@ -6,11 +6,11 @@ hold no phrase and are left out. All phrases (windows of `window` words of an it
 searched backward at once, occurrences are located by sampled suffix positions, and the words that they cover are
 merged to spans.
 
-The phrases are broadcast in blocks of bounded size; more blocks mean more passes over the same rows, so a benchmark of
-any size is searched in full.
+The phrases are broadcast in blocks of bounded size, one after the other; more blocks mean more passes over the same
+rows, so a benchmark of any size is searched in full.
 
 Defined results: null and empty texts and items have no words and no hits; repeated documents each get their own
-result; items with the same id count once; an empty table on either side gives no hits; further columns are not read.
+result; items with the same id count once; the words that an item without an id hits count, but it is in no list of items; an empty table on either side gives no hits; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import extended, map_batches, text_input
+from cairnflow.llm.common import extended, map_batches, scratch, text_input, written
 from cairnflow.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 20
 SHARD_BYTES = 32 << 20
 SHARD_DOCS = 20_000
-BLOCK_CHARS = 16 << 20
-"""Characters of benchmark items in a broadcast block."""
+BLOCK_CHARS = 4 << 20
+"""Characters of benchmark items in a broadcast block. As arrays a block takes about 20 bytes of memory a character."""
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 """A word before A-Z are lower-cased."""
@@ -53,23 +53,41 @@ class Phrases:
     vocabulary: dict[bytes, int]
     patterns: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
-    """The ids of the items of each phrase."""
+    names: list[str | None]
+    """The items' ids."""
+    starts: np.ndarray
+    of: np.ndarray
+    """The items of phrase k are names[of[starts[k] : starts[k + 1]]]."""
+
+    def items(self, phrases: set[int]) -> list[str]:
+        """The ids of the items of some phrases, in order; items without an id are left out."""
+        found = {self.names[i] for k in phrases for i in self.of[self.starts[k] : self.starts[k + 1]].tolist()}
+        return sorted(found - {None})
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
+    def of_items(cls, rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
         vocabulary: dict[bytes, int] = {}
-        phrases: dict[tuple[int, ...], set[str]] = {}
-        for item, text in rows:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        windows, sizes, owners = [], [], []
+        for k, (_, text) in enumerate(rows):
+            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)), np.int32)
+            if not len(ids):
+                continue
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                phrases.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        lengths = np.array([len(p) for p in phrases], np.int64)
-        patterns = np.zeros((len(phrases), int(lengths.max()) if len(lengths) else 0), np.int64)
-        for i, p in enumerate(phrases):
-            patterns[i, : len(p)] = p
-        return cls(vocabulary, patterns, lengths, [sorted(x) for x in phrases.values()])
+            found = np.lib.stride_tricks.sliding_window_view(ids, size)
+            windows.append(found if size == window else np.pad(found, ((0, 0), (0, window - size))))
+            sizes.append(np.full(len(found), size, np.int32))
+            owners.append(np.full(len(found), k, np.int32))
+        names = [name for name, _ in rows]
+        if not windows:
+            return cls(vocabulary, np.zeros((0, 0), np.int64), np.zeros(0, np.int64), names, np.zeros(1, np.int64), np.zeros(0, np.int32))
+        # No word has the number 0, so padded windows differ from whole ones.
+        patterns, which = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        which, owner = which.ravel(), np.concatenate(owners)
+        lengths = np.zeros(len(patterns), np.int64)
+        lengths[which] = np.concatenate(sizes)
+        order = np.argsort(which, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(which, minlength=len(patterns)))]
+        return cls(vocabulary, patterns[:, : int(lengths.max())], lengths, names, starts, owner[order])
 
 
 class Shard:
@@ -170,7 +188,7 @@ def _shards(phrases: Phrases, batches):
                 b,
                 [counts[i] for i in ids],
                 [spans.get(i, []) for i in ids],
-                [sorted({x for w in found.get(i, ()) for x in phrases.items[w]}) for i in ids],
+                [phrases.items(found[i]) if i in found else [] for i in ids],
             )
 
     for b in batches:
@@ -189,7 +207,8 @@ def _shards(phrases: Phrases, batches):
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int, spark):
-    """The phrases of the items, in broadcast blocks of about BLOCK_CHARS characters."""
+    """Whether it is the last, and the phrases of the items, in broadcast blocks of about BLOCK_CHARS characters; each is
+    made when it is asked for."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(
         F.col("text").isNotNull()
     )
@@ -197,7 +216,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int, spark):
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(Phrases.of([(r["item"] or "", r["text"]) for r in part.collect()], window))
+        yield k == n - 1, spark.sparkContext.broadcast(Phrases.of_items([(r["item"], r["text"]) for r in part.collect()], window))
 
 
 _STATE = ["n_words", "word_spans", "items"]
@@ -211,9 +230,8 @@ def _search(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, wi
     found = rows.select(
         "key", "text", F.lit(0).cast("long").alias("n_words"), empty.alias("word_spans"), F.array().cast("array<string>").alias("items")
     )
-    blocks = list(_blocks(benchmark, item, item_text, window, spark))
-    for k, shared in enumerate(blocks):
-        last = finish if k == len(blocks) - 1 else None
+    for is_last, shared in _blocks(benchmark, item, item_text, window, spark):
+        last = finish if is_last else None
 
         def run(batches, shared=shared, last=last):
             for b, counts, spans, items in _shards(shared.value, batches):
@@ -233,6 +251,10 @@ def _search(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, wi
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), *state], ["key", "text", *_STATE])
 
         found = map_batches(found, run, schema if last else f"key {kind}, text string, {_FOUND}")
+        if not is_last:
+            # Each block's pass is written, so that the driver and the workers hold one block at a time.
+            found = written(found, scratch(spark, "leaks"))
+            shared.destroy()
     return found
 
 

@@ -51,7 +51,7 @@ grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS p FROM pl
 hits AS (SELECT g.doc_id, g.i, g.k, p.item_id FROM grams g JOIN phrases p ON g.k = p.k AND g.p = p.p),
 words AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM hits),
 covered AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
-pairs AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits),
+pairs AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM pairs GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
