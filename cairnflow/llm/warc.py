@@ -32,7 +32,9 @@ from cairnflow.llm.common import map_batches, scratch, written
 from cairnflow.llm.zip_directory import ZipDirectory
 
 PACKAGE_BYTES = 32 << 20
-"""Payload bytes after which a package is closed."""
+"""Packed bytes, of records of any kind and their index lines, after which a package is closed."""
+HOT_SHARE = 1_000
+"""A digest of over this part of all pages is hot: there are at most as many hot digests, so they can be broadcast."""
 RECORDS, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 DATE = "2024-01-01T00:00:00Z"
 MIN_BYTES = 0
@@ -94,7 +96,7 @@ class Package:
         packed = gzip.compress(record(page, url, payload, refers_to, revisit), 6, mtime=0)
         self.index.append(json.dumps({"page": page, "offset": self.records.tell(), "length": len(packed)}))
         self.records.write(packed)
-        self.size += 0 if revisit else len(payload)
+        self.size += len(packed) + len(self.index[-1])
         self.n += 1
 
     def dump(self) -> bytes:
@@ -115,14 +117,18 @@ def write_packages(
 ) -> DataFrame:
     """The manifest of the packages: package, bytes, records. The key must be an integer.
 
-    Which record is the response is the smallest key of each payload digest: an aggregate of narrow rows, joined back,
-    so that a payload of very many pages is spread over tasks."""
+    Which record is the response is the smallest key of each payload digest: an aggregate of narrow rows, joined back.
+    The few digests of very many pages are broadcast, so that their pages stay where they are, and the others shuffled."""
     folder = scratch(pages.sparkSession, "packages")
     rows = pages.select(
         F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("digest").agg(F.min("page").alias("first"), F.max(F.col("page").isNull()).alias("none"))
-    placed = rows.join(first, "digest").withColumn(
+    first = rows.groupBy("digest").agg(F.min("page").alias("first"), F.max(F.col("page").isNull()).alias("none"), F.count("*").alias("n"))
+    first = written(first, f"{folder}/digests")
+    hot = first.where(F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE).select("digest", "first", "none")
+    common = rows.join(F.broadcast(hot), "digest")
+    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(first.drop("n"), "digest")
+    placed = common.unionByName(others).withColumn(
         "revisit",
         (F.octet_length("html") >= min_bytes) & F.col("page").isNotNull() & ~F.col("none") & (F.col("page") > F.col("first")),
     )
