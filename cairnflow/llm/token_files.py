@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from cairnflow.llm.dac import Reader, dump
 END_ID = 2
 FILE_TOKENS = 4 << 20
 """A file is closed once it holds so many tokens; memory is this plus one document."""
-PIECE = 100_000
-"""Longest run of letters, marks or blanks that the fast encoder is given."""
+_LONG_RUN = regex.compile(r"\S{4000}|\s{4000}")
+"""The fast encoder takes quadratic time in a run, so texts with runs like this go to the library."""
 
 # Fixed value: how byte-level BPE cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,7 +61,7 @@ class ByteEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         plain = text.isascii() or _SETTLED.fullmatch(text)
-        if self.fast and plain and len(text) <= PIECE and not any(s in text for s in self.special):
+        if self.fast and plain and not _LONG_RUN.search(text) and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
