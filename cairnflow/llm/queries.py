@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import collisions, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc
-from cairnflow.llm.common import table
+from cairnflow.llm import collisions, conversations, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc
+from cairnflow.llm.common import scratch, table, written
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -166,3 +166,59 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(base), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = written(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))), scratch(spark, "repaired"))
+    whole = parts.where("part = 0").select("conv", *conversations.COUNTS, "audit")
+    hashed = conversations.digests(parts).withColumnRenamed("conv", "c")
+    both = whole.join(hashed, F.col("conv").eqNullSafe(F.col("c")))
+    return both.select(F.col("conv").alias("conv_id"), *conversations.COUNTS, "audit", "repaired_sha256")
+
+
+def _step(state: str, cost: str, edit: str, line: str | None = None) -> str:
+    """SQL: a state after one more edit; line: what the edit adds to the repaired text."""
+    text = f"{state}.r" if line is None else f"{state}.r || chr(10) || {line}"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {text}}} END"
+
+
+_KEPT, _CLIP = "role || ':' || text", "(CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END)"
+_GOES, _BEGIN = "fault IN ('blank', 'duplicate')", "substr(role, 1, 1)"
+_MADE = "'user:' || text", "'assistant:' || text"
+_WHITE = r"[\x20\x09-\x0D]"
+ORACLES["op13_conversations"] = f"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+bits AS (SELECT *, flatten([[ord(substr(k, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, len(k) + 1)]) AS steps FROM named),
+drawn AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(steps, lambda x: x::BIGINT),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS f FROM bits),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (SELECT *, lag({_BEGIN}) OVER (PARTITION BY conv_id ORDER BY i) || {_BEGIN} AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?]{_WHITE}*\\z') THEN 'truncated' END AS fault FROM placed),
+walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s1,
+           {{'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2, {{'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM conversations
+    UNION ALL
+    SELECT conv_id, i, s0, s1, least(u2, {_step("a1", "3", "I", "'user:'")}), a1 FROM (
+        SELECT *, least(a, {_step("u2", "3", "I", "'assistant:'")}) AS a1 FROM (
+            SELECT *, least(u, {_step("s0", "3", "I", "'user:'")}, {_step("s1", "3", "I", "'user:'")}, {_step("a", "3", "I", "'user:'")}) AS u2 FROM (
+                SELECT w.conv_id, j.i, {_step("w.s0", "4", "D")} AS s0,
+                       least({_step("w.s1", "4", "D")}, CASE WHEN NOT coalesce({_GOES}, false) AND {_BEGIN} = 's' THEN {_step("w.s0", _CLIP, "K", _KEPT)} END) AS s1,
+                       least({_step("w.s2", "4", "D")},
+                             {", ".join(f"CASE WHEN NOT coalesce({_GOES}, false) THEN {_step(s, '3 + ' + _CLIP, 'R', _MADE[0])} END, CASE WHEN NOT coalesce({_GOES}, false) AND {_BEGIN} = 'u' THEN {_step(s, _CLIP, 'K', _KEPT)} END" for s in ("w.s0", "w.s1", "w.s3"))}) AS u,
+                       least({_step("w.s3", "4", "D")}, CASE WHEN NOT coalesce({_GOES}, false) THEN {_step("w.s2", "3 + " + _CLIP, "R", _MADE[1])} END,
+                             CASE WHEN NOT coalesce({_GOES}, false) AND {_BEGIN} = 'a' THEN {_step("w.s2", _CLIP, "K", _KEPT)} END) AS a
+                FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1)))),
+ends AS (SELECT conv_id, CASE WHEN s0 <= s3 THEN s0 ELSE s3 END AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+           count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
