@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import collisions, conversations, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc
+from cairnflow.llm import collisions, conversations, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc, whitening
 from cairnflow.llm.common import scratch, table, written
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -168,6 +168,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.transform(vectors, whitening.fit(vectors))
+
+
 @query
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = written(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))), scratch(spark, "repaired"))
