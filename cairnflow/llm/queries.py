@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import collisions, conversations, decontaminate, extract, quality, secrets, simhash, token_files, tokenize, toxicity, warc, whitening
+from cairnflow.llm import collisions, conversations, decontaminate, extract, quality, repeats, secrets, simhash, token_files, tokenize, toxicity, warc, whitening
 from cairnflow.llm.common import scratch, table, written
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -174,6 +174,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.transform(vectors, whitening.fit(vectors))
 
 
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = written(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))), scratch(spark, "repaired"))
