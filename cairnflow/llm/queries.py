@@ -181,6 +181,24 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op12_repeats"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM d),
+hashed AS (SELECT doc_id, i, md5(b[i + 1:i + 100]) AS m FROM windows),
+again AS (SELECT doc_id, i FROM hashed QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+ends AS (SELECT doc_id, max(z) AS a, count(*) AS n_spans, sum(z - a) AS n_removed FROM spans GROUP BY doc_id),
+pieces AS (SELECT doc_id, a, z FROM gaps UNION ALL SELECT d.doc_id, coalesce(e.a, 0), octet_length(b) FROM d LEFT JOIN ends e USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(hex(b[p.a + 1:p.z]), '' ORDER BY p.a, p.z) AS digits FROM pieces p JOIN d USING (doc_id) WHERE p.z > p.a GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(coalesce(unhex(digits), ''::BLOB)) AS kept_sha256
+FROM d LEFT JOIN ends USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = written(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))), scratch(spark, "repaired"))
