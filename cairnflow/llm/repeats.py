@@ -21,32 +21,23 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import suffix_array
 from cairnflow.llm.common import map_batches, scratch, written
+from cairnflow.llm.filters import MOST_BYTES, MULTIPLIERS, Filter, key_filter, mixed, runs
 
 LENGTH = 100
 HOT_BYTES = 4 << 20
 """Fragments of one key that one block takes; keys with more are filed anew."""
 BLOCK_BYTES = 2 << 20
-FILTER_BYTES = 32 << 20
-"""The largest filter of keys that is sent to all tasks; beyond it fragments are joined with the keys."""
 SALTS = 64
 TEXT_BYTES = 1 << 19
 """Longer texts are taken in pieces, so that the work on one has bounded memory."""
 _POSITION = np.uint64((1 << 20) - 1)
-# Odd multipliers for mixing bits.
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_BYTE = (np.arange(1, 257, dtype=np.uint64) * _M[0]) ^ ((np.arange(1, 257, dtype=np.uint64) * _M[1]) >> np.uint64(23))
+_BYTE = (np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0]) ^ ((np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) >> np.uint64(23))
 
 Place = "doc bigint, tie binary, start bigint, n bigint"
 """A run of n windows of a document, from byte start on. With a body it is a fragment; without, the windows have all
 occurred before."""
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M[2]
-    h = (h ^ (h >> np.uint64(29))) * _M[1]
-    return h ^ (h >> np.uint64(32))
-
-
 class Prints:
     """Hashes of all parts of a text of any one length, from hashes of parts of 1, 2, 4, ... bytes."""
 
@@ -58,11 +49,11 @@ class Prints:
         top = length.bit_length() - 1
         while len(self.powers) <= top:
             h, n = self.powers[-1], 1 << (len(self.powers) - 1)
-            h = h[:-n] * _M[1] + h[n:]
+            h = h[:-n] * MULTIPLIERS[1] + h[n:]
             self.powers.append(h ^ (h >> np.uint64(29)))
         h, m = self.powers[top], len(self.bytes) - length + 1
         rest = length - (1 << top)
-        return mixed(h[:m] * _M[0] + h[rest : rest + m])
+        return mixed(h[:m] * MULTIPLIERS[0] + h[rest : rest + m])
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,15 +74,6 @@ def anchors(prints: Prints, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the stretches over which all keys stay the same."""
-    cut = np.zeros(max(0, len(keys[0]) - 1), bool)
-    for k in keys:
-        cut |= k[1:] != k[:-1]
-    cut = np.flatnonzero(cut) + 1
-    return np.concatenate([[0], cut]), np.concatenate([cut, [len(keys[0])]])
-
-
 def finer(prints: Prints, at: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
     """New keys of windows: by the bytes that all windows share whose least part is about as far from their start."""
     step = max(1, length // 12)
@@ -100,60 +82,6 @@ def finer(prints: Prints, at: np.ndarray, keys: np.ndarray, length: int) -> np.n
     return mixed(keys ^ mixed(core[at - step * group] + group.astype(np.uint64)))
 
 
-# Filters of keys
-
-
-class Filter:
-    """Which keys may be in a set: each sets four bits of one word, at 16 bits for a key. False answers are all yes."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def size(keys: int) -> int:
-        return 1 << max(6, (keys * 16 // 64).bit_length())
-
-    @staticmethod
-    def places(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mixed(keys ^ _M[1])
-        bits = np.zeros(len(h), np.uint64)
-        for shift in (0, 6, 12, 18):
-            bits |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
-        return ((h >> np.uint64(24)) & np.uint64(words - 1)).astype(np.int64), bits
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        word, bits = self.places(keys, len(self.words))
-        return (self.words[word] & bits) == bits
-
-
-SEGMENT = 1 << 13
-
-
-def key_filter(keys: DataFrame, count: int) -> Filter:
-    """The filter of a table of keys; its segments are filled in tasks. Its size has to be checked before."""
-    words = Filter.size(count)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            word, bits = Filter.places(batch.column("key").to_numpy().view(np.uint64), words)
-            order = np.argsort(word, kind="stable")
-            word, bits = word[order], bits[order]
-            a, b = runs(word // SEGMENT) if len(word) else ([], [])
-            for i, j in zip(a, b, strict=True):
-                part = parts.setdefault(int(word[i]) // SEGMENT, np.zeros(min(SEGMENT, words), np.uint64))
-                np.bitwise_or.at(part, word[i:j] % SEGMENT, bits[i:j])
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["segment", "words"])
-
-    out = np.zeros(words, np.uint64)
-    tasks = max(1, min(words // SEGMENT, 64))
-    for row in map_batches(keys.select("key").repartition(tasks), fill, "segment bigint, words binary", rows=65_536).toLocalIterator():
-        a = row.segment * SEGMENT
-        part = np.frombuffer(row.words, np.uint64)
-        out[a : a + len(part)] |= part
-    return Filter(out)
-
-
 # Fragments of texts
 
 
@@ -370,7 +298,7 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("tie"), body.cast("binary").alias("body"))
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def repeated_runs(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES, filter_bytes: int = MOST_BYTES) -> DataFrame:
     """doc, tie, start and n: runs of windows that occurred before. texts: as documents() gives them."""
     spark = texts.sparkSession
     folder = scratch(spark, "repeats")
@@ -426,7 +354,7 @@ def _with_keys(texts: DataFrame, keys: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, filter_bytes: int = FILTER_BYTES
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, filter_bytes: int = MOST_BYTES
 ) -> DataFrame:
     """Of every row: key, n_bytes, spans (start and end of the bytes to remove: every byte of a window of `length` bytes that
     occurred earlier, in a smaller document or before in the same one) and kept, the bytes that are left."""

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairnflow.llm import repeats, suffix_array
+from cairnflow.llm import filters, repeats, suffix_array
 
 SCHEMA = "doc_id long, text string, doc string, tie int, body string, key int"
 
@@ -127,6 +127,6 @@ def test_windows_with_one_least_part_share_their_core():
 def test_filters_forget_nothing(spark):
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 30_000)
     df = spark.createDataFrame([(int(k),) for k in keys[:20_000]], "key long")
-    has = repeats.key_filter(df, 20_000).has(keys.view(np.uint64))
+    has = filters.key_filter(df, 20_000).has(keys.view(np.uint64))
     assert has[:20_000].all() and has[20_000:].mean() < 0.05
-    assert not repeats.key_filter(df.limit(0), 0).has(keys.view(np.uint64)).any()
+    assert not filters.key_filter(df.limit(0), 0).has(keys.view(np.uint64)).any()
