@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import decision, json_of, micros
-from cairnflow.operators import catalog, experiments, history, ml, online, rolling, validate
+from cairnflow.operators import catalog, counters, experiments, history, ml, online, rolling, validate
 from cairnflow.plans.registry import EVENTS, LOG, TXN, query
 from cairnflow.plans.rolling import rounded
 from cairnflow.sources import ingest, tables
@@ -588,12 +588,19 @@ def lineage_closure(spark: SparkSession, sf: str) -> DataFrame:
 # Streams over a file source, run until what is there is used up
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    table = tables.read(spark, sf, "events")
-    source = spark.readStream.schema(table.schema)
-    single = table.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders: here that of a single file
-    e = source.option("pathGlobFilter", "events.parquet").parquet(sf) if single else source.parquet(f"{sf}/events.parquet")
-    return e.select(
+def _event_stream(spark: SparkSession, sf: str, order: str = "none") -> DataFrame:
+    """Events in six files that are taken up two at a time: in no order of time, or, for what forgets, by time."""
+    folder = shared_folder(spark, "events")
+    e = tables.read(spark, sf, "events")
+    if order == "none":
+        e.repartition(6, F.xxhash64("event_id")).write.parquet(folder)
+    else:
+        first, last = e.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+        for third in range(3):
+            part = F.least(F.lit(2), F.floor((micros("ts") - first) * 3 / F.greatest(F.lit(1), F.lit(last - first))))
+            e.where(part == third).repartition(2, "event_id").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return stream.select(
         "event_id", F.col("user_id").cast("string").alias("entity_id"), F.col("ts").cast("timestamp").alias("timestamp"), micros("ts").alias("us"),
         "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
@@ -642,35 +649,131 @@ def st_dedup(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {EVENTS}, w AS (SELECT entity_id, us, unnest(range(0, 24)) AS i FROM ev) SELECT entity_id, us // 3600000000 - i AS start_hour, count(*) AS n FROM w GROUP BY ALL"""
 )
 def st_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    counts = streams.result_of(streams.sliding_counts(_event_stream(spark, sf)), "sliding", ["entity_id", "start"])
+    counts = streams.sliding_counts(shared_folder(spark, "sliding")).run(_event_stream(spark, sf))
     return counts.select("entity_id", F.floor(micros("start") / 3_600_000_000).cast("long").alias("start_hour"), "n")
 
 
 @query(f"WITH {EVENTS} SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
 def st_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    counts = streams.result_of(streams.tumbling_counts(_event_stream(spark, sf)), "tumbling", ["start", "event_type"])
+    counts = streams.tumbling_counts(shared_folder(spark, "tumbling")).run(_event_stream(spark, sf))
     return rounded(counts.select(micros("start").alias("start_us"), "event_type", "n", "total"), 4)
 
 
-@query(
-    f"""WITH {EVENTS}, g AS (SELECT entity_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY entity_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS starts FROM ev),
-    s AS (SELECT entity_id, us, sum(starts) OVER (PARTITION BY entity_id ORDER BY us) AS s FROM g) SELECT entity_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY entity_id, s"""
-)
+_SESSIONS = f"""WITH {EVENTS}, g AS (SELECT entity_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY entity_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS starts FROM ev),
+    s AS (SELECT entity_id, us, sum(starts) OVER (PARTITION BY entity_id ORDER BY us) AS s FROM g)"""
+
+
+@query(f"{_SESSIONS} SELECT entity_id, min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY entity_id, s")
 def st_session(spark: SparkSession, sf: str) -> DataFrame:
-    found = streams.result_of(streams.sessions(_event_stream(spark, sf)), "sessions", mode="complete")  # Spark has no update mode for sessions
+    found = streams.sessions(shared_folder(spark, "sessions")).run(_event_stream(spark, sf))
     return found.select("entity_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n")
 
 
 @query(f"WITH {EVENTS} SELECT entity_id, event_type, round(value, 6) AS value, us FROM ev QUALIFY row_number() OVER (PARTITION BY entity_id, event_type ORDER BY us DESC, event_id DESC) = 1")
 def st_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(streams.result_of(streams.latest_values(_event_stream(spark, sf)), "latest", ["entity_id", "event_type"]))
+    return rounded(streams.latest_values(_event_stream(spark, sf), shared_folder(spark, "latest")).drop("event_id"))
 
 
-@query(f"WITH {TXN} SELECT is_new_merchant, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY entity_id, merchant_id ORDER BY us, transaction_id) = 1 AS is_new_merchant FROM txn) GROUP BY 1")
-def st_new_merchant(spark: SparkSession, sf: str) -> DataFrame:
+def _first_meetings(spark: SparkSession, sf: str) -> DataFrame:
     e = _event_stream(spark, sf).where("event_type = 'purchase'")
     txn = e.select(F.col("event_id").alias("transaction_id"), "entity_id", "us", F.concat(F.lit("m"), "k").alias("merchant_id"))
-    flags = streams.result_of(streams.new_merchants(txn), "merchants", mode="append")
-    return flags.groupBy("is_new_merchant").agg(F.count("*").alias("n"))
+    return streams.new_merchants(txn, shared_folder(spark, "merchants"))
 
 
+@query(f"WITH {TXN} SELECT is_new_merchant, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY entity_id, merchant_id ORDER BY us, transaction_id) = 1 AS is_new_merchant FROM txn) GROUP BY 1")
+def st_new_merchant(spark: SparkSession, sf: str) -> DataFrame:
+    return _first_meetings(spark, sf).groupBy("is_new_merchant").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TXN} SELECT transaction_id, entity_id, us, merchant_id, row_number() OVER (PARTITION BY entity_id, merchant_id ORDER BY us, transaction_id) = 1 AS is_new_merchant FROM txn")
+def st_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """The flag of every transaction, from batches in no order of time."""
+    return _first_meetings(spark, sf)
+
+
+_EXPIRY_DELAY = 3_600_000
+
+
+@query(
+    f"""WITH {EVENTS}, w AS (SELECT entity_id, CASE WHEN event_type = 'purchase' THEN 'transaction' ELSE 'user' END AS feature_group, us FROM ev WHERE event_type IN ('purchase', 'view', 'signup')),
+    n AS (SELECT *, lead(us) OVER (PARTITION BY entity_id, feature_group ORDER BY us) AS next, (SELECT max(us) FROM w) // 1000 - {_EXPIRY_DELAY} AS mark FROM w)
+    SELECT entity_id, feature_group, us AS last_us, us + {TTL}000000 AS expired_us FROM n WHERE next - us > {TTL}000000 OR (next IS NULL AND (us + {TTL}000000 + 999) // 1000 < mark)"""
+)
+def st_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """When each group of an entity expires, a time to live after its last write: as it happens, in the stream."""
+    e = _event_stream(spark, sf, order="time").where("event_type IN ('purchase', 'view', 'signup')")
+    group = F.when(F.col("event_type") == "purchase", "transaction").otherwise("user")
+    gone = streams.expiries(e.withColumn("feature_group", group), TTL * 1_000_000)
+    return streams.stored(gone, shared_folder(spark, "expiry"), "expired")
+
+
+# Ingestion with rules: log, latest values, dead letters and counters of one stream
+
+_RULES = (
+    validate.Definition("transaction", "v1", "transaction_amount", "FLOAT", min_value=5.0, max_value=300.0),
+    validate.Definition("transaction", "v1", "transaction_currency", "STRING", pattern="[A-Z]{3}"),
+    validate.Definition("transaction", "v1", "merchant_id", "STRING", not_null=False),
+    validate.Definition("transaction", "v1", "merchant_category", "STRING", not_null=False),
+    validate.Definition("transaction", "v1", "is_online", "BOOLEAN", not_null=False),
+    *(d for d in validate.DEFAULTS if d.feature_group == "user" and d.feature_name != "login_ip_country"),
+    validate.Definition("user", "v1", "login_ip_country", "STRING", allowed=("DE",)),
+)
+_VALUES = f"""WITH {EVENTS}, sane AS (SELECT *, CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE) AS amount FROM ev WHERE event_type IN ('purchase', 'view', 'signup') AND NOT (event_type = 'purchase' AND event_id % 7 = 0)),
+    marked AS (SELECT *, CASE WHEN event_type = 'purchase' AND amount < 5 THEN 'transaction_amount: below minimum' WHEN event_type = 'purchase' AND amount > 300 THEN 'transaction_amount: above maximum'
+        WHEN event_type = 'view' AND k % 5 = 0 THEN 'login_ip_country: value not allowed' END AS fault FROM sane),
+    good AS (SELECT * FROM marked WHERE fault IS NULL),
+    vals AS (SELECT event_id, entity_id, us, CASE WHEN event_type = 'purchase' THEN 'transaction' ELSE 'user' END AS feature_group, unnest(CASE event_type
+        WHEN 'purchase' THEN [{{{{'f': 'transaction_amount', 'v': NULL}}}}, {{{{'f': 'transaction_currency', 'v': CASE WHEN k % 3 = 0 THEN '"EUR"' ELSE '"USD"' END}}}}, {{{{'f': 'merchant_id', 'v': '"m' || k || '"'}}}}, {{{{'f': 'merchant_category', 'v': '"unknown"'}}}}, {{{{'f': 'is_online', 'v': 'false'}}}}]
+        WHEN 'view' THEN [{{{{'f': 'last_login_timestamp', 'v': '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"'}}}}, {{{{'f': 'login_device', 'v': '"d' || (k % 4) || '"'}}}}, {{{{'f': 'login_ip_country', 'v': '"DE"'}}}}]
+        ELSE [{{{{'f': 'account_age_days', 'v': k::VARCHAR}}}}, {{{{'f': 'kyc_verified', 'v': CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END}}}}, {{{{'f': 'preferred_currency', 'v': '"USD"'}}}}] END) AS p, amount FROM good),
+    long AS (SELECT event_id::VARCHAR AS event_id, entity_id, us, feature_group, p.f AS feature_name, p.v AS feature_value, CASE WHEN p.f = 'transaction_amount' THEN amount END AS number FROM vals)""".replace("{{", "{").replace("}}", "}")
+
+
+def _validated(spark: SparkSession, sf: str):
+    """All lines twice, in six files in no order of time, taken up two at a time."""
+    folder = shared_folder(spark, "validated")
+    lines = tables.raw_lines(spark, sf)
+    lines.unionByName(lines).repartition(6, F.xxhash64("value", F.rand(7))).write.text(f"{folder}/lines")
+    rules = validate.definitions(spark, _RULES)
+    return streams.ingest(ingest.file_events(spark, f"{folder}/lines", per_trigger=2), f"{folder}/sink", f"{folder}/checkpoint", rules)
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Amounts as numbers, since their last digits are written in other ways elsewhere."""
+    amount = F.col("feature_name") == "transaction_amount"
+    rows = rows.withColumn("number", F.round(F.when(amount, F.col("feature_value").cast("double")), 4)).withColumn("feature_value", F.when(~amount, F.col("feature_value")))
+    return rows.select("event_id", "entity_id", micros("occurred_at").alias("us"), "feature_group", "feature_name", "feature_value", "number")
+
+
+@query(f"{_VALUES} SELECT * FROM long")
+def st_validated_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of valid records."""
+    return _typed(_validated(spark, sf).read("log", streams.VALUE))
+
+
+@query(f"{_VALUES} SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY entity_id, feature_group, feature_name ORDER BY us DESC, event_id DESC) = 1")
+def st_validated_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest valid value of each feature: an invalid one leaves the one before it in place."""
+    return _typed(_validated(spark, sf).read("latest", streams.LATEST))
+
+
+@query(
+    f"""{_VALUES} SELECT 'line' AS kind, event_id::VARCHAR AS event_id, 'missing or invalid entity_id' AS failure_reason FROM ev WHERE event_type = 'error'
+    UNION ALL SELECT 'record', event_id::VARCHAR, 'amount is not a number' FROM ev WHERE event_type = 'purchase' AND event_id % 7 = 0
+    UNION ALL SELECT 'values', event_id::VARCHAR, fault FROM marked WHERE fault IS NOT NULL"""
+)
+def st_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    letters = _validated(spark, sf).read("dead_letters", streams.LETTER)
+    return letters.select("kind", F.get_json_object("original", "$.event_id").alias("event_id"), "failure_reason")
+
+
+@query(
+    f"""{_VALUES} SELECT 'events' AS counter, CASE WHEN event_type IN ('purchase', 'view', 'signup') THEN {_KIND} ELSE 'other' END AS label, count(*) AS n FROM ev GROUP BY ALL
+    UNION ALL SELECT 'unreadable', 'missing or invalid entity_id', count(*) FROM ev WHERE event_type = 'error' UNION ALL SELECT 'values', 'log', count(*) FROM long
+    UNION ALL SELECT 'dead_letters', 'line', count(*) FROM ev WHERE event_type = 'error' UNION ALL SELECT 'dead_letters', 'record', count(*) FROM ev WHERE event_type = 'purchase' AND event_id % 7 = 0
+    UNION ALL SELECT 'dead_letters', 'values', count(*) FROM marked WHERE fault IS NOT NULL"""
+)
+def st_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that the batches of a stream have taken down while they wrote its tables."""
+    counted = _validated(spark, sf).read("counters", counters.COUNTERS)
+    return counted.groupBy("counter", "label").agg(F.sum("n").alias("n"))

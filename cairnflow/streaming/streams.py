@@ -1,130 +1,304 @@
-"""The same transformations over streams.
+"""The same transformations over streams, exact whatever the order in which events come.
 
-Windowed counts take a watermark of event time, by which Spark forgets old windows; the latest value of a key and the
-merchants that an entity has met are kept for good, one small state for each. De-duplication and ingestion keep the ids
-that earlier batches have taken up in a table beside their output, so that no event is lost for coming late."""
+Micro-batches change tables of a Snapshots folder, each by one commit that also notes the batch, so a batch that is run
+again changes nothing. Windowed counts are kept as what each batch adds to a window: an event that comes late adds to an
+old window like any other, is marked as late, and is never dropped. Tables of one row for a key (latest values, first
+meetings) are merged file by file. Ids for de-duplication are looked up one by one in a state store on disk, so what a batch
+reads does not grow with the history."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cairnflow.operators import counters, validate
 from cairnflow.operators.history import unpivot
-from cairnflow.sources.folders import shared_folder
-from cairnflow.sources.ingest import dead_letters, parse, route
+from cairnflow.sources.ingest import REQUIRED, TRANSFORMERS, parse, route
+from cairnflow.sources.snapshots import Change, Snapshots, newest
+
+MOST_DELTAS = 64
+"""Files of what batches add to windows; where there are more, they are added up to one."""
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB: point look-ups with filters of its own, not a map in memory."""
+    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    for k, v in _ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", name: str | None = None) -> None:
+    """Process what is there now, with exactly one sink call per micro-batch id, and stop."""
+    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with _state_on_disk(stream.sparkSession):
+        query = (writer.queryName(name) if name else writer).start()
+        query.awaitTermination()
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process what is there now, with exactly one sink call per micro-batch id, and stop."""
-    (stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+Write = Callable[[DataFrame, int], tuple[dict[str, Change], dict]]
 
 
-def result_of(stream: DataFrame, name: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
-    """The final table of a query over what is there now. Every batch writes what it has changed, in a folder of its own
-    number; of the rows of a key the last one counts. keys: None if rows are only ever added, or all written anew."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
+def committing(store: Snapshots, query: str, write: Write) -> Callable[[DataFrame, int], None]:
+    """Batches of a query to commits. write gives the changes and further marks; a batch that is in already is left alone."""
 
     def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else n}")
+        if store.manifest()["marks"].get(query, -1) >= n:
+            return
+        changes, marks = write(batch, n)
+        store.commit(changes, {query: n, **marks})
+
+    return each
+
+
+# Ingestion
+
+VALUE = "event_id string, entity_id string, feature_group string, event_type string, occurred_at timestamp, feature_name string, feature_value string"
+LETTER = "kind string, original string, failure_reason string"
+LATEST = "entity_id string, feature_group string, feature_name string, feature_value string, occurred_at timestamp, event_id string"
+LATEST_KEY = ["entity_id", "feature_group", "feature_name"]
+IDS = ["event_id", "entity_id", "feature_group", "event_type", "occurred_at"]
+
+
+def once(parsed: DataFrame) -> DataFrame:
+    """Each event id once, however late it comes again, and each unreadable line once."""
+    said = F.when(F.col("reason").isNull(), F.concat(F.lit("e"), "event_id")).otherwise(F.concat(F.lit("l"), F.sha2("raw", 256)))
+    return parsed.withColumn("_said", said).dropDuplicates(["_said"]).drop("_said")
+
+
+def ingest(lines: DataFrame, folder: str, checkpoint: str, definitions: DataFrame | None = None) -> Snapshots:
+    """Lines of JSON to four tables that change together: log (a row for each feature value), latest (the newest value of
+    each feature of an entity), dead_letters and counters.
+
+    Lines that can't be read, records that can't be transformed and, with definitions, records with a value that breaks a
+    rule are dead letters, whole, before anything is written of them. Each event counts once, however late it comes."""
+    store = Snapshots(lines.sparkSession, folder)
+    kinds = ("line", "record")
+
+    def write(batch: DataFrame, n: int) -> tuple[dict[str, Change], dict]:
+        read = counters.Counted("ingest", [
+            *counters.by_value("events", F.col("event_type"), TRANSFORMERS, other="other"),
+            *counters.by_value("unreadable", F.col("reason"), [f"missing or invalid {f}" for f in REQUIRED]),
+        ], n)
+        batch = read.over(batch).persist()
+        records = route(batch).persist()
+        plain = [c for c in records.columns if c not in (*IDS, "reason", "raw")]
+        values = unpivot(records.where("reason IS NULL").drop("reason"), plain, [*IDS, "raw"])
+        if definitions is not None:
+            checked = validate.errors(values.withColumn("feature_version", F.lit("v1")), definitions)
+            checked = checked.withColumn("broken", F.max(F.size("errors") > 0).over(Window.partitionBy("event_id"))).persist()
+            broken = checked.where("broken").groupBy("event_id").agg(F.first("raw").alias("original"), F.array_join(F.array_sort(F.flatten(F.collect_list("errors"))), "; ").alias("failure_reason"))
+            values, invalid = checked.where("NOT broken"), broken.select(F.lit("values").alias("kind"), "original", "failure_reason")
+        else:
+            checked, invalid = None, None
+        letters = [
+            df.where("reason IS NOT NULL").select(F.lit(kind).alias("kind"), F.col("raw").alias("original"), F.col("reason").alias("failure_reason"))
+            for kind, df in zip(kinds, (batch, records), strict=True)
+        ]
+        dead = letters[0].unionByName(letters[1])
+        dead = dead if invalid is None else dead.unionByName(invalid)
+        kept = counters.Counted("ingest", [("values", "log", F.count(F.lit(1)))], n)
+        left = counters.Counted("ingest", counters.by_value("dead_letters", F.col("kind"), (*kinds, "values")), n)
+        log = values.select(*IDS, "feature_name", "feature_value")
+        changes = {"log": store.append("log", kept.over(log)), "dead_letters": store.append("dead_letters", left.over(dead))}
+        latest = log.select(*LATEST_KEY, "feature_value", "occurred_at", "event_id")
+        changes["latest"] = store.merge("latest", latest, LATEST_KEY, [F.col("occurred_at"), F.col("event_id")])
+        counted = [*read.rows(), *kept.rows(), *left.rows()]
+        changes["counters"] = store.append("counters", counters.table(store.spark, counted).coalesce(1))
+        for df in (checked, records, batch):
+            if df is not None:
+                df.unpersist()
+        return changes, {}
+
+    run_available(once(parse(lines)), committing(store, "ingest", write), f"{checkpoint}/events")
+    return store
 
-    run_available(stream, each, f"{folder}/checkpoint", mode)
-    stored = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
-    if keys is None:
-        return stored.drop("batch")
-    rest = [c for c in stored.columns if c not in (*keys, "batch")]
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
+def deduplicate(events: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Each event id once, whatever its time and batch; gives what is stored."""
+    store = Snapshots(events.sparkSession, folder)
+    run_available(events.dropDuplicates(["event_id"]), committing(store, "deduplicate", lambda batch, n: ({"events": store.append("events", batch)}, {})), checkpoint)
+    return store.read("events", events.schema)
 
-def fresh(batch: DataFrame, folder: str, n: int) -> DataFrame:
-    """Events of a batch whose ids no earlier batch has noted, each once; their ids are noted under the batch's number."""
-    once = batch.dropDuplicates(["event_id"])
-    if n > 0:
-        once = once.join(noted(batch, folder, n), "event_id", "left_anti").select(*batch.columns)
-    once = once.persist()
-    once.select("event_id").write.mode("overwrite").parquet(f"{folder}/noted/batch={n}")
-    return once
 
+# Windows
 
-def ingest(lines: DataFrame, folder: str, checkpoint: str) -> None:
-    """Lines of JSON to history and dead letters.
 
-    Each event is stored once, however late it comes: a batch leaves out the events whose ids earlier batches have noted.
-    It writes to folders of its own number, replacing what an earlier attempt at the same batch left. Lines that can't be
-    read, and records that can't be transformed, are dead letters."""
+class Deltas:
+    """A table of what each batch adds, and how additions make the whole."""
 
-    def store(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        dead_letters(batch).write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=line/batch={n}")
-        events = fresh(batch.where("reason IS NULL"), folder, n)
-        records = route(events).persist()
-        good = records.where("reason IS NULL").drop("reason", "raw")
-        features = [c for c in good.columns if c not in ("event_id", "entity_id", "occurred_at", "feature_group", "event_type")]
-        log = unpivot(good, features, ["event_id", "entity_id", "feature_group", "event_type", "occurred_at"])
-        log.write.mode("overwrite").parquet(f"{folder}/log/batch={n}")
-        bad = records.where("reason IS NOT NULL").select(F.col("raw").alias("original"), F.col("reason").alias("failure_reason"))
-        bad.write.mode("overwrite").parquet(f"{folder}/dead_letters/kind=record/batch={n}")
-        for df in (records, events, batch):
-            df.unpersist()
+    def __init__(self, folder: str, name: str, add: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame], delay: int = 86_400_000_000):
+        """add: rows of a batch, with `late`, to additions (any number of rows of a key). whole: additions to the result;
+        it has to give the same for the result of some of the additions and the others. delay: microseconds behind the
+        newest event of earlier batches from which an event is late; late additions are marked, and count like others."""
+        self.folder, self.name, self.add, self.whole, self.delay = folder, name, add, whole, delay
 
-    run_available(parse(lines), store, f"{checkpoint}/events")
+    def run(self, events: DataFrame) -> DataFrame:
+        """Take up what there is; gives the result, with the number of events of each key that came late."""
+        store = Snapshots(events.sparkSession, self.folder)
+        schema: list[T.StructType] = []
 
+        def write(batch: DataFrame, n: int) -> tuple[dict[str, Change], dict]:
+            marks = store.manifest()["marks"]
+            seen = marks.get(f"{self.name}:newest")
+            late = F.lit(False) if seen is None else F.col("us") < seen - self.delay
+            count = counters.Counted(self.name, [("events", "late", F.count(F.when(F.col("late"), 1))), ("events", "all", F.count(F.lit(1))), ("events", "newest", F.max("us"))], n)
+            added = self.add(count.over(batch.withColumn("late", late)))
+            schema.append(added.schema)
+            change = store.append(self.name, added)
+            files = store.files(self.name)
+            if len(files) >= MOST_DELTAS:
+                sum_ = store.append(self.name, self.whole(store.read(self.name, added.schema)).select(*added.columns))
+                change = Change(sum_.added + change.added, set(files))
+            counted = count.rows()
+            top = max([seen or 0, *(c[4] for c in counted if c[3] == "newest")])
+            rows = [c for c in counted if c[3] != "newest"]
+            changes = {self.name: change, "counters": store.append("counters", counters.table(store.spark, rows).coalesce(1))}
+            return changes, {f"{self.name}:newest": top}
 
-def noted(batch: DataFrame, folder: str, before: int) -> DataFrame:
-    """Ids of the events that batches before this one have taken up."""
-    kind = batch.schema["event_id"].dataType.simpleString()
-    known = batch.sparkSession.read.schema(f"event_id {kind}, batch long").parquet(f"{folder}/noted")
-    return known.where(F.col("batch") < before).select("event_id")
+        run_available(events, committing(store, self.name, write), f"{self.folder}/checkpoint-{self.name}")
+        kind = schema[0] if schema else self.add(events.sparkSession.createDataFrame([], events.schema).withColumn("late", F.lit(False))).schema
+        return self.whole(store.read(self.name, kind))
 
+    def counted(self, spark: SparkSession) -> DataFrame:
+        """Events, and late ones, of each batch."""
+        return Snapshots(spark, self.folder).read("counters", counters.COUNTERS).where(F.col("job") == self.name)
 
-def deduplicate(events: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Each event id once, whatever its time and batch; gives what is stored."""
-    spark = events.sparkSession
 
-    def store(batch: DataFrame, n: int) -> None:
-        once = fresh(batch, folder, n)
-        once.write.mode("overwrite").parquet(f"{folder}/events/batch={n}")
-        once.unpersist()
+def _late() -> Column:
+    return F.sum(F.col("late").cast("long")).alias("late")
 
-    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{folder}/events/batch=-1")
-    run_available(events, store, checkpoint)
-    return spark.read.schema(events.schema).parquet(f"{folder}/events")
 
+def _added_up(keys: list[str], **sums: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda deltas: deltas.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
 
-def sliding_counts(events: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    w = F.window("timestamp", length, step)
-    return events.withWatermark("timestamp", delay).groupBy("entity_id", w.alias("w")).agg(F.count("*").alias("n")).select("entity_id", F.col("w.start").alias("start"), "n")
 
+def sliding_counts(folder: str, length: str = "24 hours", step: str = "1 hour") -> Deltas:
+    def add(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("entity_id", F.window("timestamp", length, step).alias("w")).agg(F.count("*").alias("n"), _late())
+        return counts.select("entity_id", F.col("w.start").alias("start"), "n", "late")
 
-def tumbling_counts(events: DataFrame, length: str = "1 day", delay: str = "1 day") -> DataFrame:
-    w = F.window("timestamp", length)
-    return events.withWatermark("timestamp", delay).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return Deltas(folder, "sliding", add, _added_up(["entity_id", "start"], n="n", late="late"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    w = F.session_window("timestamp", gap)
-    return events.withWatermark("timestamp", delay).groupBy("entity_id", w.alias("w")).agg(F.count("*").alias("n")).select("entity_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def tumbling_counts(folder: str, length: str = "1 day") -> Deltas:
+    def add(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(F.window("timestamp", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), _late())
+        return counts.select(F.col("w.start").alias("start"), "event_type", "n", "total", "late")
 
+    return Deltas(folder, "tumbling", add, _added_up(["start", "event_type"], n="n", total="total", late="late"))
 
-def latest_values(events: DataFrame) -> DataFrame:
-    """The newest value of each entity and type."""
-    newest = F.max_by(F.struct("value", "us"), F.struct("us", "event_id"))
-    return events.groupBy("entity_id", "event_type").agg(newest.alias("v")).select("entity_id", "event_type", "v.value", "v.us")
 
+def sessions(folder: str, gap: str = "30 minutes") -> Deltas:
+    """Sessions of a batch are pieces; pieces of an entity that overlap are one session."""
+
+    def add(rows: DataFrame) -> DataFrame:
+        pieces = rows.groupBy("entity_id", F.session_window("timestamp", gap).alias("w")).agg(F.count("*").alias("n"), _late())
+        return pieces.select("entity_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "late")
 
-def new_merchants(transactions: DataFrame) -> DataFrame:
-    """Each transaction with whether its entity meets the merchant for the first time: the earliest of the batch in which
-    the pair first comes. State: one mark for each pair of entity and merchant, so that a busy entity is many keys."""
+    def whole(pieces: DataFrame) -> DataFrame:
+        mine = Window.partitionBy("entity_id").orderBy("start", "end")
+        reach = F.max("end").over(mine.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.when(F.col("start") < reach, 0).otherwise(1)
+        numbered = pieces.withColumn("opens", opens).withColumn("session", F.sum("opens").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+        found = numbered.groupBy("entity_id", "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("late").alias("late"))
+        return found.drop("session")
 
-    def flag(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["us", "transaction_id"])
-        first = [not state.exists] + [False] * (len(rows) - 1)
-        state.update((True,))
-        yield rows[["transaction_id", "entity_id", "merchant_id"]].assign(is_new_merchant=first)
+    return Deltas(folder, "sessions", add, whole)
 
+
+# Tables of one row for a key
+
+
+def latest_values(events: DataFrame, folder: str) -> DataFrame:
+    """The newest value of each entity and type."""
+    store, key, order = Snapshots(events.sparkSession, folder), ["entity_id", "event_type"], [F.col("us"), F.col("event_id")]
+    rows = events.select(*key, "value", "us", "event_id")
+    run_available(rows, committing(store, "latest", lambda batch, n: ({"latest": store.merge("latest", batch, key, order)}, {})), f"{folder}/checkpoint-latest")
+    return store.read("latest", rows.schema)
+
+
+def new_merchants(transactions: DataFrame, folder: str) -> DataFrame:
+    """Each transaction with whether its entity meets the merchant for the first time: the earliest of the pair, whatever the
+    batch in which it comes. A batch that brings an earlier meeting takes the flag from the one that had it."""
+    store, pair = Snapshots(transactions.sparkSession, folder), ["entity_id", "merchant_id"]
     rows = transactions.select("transaction_id", "entity_id", "us", "merchant_id")
-    out = "transaction_id bigint, entity_id string, merchant_id string, is_new_merchant boolean"
-    return rows.groupBy("entity_id", "merchant_id").applyInPandasWithState(flag, out, "met boolean", "append", "NoTimeout")
+    flags = T.StructType(list(rows.schema.fields)).add("is_new_merchant", "boolean").add("batch", "long")
+
+    def write(batch: DataFrame, n: int) -> tuple[dict[str, Change], dict]:
+        batch = batch.persist()
+        own = newest(batch, pair, [-F.col("us"), -F.col("transaction_id")]).persist()
+        before = store.read("first", rows.schema, files=store.touched("first", own, pair))
+        before = before.select(*(F.col(c).alias(f"old_{c}") for c in rows.columns))
+        same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in pair]
+        earlier = F.struct("us", "transaction_id") < F.struct("old_us", "old_transaction_id")
+        met = own.join(before, same, "left").withColumn("first", F.col("old_us").isNull() | earlier)
+        first = met.where("first").select(F.col("transaction_id").alias("first_id"))
+        mine = batch.join(first, F.col("transaction_id") == F.col("first_id"), "left")
+        mine = mine.select(*rows.columns, F.col("first_id").isNotNull().alias("is_new_merchant"))
+        undone = met.where("first AND old_us IS NOT NULL").select(*(F.col(f"old_{c}").alias(c) for c in rows.columns), F.lit(False).alias("is_new_merchant"))
+        changes = {"flags": store.append("flags", mine.unionByName(undone).withColumn("batch", F.lit(n).cast("long")))}
+        changes["first"] = store.merge("first", own, pair, [-F.col("us"), -F.col("transaction_id")])
+        own.unpersist()
+        batch.unpersist()
+        return changes, {}
+
+    run_available(rows, committing(store, "merchants", write), f"{folder}/checkpoint-merchants")
+    return newest(store.read("flags", flags), ["transaction_id"], [F.col("batch")]).drop("batch")
+
+
+# State that expires
+
+
+def expiries(writes: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """Of writes (entity_id, feature_group, timestamp, us) the times at which a group of an entity expires: ttl microseconds
+    after its last write, unless it is written before. State: the last write of each group that is alive; a timer ends it
+    when the watermark, `delay` behind the newest write, has passed. Writes that come behind the watermark are not seen."""
+
+    def expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        gone = []
+        if state.hasTimedOut:
+            gone.append(state.get[0])
+            state.remove()
+        else:
+            times = sorted(t for f in frames for t in f["us"].tolist())
+            last = state.get[0] if state.exists else None
+            for t in times:
+                if last is not None and t - last > ttl:
+                    gone.append(last)
+                last = t if last is None else max(last, t)
+            ends = -(-(last + ttl) // 1000)
+            if ends <= state.getCurrentWatermarkMs():
+                gone.append(last)
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last,))
+                state.setTimeoutTimestamp(ends)
+        if gone:
+            yield pd.DataFrame({"entity_id": key[0], "feature_group": key[1], "last_us": gone, "expired_us": [t + ttl for t in gone]})
+
+    rows = writes.withWatermark("timestamp", delay).select("entity_id", "feature_group", "timestamp", "us")
+    out = "entity_id string, feature_group string, last_us bigint, expired_us bigint"
+    return rows.groupBy("entity_id", "feature_group").applyInPandasWithState(expire, out, "last bigint", "append", "EventTimeTimeout")
+
+
+def stored(stream: DataFrame, folder: str, name: str) -> DataFrame:
+    """What a query in append mode gives over what is there now."""
+    store = Snapshots(stream.sparkSession, folder)
+    run_available(stream, committing(store, name, lambda batch, n: ({name: store.append(name, batch)}, {})), f"{folder}/checkpoint-{name}")
+    return store.read(name, stream.schema)
