@@ -19,10 +19,13 @@ def number(text: Column | str) -> Column:
 
 
 def json_of(value: Column, kind: str) -> Column:
-    """A scalar as JSON text."""
+    """A scalar as JSON text. JSON has no numbers that aren't finite: they are strings, which no number's type allows."""
     if kind == "string":
         made = F.to_json(F.struct(value.alias("v")))  # {"v":...}
         return F.when(value.isNotNull(), made.substr(F.lit(6), F.length(made) - 6))
+    if kind in ("double", "float"):
+        plain = value.cast("string")
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(plain)
     return value.cast("string")
 
 

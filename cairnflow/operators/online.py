@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import json_scalar
 from cairnflow.operators.asof import as_of_join
+from cairnflow.operators.validate import errors
 
 HASH = ["entity_id", "feature_group"]
 DEFAULT_TTL = 3600
@@ -25,6 +26,11 @@ def latest(log: DataFrame, ttl_seconds: int | None = DEFAULT_TTL) -> DataFrame:
     return values.join(hashes, HASH).select(*HASH, "feature_name", "n.feature_value", "written_at", "last_written", expires.alias("expires_at"))
 
 
+def accepted(log: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The rows of a log that break no rule: what may be written online."""
+    return errors(log, definitions).where(F.size("errors") == 0).drop("errors")
+
+
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two tables of latest values as one: newer values win, and the later write sets the expiry."""
     both = old.unionByName(new)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import DAY, HOUR
+from cairnflow.operators.segments import Running, running
 
 KEYS = ("transaction_id", "entity_id", "us")
 
@@ -32,13 +33,42 @@ def spread(rows: DataFrame, length: int, bucket: int) -> DataFrame:
 _ENDS = {"h": HOUR, "d": DAY, "w": 7 * DAY, "m": 30 * DAY}
 
 
+_UNIT = 10**10
+"""Sums are of whole numbers and of ten-billionths, as long."""
+
+
+def _odd(amount: Column) -> Column:
+    """Amounts that this doesn't suit: NaN, infinities, from a million millions on, and those too small to be seen."""
+    size = F.abs(amount)
+    return F.coalesce(F.isnan(amount) | (size >= 1e12) | ((size > 0) & (size < 1e-6)), F.lit(False))
+
+
 def rolling_features(transactions: DataFrame, bucket: int | None = None) -> DataFrame:
     """Counts over 1 hour, 24 hours, 7 and 30 days, sum over 24 hours, mean over 7 days, largest over 30 days.
 
     Linear in the rows of an entity: each row enters once and leaves once for each length, and a window's count or sum
-    is what has entered less what has left, by running totals (of decimals, so that nothing drifts). The largest value
+    is what has entered less what has left, by running totals of whole numbers, so that nothing drifts. The largest value
     is taken over blocks of 30 days: the block's own rows so far, and those of the block before that are still inside.
+    Entities with odd amounts (NaN, infinite, 1e12 and more, under 1e-6) have sums of doubles over each window instead: NaN
+    or an infinity in a window shows in its sum and mean, in no other one. A null amount counts as a transaction only.
     bucket: microseconds of a time bucket (see spread), for entities too busy for one task."""
+    odd = transactions.where(_odd(F.col("amount"))).select("entity_id").distinct()
+    plain = _by_sweep(transactions.join(odd, "entity_id", "left_anti"), bucket)
+    return plain.unionByName(_by_frames(transactions.join(odd, "entity_id", "left_semi")))
+
+
+def _by_frames(transactions: DataFrame) -> DataFrame:
+    h, d, w, m = (before(length, "entity_id") for length in _ENDS.values())
+    one, amount = F.lit(1), F.col("amount")
+    sum_, mean = F.sum(amount).over(d), F.sum(amount).over(w) / F.count(amount).over(w)
+    return transactions.select(
+        *KEYS, F.count(one).over(d).alias("transaction_count_24h"), F.count(one).over(w).alias("transaction_count_7d"), F.count(one).over(m).alias("transaction_count_30d"),
+        F.coalesce(sum_, F.lit(0.0)).alias("total_amount_24h"), F.when(F.count(amount).over(w) > 0, mean).otherwise(F.lit(0.0)).alias("avg_amount_7d"),
+        F.coalesce(F.max(amount).over(m), F.lit(0.0)).alias("max_amount_30d"), F.count(one).over(h).alias("transactions_last_hour"),
+    )
+
+
+def _by_sweep(transactions: DataFrame, bucket: int | None) -> DataFrame:
     rows = transactions.select(*KEYS, "amount")
     keys = ("entity_id",)
     if bucket:
@@ -48,23 +78,27 @@ def rolling_features(transactions: DataFrame, bucket: int | None = None) -> Data
         F.struct(F.col("us").alias("at"), F.lit("in").alias("move")),
         *(F.struct((F.col("us") + length).alias("at"), F.lit(name).alias("move")) for name, length in _ENDS.items()),
     )
-    rows = rows.withColumn("exact", F.col("amount").cast("decimal(28,10)")).select("*", F.inline(moves))
-    rows = rows.withColumn("block", F.floor(F.col("at") / month))
+    whole = F.floor("amount").cast("long")
+    rows = rows.withColumn("whole", whole).withColumn("rest", F.round((F.col("amount") - F.col("whole")) * _UNIT).cast("long"))
+    rows = rows.select("*", F.inline(moves)).withColumn("block", F.floor(F.col("at") / month))
     entered = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     left = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy(*keys, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "block").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     of = lambda move, value: F.when(F.col("move") == move, value)
-    one, amount = F.lit(1), F.col("exact")
+    one = F.lit(1)
 
     def count(move: str, value: Column = one) -> Column:
         return F.count(of("in", value)).over(entered) - F.count(of(move, value)).over(left)
 
+    def sums(move: str, column: str) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.coalesce(F.sum(of("in", F.col(column))).over(entered), zero) - F.coalesce(F.sum(of(move, F.col(column))).over(left), zero)
+
     def total(move: str) -> Column:
-        zero = F.lit(0).cast("decimal(38,10)")
-        return (F.coalesce(F.sum(of("in", amount)).over(entered), zero) - F.coalesce(F.sum(of(move, amount)).over(left), zero)).cast("double")
+        return sums(move, "whole").cast("double") + sums(move, "rest") / F.lit(float(_UNIT))
 
-    some = count("w", amount)
+    some = count("w", F.col("amount"))
     out = rows.withColumns(
         {
             "transaction_count_24h": count("d"),
@@ -76,7 +110,7 @@ def rolling_features(transactions: DataFrame, bucket: int | None = None) -> Data
             "transactions_last_hour": count("h"),
         }
     ).where("move = 'in'")
-    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount", "exact", "at", "move", "block")
+    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount", "whole", "rest", "at", "move", "block")
 
 
 def velocity(count_last_hour: Column) -> Column:
@@ -84,16 +118,28 @@ def velocity(count_last_hour: Column) -> Column:
     return count_last_hour.cast("double")
 
 
-def rolling_zscore(transactions: DataFrame) -> DataFrame:
+def rolling_zscore(transactions: DataFrame, stretch: int | None = None) -> DataFrame:
     """Deviations of an amount from the mean of all earlier ones, by their population deviation.
 
-    0 with fewer than two earlier rows, or if all earlier amounts are equal."""
-    w = before(None, "entity_id")
+    0 with fewer than two earlier rows, or if all earlier amounts are equal. stretch: microseconds of a stretch of time, for
+    entities too busy for one task (see segments); sums are then of distances from the entity's mean, so that they stay
+    small."""
     a = F.col("amount")
-    level = F.when(
-        (F.count("*").over(w) >= 2) & (F.min(a).over(w) < F.max(a).over(w)), (a - F.avg(a).over(w)) / F.stddev_pop(a).over(w)
-    )
-    return transactions.select(*KEYS, F.coalesce(level, F.lit(0.0)).alias("amount_zscore"))
+    if stretch is None:
+        w = before(None, "entity_id")
+        level = F.when(
+            (F.count("*").over(w) >= 2) & (F.min(a).over(w) < F.max(a).over(w)), (a - F.avg(a).over(w)) / F.stddev_pop(a).over(w)
+        )
+        return transactions.select(*KEYS, F.coalesce(level, F.lit(0.0)).alias("amount_zscore"))
+    centre = transactions.groupBy("entity_id").agg(F.avg("amount").alias("_centre")).withColumnRenamed("entity_id", "_entity")
+    rows = transactions.select(*KEYS, "amount").join(centre, F.col("entity_id").eqNullSafe(F.col("_entity"))).drop("_entity")
+    off = a - F.col("_centre")
+    of = {"n": ("sum", F.lit(1)), "some": ("sum", a.isNotNull().cast("long")), "s": ("sum", off), "q": ("sum", off * off), "low": ("min", a), "high": ("max", a)}
+    rows = running(rows, ["entity_id"], ["us"], {f"_{name}": Running(*v) for name, v in of.items()}, stretch, current=False)
+    mean = F.col("_s") / F.col("_some")
+    level = (off - mean) / F.sqrt(F.col("_q") / F.col("_some") - mean * mean)
+    level = F.when((F.col("_n") >= 2) & (F.col("_low") < F.col("_high")), level)
+    return rows.select(*KEYS, F.coalesce(level, F.lit(0.0)).alias("amount_zscore"))
 
 
 def distinct_by_sets(transactions: DataFrame, column: str, length: int, name: str) -> DataFrame:
@@ -101,9 +147,9 @@ def distinct_by_sets(transactions: DataFrame, column: str, length: int, name: st
     return transactions.select(*KEYS, F.size(F.collect_set(column).over(before(length, "entity_id"))).cast("long").alias(name))
 
 
-def distinct_by_sweep(transactions: DataFrame, column: str, length: int, name: str) -> DataFrame:
+def distinct_by_sweep(transactions: DataFrame, column: str, length: int, name: str, stretch: int | None = None) -> DataFrame:
     """The same in time linear in the rows. A value seen at s and next at n is in the window of the times after s up to
-    min(n, s + length - 1): one step up after s, one down after the end, and a running sum."""
+    min(n, s + length - 1): one step up after s, one down after the end, and a running sum (in stretches: see segments)."""
     seen = transactions.where(F.col(column).isNotNull()).select("entity_id", column, "us").distinct()
     following = F.lead("us").over(Window.partitionBy("entity_id", column).orderBy("us"))
     ends = F.least(F.coalesce(following, F.col("us") + length), F.col("us") + length - 1)
@@ -113,21 +159,26 @@ def distinct_by_sweep(transactions: DataFrame, column: str, length: int, name: s
     ).groupBy("entity_id", "us").agg(F.sum("step").alias("step"))
     asked = transactions.select(*KEYS, F.lit(0).cast("long").alias("step"))
     both = asked.unionByName(steps.select(F.lit(None).cast("long").alias("transaction_id"), "entity_id", "us", "step"))
-    total = F.sum("step").over(Window.partitionBy("entity_id").orderBy("us"))
-    return both.withColumn(name, total).where("transaction_id IS NOT NULL").drop("step")
+    if stretch is None:
+        total = F.sum("step").over(Window.partitionBy("entity_id").orderBy("us"))
+        return both.withColumn(name, total).where("transaction_id IS NOT NULL").drop("step")
+    asks = both.withColumn("_asks", F.col("transaction_id").isNotNull())  # steps of an instant come before what asks then
+    return running(asks, ["entity_id"], ["us", "_asks"], {name: Running("sum", F.col("step"))}, stretch).where("_asks").drop("step", "_asks")
 
 
-def rolling_distinct(transactions: DataFrame) -> DataFrame:
+def rolling_distinct(transactions: DataFrame, stretch: int | None = None) -> DataFrame:
     """Distinct merchants over 7 days and categories over 30."""
-    merchants = distinct_by_sweep(transactions, "merchant_id", 7 * DAY, "unique_merchants_7d")
-    categories = distinct_by_sweep(transactions, "merchant_category", 30 * DAY, "unique_categories_30d")
+    merchants = distinct_by_sweep(transactions, "merchant_id", 7 * DAY, "unique_merchants_7d", stretch)
+    categories = distinct_by_sweep(transactions, "merchant_category", 30 * DAY, "unique_categories_30d", stretch)
     return merchants.join(categories.select("transaction_id", "unique_categories_30d"), "transaction_id")
 
 
 def is_new_merchant(transactions: DataFrame) -> DataFrame:
-    """Whether an entity has not met a merchant before the instant."""
-    seen = F.count("*").over(before(None, "entity_id", "merchant_id"))
-    return transactions.select(*KEYS, "merchant_id", (seen == 0).alias("is_new_merchant"))
+    """Whether an entity has not met a merchant before the instant: the first instant of a pair is an aggregate, combined on
+    the way to the shuffle, so that a busy entity, or pair, is no one task's."""
+    first = transactions.groupBy(F.col("entity_id").alias("_entity"), F.col("merchant_id").alias("_merchant")).agg(F.min("us").alias("_first"))
+    rows = transactions.join(first, F.col("entity_id").eqNullSafe(F.col("_entity")) & F.col("merchant_id").eqNullSafe(F.col("_merchant")))
+    return rows.select(*KEYS, "merchant_id", (F.col("us") <= F.col("_first")).alias("is_new_merchant"))
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -62,23 +62,37 @@ def rolling_features_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rolling.rolling_features(tables.transactions(spark, sf), bucket=15 * DAY))
 
 
-@query(
-    f"""WITH {TXN} SELECT transaction_id, entity_id, us, count(DISTINCT merchant_id) OVER (PARTITION BY entity_id ORDER BY ts {_W.format(7 * DAY - 1)}) AS unique_merchants_7d,
+_DISTINCT = f"""WITH {TXN} SELECT transaction_id, entity_id, us, count(DISTINCT merchant_id) OVER (PARTITION BY entity_id ORDER BY ts {_W.format(7 * DAY - 1)}) AS unique_merchants_7d,
     count(DISTINCT merchant_category) OVER (PARTITION BY entity_id ORDER BY ts {_W.format(30 * DAY - 1)}) AS unique_categories_30d FROM txn"""
-)
+
+
+@query(_DISTINCT)
 def rolling_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.rolling_distinct(tables.transactions(spark, sf)).select("transaction_id", "entity_id", "us", "unique_merchants_7d", "unique_categories_30d")
 
 
-@query(
-    f"""WITH {TXN}, z AS (SELECT *, count(*) OVER p AS n, avg(amount) OVER p AS mu, stddev_pop(amount) OVER p AS sd, min(amount) OVER p AS lo, max(amount) OVER p AS hi
+_ZSCORE = f"""WITH {TXN}, z AS (SELECT *, count(*) OVER p AS n, avg(amount) OVER p AS mu, stddev_pop(amount) OVER p AS sd, min(amount) OVER p AS lo, max(amount) OVER p AS hi
     FROM txn WINDOW p AS (PARTITION BY entity_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECONDS PRECEDING))
     SELECT transaction_id, entity_id, us, round(CASE WHEN n >= 2 AND lo < hi THEN (amount - mu) / sd ELSE 0 END, 4) AS amount_zscore FROM z"""
-)
+
+
+@query(_ZSCORE)
 def rolling_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rolling.rolling_zscore(tables.transactions(spark, sf)), 4)
 
 
+@query(_DISTINCT)
+def rolling_distinct_stretched(spark: SparkSession, sf: str) -> DataFrame:
+    """The form for entities too busy for one task, as the next one."""
+    rows = rolling.rolling_distinct(tables.transactions(spark, sf), stretch=3 * DAY)
+    return rows.select("transaction_id", "entity_id", "us", "unique_merchants_7d", "unique_categories_30d")
+
+
+@query(_ZSCORE)
+def rolling_zscore_stretched(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rolling.rolling_zscore(tables.transactions(spark, sf), stretch=3 * DAY), 4)
+
+
 @query(
     f"""WITH {LOG} SELECT entity_id, feature_name, feature_value, us FROM flog
     QUALIFY row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY event_time DESC, computed_at DESC, event_id DESC) = 1"""
@@ -131,6 +145,37 @@ def pit_fill(spark: SparkSession, sf: str) -> DataFrame:
     return asof.as_of_join(tables.observations(spark, sf), tables.feature_log(spark, sf), PIT_FEATURES, fill="0")
 
 
+_KNOWN = _PIT.replace("f.us <= o.us WHERE", "f.us <= o.us AND epoch_us(f.computed_at) <= o.us WHERE")
+
+
+@query(f"WITH {LOG}{_KNOWN} " + _PIT_SELECT.format(_PIT_COLUMNS.format("")))
+def pit_two_clocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Only values that had been computed by then: those computed days after their event are no news to older labels."""
+    return asof.as_of_join(tables.observations(spark, sf), tables.feature_log(spark, sf), PIT_FEATURES, known=True)
+
+
+@query(f"WITH {LOG}{_KNOWN} " + _PIT_SELECT.format(_PIT_COLUMNS.format("")))
+def pit_two_clocks_stretched(spark: SparkSession, sf: str) -> DataFrame:
+    """The form for entities too busy for one task."""
+    return asof.as_of_join(tables.observations(spark, sf), tables.feature_log(spark, sf), PIT_FEATURES, known=True, stretch=4 * DAY)
+
+
+@query(f"WITH {LOG}{_PIT} " + _PIT_SELECT.format(_PIT_COLUMNS.format("")))
+def pit_stretched(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.as_of_join(tables.observations(spark, sf), tables.feature_log(spark, sf), PIT_FEATURES, stretch=4 * DAY)
+
+
+@query(
+    f"""WITH {LOG}, pairs AS (SELECT o.obs_id, f.feature_name, epoch_us(f.computed_at) > o.us AS late, row_number() OVER (PARTITION BY o.obs_id, f.feature_name ORDER BY f.us DESC, f.computed_at DESC, f.event_id DESC) AS n
+    FROM obs o JOIN flog f ON f.entity_id = o.entity_id AND f.us <= o.us WHERE f.feature_name IN ('transaction_amount', 'merchant_id', 'account_age_days'))
+    SELECT feature_name, (SELECT count(*) FROM obs) AS joined, count(*) FILTER (WHERE late) AS leaking FROM pairs WHERE n = 1 GROUP BY feature_name"""
+)
+def leakage_two_clocks(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values of a join by event time nobody knew at the time of the label."""
+    rows = asof.leaking_values(tables.observations(spark, sf), tables.feature_log(spark, sf), PIT_FEATURES)
+    return rows.groupBy("feature_name").agg(F.count("*").alias("joined"), F.count(F.when(F.col("leaks"), 1)).alias("leaking"))
+
+
 @query(
     f"""WITH {LOG} SELECT entity_id, string_agg(DISTINCT feature_name, ',' ORDER BY feature_name) AS features FROM flog
     WHERE event_time <= TIMESTAMP '2024-01-20' AND computed_at > TIMESTAMP '2024-01-20' AND computed_at <= TIMESTAMP '2024-01-27' GROUP BY entity_id"""
@@ -312,6 +357,32 @@ def backfill_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     return _dated(spark.read.parquet(path).select(*columns))
 
 
+_HOLES = """, present AS (SELECT DISTINCT entity_id, feature_name, CAST(event_time AS DATE) AS day FROM flog WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'),
+    expected AS (SELECT e.entity_id, f.feature_name FROM (SELECT DISTINCT entity_id FROM ev) e, (SELECT unnest(['transaction_amount', 'account_age_days']) AS feature_name) f),
+    missing AS (SELECT x.entity_id, x.feature_name, d.as_of AS day FROM expected x, days d WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.entity_id = x.entity_id AND p.feature_name = x.feature_name AND p.day = d.as_of)),
+    islands AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY day) AS INTEGER) AS island FROM missing),
+    holes AS (SELECT entity_id, feature_name, min(day) AS a, max(day) AS z FROM islands GROUP BY entity_id, feature_name, island)"""
+
+
+def _holes(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.explode(F.array(F.lit("transaction_amount"), F.lit("account_age_days"))).alias("feature_name")
+    expected = tables.events(spark, sf).select("entity_id").distinct().select("entity_id", names)
+    return bf.holes(tables.feature_log(spark, sf), expected, START, END)
+
+
+@query(f"WITH {LOG}{_BACKFILL}{_HOLES} SELECT entity_id, feature_name, strftime(a, '%Y-%m-%d') AS first, strftime(z, '%Y-%m-%d') AS last FROM holes")
+def coverage_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges of days on which an entity has no value of a feature."""
+    return _holes(spark, sf).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
+
+
+@query(f"WITH {LOG}{_BACKFILL}{_HOLES} SELECT * REPLACE ({_DAY}) FROM filled f WHERE EXISTS (SELECT 1 FROM holes h WHERE h.entity_id = f.entity_id AND h.feature_name = 'transaction_amount' AND f.as_of BETWEEN h.a AND h.z)")
+def backfill_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """Only what is missing is made: the days of each entity without a transaction."""
+    missing = _holes(spark, sf).where("feature_name = 'transaction_amount'")
+    return _dated(bf.backfill(tables.transactions(spark, sf), START, END, holes=missing))
+
+
 @query(f"WITH {TXN}{_BACKFILL} SELECT {_DAY}, entity_id, avg_transaction_amount_7d FROM filled WHERE entity_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)")
 def batch_filtered(spark: SparkSession, sf: str) -> DataFrame:
     wanted = tables.read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("entity_id"))

@@ -13,6 +13,7 @@ from cairnflow.plans.registry import EVENTS, LOG, TXN, query
 from cairnflow.plans.rolling import rounded
 from cairnflow.sources import ingest, tables
 from cairnflow.sources.folders import shared_folder, written
+from cairnflow.sources.snapshots import Snapshots
 from cairnflow.streaming import streams
 
 AS_OF = datetime(2024, 1, 31)
@@ -99,13 +100,8 @@ def route_events(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'validation_errors', 'transaction_amount', count(*) FROM ev WHERE event_type = 'purchase' AND event_id % 7 = 0) SELECT * FROM s"""
 )
 def pipeline_counters(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = _parsed(spark, sf)
-    counted = lambda df, name, label: df.groupBy(F.lit(name).alias("counter"), label.alias("label")).agg(F.count("*").alias("n"))
-    bad = ingest.route(parsed).where("reason IS NOT NULL")
-    return (
-        counted(parsed, "events", F.col("event_type")).unionByName(counted(ingest.dead_letters(parsed), "dead_letters", F.col("failure_reason")))
-        .unionByName(counted(bad, "validation_errors", F.lit("transaction_amount")))
-    )
+    """All counters from one reading of the events."""
+    return ingest.counted(_parsed(spark, sf))
 
 
 # History
@@ -126,11 +122,12 @@ def log_append(spark: SparkSession, sf: str) -> DataFrame:
 _OLD = "k % 3 = 0"
 
 
-@query(
-    f"""WITH {TXN}, old AS (SELECT DISTINCT entity_id, merchant_id FROM txn WHERE {_OLD}),
+_INSERT = f"""WITH {TXN}, old AS (SELECT DISTINCT entity_id, merchant_id FROM txn WHERE {_OLD}),
     n AS (SELECT * FROM txn QUALIFY row_number() OVER (PARTITION BY entity_id, merchant_id ORDER BY us, transaction_id) = 1)
     SELECT entity_id, merchant_id, transaction_id FROM n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.entity_id = n.entity_id AND o.merchant_id = n.merchant_id)"""
-)
+
+
+@query(_INSERT)
 def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     txn = tables.transactions(spark, sf)
     old = txn.where(F.substring("merchant_id", 2, 9).cast("long") % 3 == 0)
@@ -138,10 +135,11 @@ def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("entity_id", "merchant_id", "transaction_id")
 
 
-@query(
-    f"""WITH {TXN}, b AS (SELECT entity_id, merchant_category, transaction_id, us, CASE WHEN us < epoch_us(TIMESTAMP '2024-01-15') THEN 0 ELSE 1 END AS is_new FROM txn)
+_UPSERT = f"""WITH {TXN}, b AS (SELECT entity_id, merchant_category, transaction_id, us, CASE WHEN us < epoch_us(TIMESTAMP '2024-01-15') THEN 0 ELSE 1 END AS is_new FROM txn)
     SELECT entity_id, merchant_category, transaction_id FROM b QUALIFY row_number() OVER (PARTITION BY entity_id, merchant_category ORDER BY is_new DESC, us DESC, transaction_id DESC) = 1"""
-)
+
+
+@query(_UPSERT)
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     txn = tables.transactions(spark, sf)
     cut = F.col("timestamp") < F.lit(datetime(2024, 1, 15))
@@ -149,6 +147,31 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("entity_id", "merchant_category", "transaction_id")
 
 
+@query(_UPSERT)
+def upsert_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in a stored table: first the old rows, then the new ones in two parts, which rewrite the files they touch."""
+    store, key = Snapshots(spark, shared_folder(spark, "upserts")), ["entity_id", "merchant_category"]
+    txn = tables.transactions(spark, sf).select(*key, "us", "transaction_id", "timestamp")
+    cuts = [datetime(2000, 1, 1), datetime(2024, 1, 15), datetime(2024, 1, 29), datetime(2100, 1, 1)]
+    order = [F.col("_new"), F.col("us"), F.col("transaction_id")]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        part = txn.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end)))
+        store.commit({"newest": store.merge("newest", part, key, order)})
+    return store.read("newest", txn.schema).select(*key, "transaction_id")
+
+
+@query(_INSERT)
+def insert_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in a stored table: what the second insert has added."""
+    store, key = Snapshots(spark, shared_folder(spark, "inserts")), ["entity_id", "merchant_id"]
+    txn = tables.transactions(spark, sf).select(*key, "us", "transaction_id")
+    first = [-F.col("us"), -F.col("transaction_id")]
+    store.commit({"first": store.insert("first", txn.where(F.substring("merchant_id", 2, 9).cast("long") % 3 == 0), key, first)})
+    before = set(store.files("first"))
+    store.commit({"first": store.insert("first", txn, key, first)})
+    return store.read("first", txn.schema, files=[f for f in store.files("first") if f not in before]).select(*key, "transaction_id")
+
+
 @query(
     f"""WITH {LOG} SELECT {_KEYED}, us FROM flog WHERE event_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND feature_name IN ('transaction_amount', 'merchant_id')
     AND entity_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)"""
@@ -526,17 +549,27 @@ def active_features(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.active_features(tables.feature_log(spark, sf).select("feature_group", "feature_name").distinct())
 
 
-@query(f"WITH {LOG}{_LATEST} SELECT {_KEYED}, written_us FROM online WHERE feature_name <> 'account_age_days' OR feature_value::BIGINT <= 50")
+_ACCEPTED = """, accepted AS (SELECT * FROM flog WHERE NOT (feature_name = 'account_age_days' AND TRY_CAST(feature_value AS BIGINT) > 50)
+    AND NOT (feature_name = 'transaction_amount' AND (TRY_CAST(feature_value AS DOUBLE) < 20 OR TRY_CAST(feature_value AS DOUBLE) > 300)) AND NOT (feature_name = 'merchant_category' AND feature_value = '"c7"'))"""
+
+
+@query(
+    f"""WITH {LOG}{_ACCEPTED} SELECT {_KEYED}, us AS written_us FROM accepted
+    QUALIFY row_number() OVER (PARTITION BY entity_id, feature_group, feature_name ORDER BY event_time DESC, computed_at DESC, event_id DESC) = 1"""
+)
 def validated_online_write(spark: SparkSession, sf: str) -> DataFrame:
-    """Values are checked before they are written online; those that fail stay out."""
-    rules = [validate.Definition("profile", "v1", "account_age_days", "INTEGER", min_value=0.0, max_value=50.0)]
-    newest = _online(spark, sf).withColumn("feature_version", F.lit("v1"))
-    bad = validate.errors(newest, validate.definitions(spark, rules)).where(
-        (F.col("feature_name") == "account_age_days") & (F.size("errors") > 0)
-    )
-    key = ["entity_id", "feature_group", "feature_name"]
-    good = newest.join(bad.select(*key), key, "left_anti")
-    return good.select(*key, "feature_value", micros("written_at").alias("written_us"))
+    """Values are checked before they are written: one that breaks a rule leaves the valid value before it in place."""
+    rules = [
+        validate.Definition("profile", "v1", "account_age_days", "INTEGER", min_value=0.0, max_value=50.0),
+        validate.Definition("profile", "v1", "kyc_verified", "BOOLEAN"),
+        validate.Definition("transaction", "v1", "transaction_amount", "FLOAT", min_value=20.0, max_value=300.0),
+        validate.Definition("transaction", "v1", "merchant_id", "STRING", pattern="m[0-9]+"),
+        validate.Definition("transaction", "v1", "merchant_category", "STRING", allowed=tuple(f"c{k}" for k in range(7))),
+        validate.Definition("transaction", "v1", "is_online", "BOOLEAN"),
+    ]
+    log = tables.feature_log(spark, sf)
+    written_ = online.latest(online.accepted(log, validate.definitions(spark, rules)), TTL)
+    return written_.select("entity_id", "feature_group", "feature_name", "feature_value", micros("written_at").alias("written_us"))
 
 
 @query(

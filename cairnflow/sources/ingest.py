@@ -57,12 +57,20 @@ def _payload(field: str, default: str | None) -> Column:
     return F.when(F.coalesce(F.map_contains_key("payload", field), F.lit(False)), value).otherwise(F.lit(default))
 
 
+def _amount() -> Column:
+    return number(_payload("amount", "0.0"))
+
+
+def _age() -> Column:
+    return _payload("account_age_days", "0").try_cast("bigint")
+
+
 _ALWAYS = ("event_id", "entity_id", "occurred_at", "raw")
 
 
 def transform_transactions(parsed: DataFrame) -> DataFrame:
     """Features of a transaction; an amount that is present and no number gives a reason."""
-    amount = number(_payload("amount", "0.0"))
+    amount = _amount()
     return parsed.select(
         *_ALWAYS, amount.alias("transaction_amount"), _payload("currency", "USD").alias("transaction_currency"),
         _payload("merchant_id", "").alias("merchant_id"), _payload("merchant_category", "unknown").alias("merchant_category"),
@@ -80,7 +88,7 @@ def transform_logins(parsed: DataFrame) -> DataFrame:
 
 
 def transform_profiles(parsed: DataFrame) -> DataFrame:
-    age = _payload("account_age_days", "0").try_cast("bigint")
+    age = _age()
     return parsed.select(
         *_ALWAYS, age.alias("account_age_days"), F.coalesce(_payload("kyc_verified", "false").try_cast("boolean"), F.lit(False)).alias("kyc_verified"),
         _payload("preferred_currency", "USD").alias("preferred_currency"),
@@ -113,6 +121,25 @@ def routing_counts(parsed: DataFrame, known: tuple[str, ...] = tuple(TRANSFORMER
     return parsed.groupBy(F.coalesce("event_type", F.lit("?")).alias("event_type"), status.alias("status")).agg(F.count("*").alias("events"))
 
 
+NUMBERS: dict[str, tuple[str, Callable[[], Column]]] = {"transaction_created": ("transaction_amount", _amount), "user_profile_updated": ("account_age_days", _age)}
+"""Event type: the feature that has to be a number, and how it is read; null if it isn't one."""
+
+
+def counted(parsed: DataFrame) -> DataFrame:
+    """counter, label and n, from one reading: events by type, dead letters by reason, and values that are no numbers though
+    their type's feature has to be one."""
+    fault = F.lit(None).cast("string")
+    for event_type, (feature, value) in NUMBERS.items():
+        fault = F.when((F.col("event_type") == event_type) & value().isNull(), F.lit(feature)).otherwise(fault)
+    readable = F.col("reason").isNull()
+    said = F.array(
+        F.struct(F.lit("events").alias("counter"), F.col("event_type").alias("label")),
+        F.when(~readable, F.struct(F.lit("dead_letters").alias("counter"), F.col("reason").alias("label"))),
+        F.when(readable & fault.isNotNull(), F.struct(F.lit("validation_errors").alias("counter"), fault.alias("label"))),
+    )
+    return parsed.select(F.inline(F.array_compact(said))).groupBy("counter", "label").agg(F.count("*").alias("n"))
+
+
 TRANSACTION_FILE = "transaction_id bigint, user_id string, merchant_id string, amount double, timestamp timestamp"
 
 
