@@ -9,9 +9,11 @@ host's pages are nested to its template, each into slots of those before it. The
 What a slot holds decides what it is. Its prose is its text that is not in links, times the variation of that text from
 page to page: menus and notices have little. From the root the template follows the element that holds nearly all of
 the prose, and where it leads no further is the main element. Inside it, slots of links and of unchanging text are left
-out. What elements say of themselves only breaks ties: between elements that all hold the prose, one that is an
-article; and a slot inside the main element that holds less than half of its prose is left out if it calls itself
-something else (an advert, comments, a form).
+out. Where several elements hold prose that varies from page to page, as an article and the comments on it do, an element
+that is an article by its own word wins, whatever its share; elements that call themselves something else (an advert,
+comments, a form) don't count, nor do lists that come after it: equal siblings whose inner tokens are in their own
+equivalence class, so that each item has a name, a date and a text, say. Both are left out inside the main element too,
+if there is other prose in it.
 
 A slot's figures are pooled with those of the same slot in all hosts at the weight of PRIOR pages, so that a host of
 one page is judged like any other, and the more pages a host has the more they count; no number of pages is a switch.
@@ -41,8 +43,8 @@ PRIOR = 2.0
 """Pages that the figures of all hosts count as."""
 HELD = 0.8
 """Share of the prose that the element on the way to the main element holds."""
-HELD_MARKED = 0.5
-"""The same for an element that is an article by its own word."""
+LEAST = 0.05
+"""Share of the prose from which an element can be the article, whatever is around it."""
 LINK_SHARE = 0.5
 STEADY = 0.5
 """Variation, relative to the host's most varied slot, below which a slot's text is the template's."""
@@ -54,7 +56,7 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-_COUNTS = ("token", "parent", "kind", "slot", "n", "place", "chars", "linked", "text")
+_COUNTS = ("token", "parent", "kind", "slot", "n", "place", "chars", "linked", "text", "like")
 _SIGN = 1 << 63
 
 
@@ -73,16 +75,16 @@ def page_tokens(page: Page) -> list[tuple]:
             linked[es[i].parent] += linked[i]
             inner[es[i].parent] ^= inner[i]
     rows = [
-        (_signed(e.token), _signed(es[e.parent].token), e.kind, True, e.n, e.place, chars[i], linked[i], e.text or inner[i])
+        (_signed(e.token), _signed(es[e.parent].token), e.kind, True, e.n, e.place, chars[i], linked[i], e.text or inner[i], _signed(e.like))
         for i, e in enumerate(es)
     ]
-    rows += [(_signed(t), _signed(es[p].token), 0, False, n, at, 0, 0, 0) for t, (n, p, at) in page.others.items()]
+    rows += [(_signed(t), _signed(es[p].token), 0, False, n, at, 0, 0, 0, 0) for t, (n, p, at) in page.others.items()]
     return rows
 
 
 def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """A row for each page and token."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         for b in batches:
@@ -98,7 +100,7 @@ def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     narrow = pages.select(host(F.col(url)).alias("host"), F.xxhash64(key, url).alias("page"), F.col(html).cast("string").alias("html"))
     return map_batches(
         narrow, run,
-        "host string, page bigint, token bigint, parent bigint, kind int, slot boolean, n bigint, place bigint, chars bigint, linked bigint, text bigint",
+        "host string, page bigint, token bigint, parent bigint, kind int, slot boolean, n bigint, place bigint, chars bigint, linked bigint, text bigint, like bigint",
     )
 
 
@@ -116,6 +118,7 @@ def host_tokens(found: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"),
         F.min("kind").alias("kind"),
         F.max("slot").alias("slot"),
+        F.min("like").alias("like"),
     )
 
 
@@ -129,7 +132,7 @@ def frequent_tokens(own: DataFrame) -> DataFrame:
     size = own.where("token = 0").select("host", F.col("pages").alias("of"))  # every page has one root
     frequent = own.join(size, "host").where(F.col("pages") >= F.ceil(SUPPORT * F.col("of"))).join(every, "token")
     row = F.struct(
-        "token", "parent", "kind", "slot", "low", "high", "pages", "place", "chars", "linked", "texts",
+        "token", "parent", "kind", "slot", "like", "low", "high", "pages", "place", "chars", "linked", "texts",
         "all_pages", "all_chars", "all_linked", "all_texts",
     )
     return frequent.groupBy("host").agg(F.collect_list(F.to_json(row)).alias("tokens"))
@@ -185,13 +188,34 @@ def judged(rows: list[dict]) -> dict[int, bool]:
     for k in reversed(order[1:]):
         if slots[k]["kind"] != HIDDEN:
             mass[slots[k]["parent"]] += mass[k]
+    lists = _lists(template, slots, children)
+    listed = {k: sum(mass[c] for c in children[k] if c in lists) for k in order}
+    aside = lambda k: slots[k]["kind"] == ASIDE
+    varied = lambda k: vary[k] >= STEADY * most or any(varied(c) for c in children[k])
     chain = [0]
     while children[chain[-1]]:
-        best = max(children[chain[-1]], key=lambda k: (mass[k], -slots[k]["place"]))
-        if mass[best] <= 0 or mass[best] < _least(slots[best]["kind"]) * mass[chain[-1]]:
+        here = chain[-1]
+        some = [k for k in children[here] if mass[k] > 0 and mass[k] >= LEAST * mass[here]]
+        # What calls itself something else, and lists that follow, don't stand in the way of prose that varies as they do.
+        own = [k for k in some if not aside(k) and varied(k) and slots[k]["kind"] != HIDDEN]
+        prose = [k for k in own if slots[k]["kind"] == ARTICLE]
+        prose = prose or [k for k in own if not _list_like(k, listed, mass)]
+        best = max(prose or own or children[here], key=lambda k: (mass[k], -slots[k]["place"]))
+        rivals = mass[here]
+        if best in own:
+            rivals -= sum(mass[k] for k in children[here] if aside(k))
+            rivals -= sum(mass[k] for k in own if _list_like(k, listed, mass) and slots[k]["place"] > slots[best]["place"])
+        if mass[best] <= 0 or (slots[best]["kind"] != ARTICLE or best not in own) and mass[best] < HELD * rivals:
             break
         chain.append(best)
     main = next((k for k in chain if slots[k]["kind"] == ARTICLE), chain[-1])
+    inside = {main}
+    for k in order:
+        if k not in inside and k and slots[k]["parent"] in inside:
+            inside.add(k)
+    outermost = [k for k in inside - {main} if slots[k]["parent"] == main or not aside(slots[k]["parent"])]
+    beside = sum(mass[k] for k in outermost if aside(k) or k in lists and slots[k]["parent"] != main)
+    enough = mass[main] - beside >= LEAST * mass[main]
     out: dict[int, bool] = {}
     for k in order:
         if k == main:
@@ -199,13 +223,44 @@ def judged(rows: list[dict]) -> dict[int, bool]:
         elif not k or not out[slots[k]["parent"]]:
             out[k] = False
         else:
-            minor = mass[k] < mass[main] / 2
+            minor = mass[k] < mass[main] / 2 or enough
             links = chars[k] > 0 and linked[k] > LINK_SHARE * chars[k]
             steady = chars[k] > 0 and vary[k] < STEADY * most
-            out[k] = not (slots[k]["kind"] == HIDDEN or links or (minor and (steady or slots[k]["kind"] == ASIDE)))
+            gone = slots[k]["kind"] == HIDDEN or links or (mass[k] < mass[main] / 2 and steady) or (minor and aside(k))
+            out[k] = not (gone or (enough and _list_like(k, listed, mass) and k != main and _follows(k, main, children, mass, slots, lists)))
     return out
 
 
+def _lists(template: dict[int, dict], slots: dict[int, dict], children: dict[int, list[int]]) -> set[int]:
+    """Slots that are items of a list, as readers' comments are: equal siblings, each with two other tokens in it, or more,
+    that occur as often as the item in every page, by their equivalence class."""
+    held: dict[int, int] = defaultdict(int)
+    for t in template.values():
+        up = template.get(t["parent"])
+        if up is not None and up is not t and (t["low"], t["high"]) == (up["low"], up["high"]):
+            held[t["parent"]] += 1
+    out: set[int] = set()
+    for inner in children.values():
+        alike: dict[int, list[int]] = defaultdict(list)
+        for k in inner:
+            if slots[k]["kind"] != HIDDEN and held[k] >= 2:
+                alike[slots[k]["like"]].append(k)
+        for items in alike.values():
+            if len(items) >= 2:
+                out |= set(items)
+    return out
+
+
+def _list_like(k: int, listed: dict[int, float], mass: dict[int, float]) -> bool:
+    return listed[k] > HELD * mass[k] > 0
+
+
+def _follows(k: int, main: int, children: dict[int, list[int]], mass: dict[int, float], slots: dict[int, dict], lists: set[int]) -> bool:
+    """Whether a list comes after prose of the main element."""
+    before = mass[main] - sum(mass[c] for c in children[main])
+    return before > LEAST * mass[main] or any(c not in lists and mass[c] >= LEAST * mass[main] and slots[c]["place"] < slots[k]["place"] and c != k for c in children[main])
+
+
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """host, template (JSON: slot to whether it is main text)."""
     own = written(host_tokens(tokens(pages, key, url, html)), scratch(pages.sparkSession, "tokens"))
@@ -221,18 +276,14 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 def by_itself(page: Page) -> dict[int, bool]:
     """The template of one page. One page shows no variation, so elements that call themselves something else are believed."""
     rows = []
-    for token, parent, kind, slot, n, place, chars, linked, _ in page_tokens(page):
+    for token, parent, kind, slot, n, place, chars, linked, _, like in page_tokens(page):
         rows.append(
-            {"token": token, "parent": parent, "kind": HIDDEN if kind == ASIDE else kind, "slot": slot, "low": n, "high": 0, "pages": 1, "place": place, "chars": chars,
+            {"token": token, "parent": parent, "kind": HIDDEN if kind == ASIDE else kind, "slot": slot, "like": like, "low": n, "high": 0, "pages": 1, "place": place, "chars": chars,
              "linked": linked, "texts": 1, "all_pages": 1, "all_chars": 0, "all_linked": 0, "all_texts": 1}
         )
     return judged(rows)
 
 
-def _least(kind: int) -> float:
-    return HELD_MARKED if kind == ARTICLE else HELD
-
-
 def narrowed(page: Page, keep: list[bool], template: dict[int, bool]) -> list[bool]:
     """Where the template leads to an element without text of its own and the page goes on with elements that are in no
     template, as when a host's pages share their frame only, the way to the main element goes on in the same manner."""
@@ -252,7 +303,7 @@ def narrowed(page: Page, keep: list[bool], template: dict[int, bool]) -> list[bo
     while inner[at] and not own[at]:
         best = max(inner[at], key=lambda i: (mass[i], -i))
         known = _signed(es[best].token) in template  # the template has had its say: only if nothing else is lost
-        if mass[best] <= 0 or mass[best] < (1.0 if known else _least(es[best].kind)) * mass[at]:
+        if mass[best] <= 0 or mass[best] < (1.0 if known else LEAST if es[best].kind == ARTICLE else HELD) * mass[at]:
             break
         chain.append(at := best)
     if all(_signed(es[i].token) in template for i in chain):

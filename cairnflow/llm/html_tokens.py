@@ -114,6 +114,8 @@ class Element:
     linked: int = 0
     text: int = 0
     """Running CRC of the text directly in it."""
+    like: int = 0
+    """Token of the first of its equal siblings."""
 
 
 @dataclass
@@ -196,7 +198,8 @@ class Page:
                 if i is None:
                     i = known[token] = len(elements)
                     inside = bool(open_.get("article") or open_.get("main"))
-                    elements.append(Element(token, path[-1], kind_of(name, own, inside), 0, place))
+                    first = token if k == 1 else xxhash.xxh64_intdigest(f"{sign}#1", elements[path[-1]].token)
+                    elements.append(Element(token, path[-1], kind_of(name, own, inside), 0, place, like=first))
                 elements[i].n += 1
                 names.append(name)
                 path.append(i)
