@@ -156,12 +156,13 @@ _SHARES = 1 << 40
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, allowed, rows: int) -> DataFrame:
-    """key, text, label (0 or 1) of at most about `rows` documents of the allowed folds, by a hash of the key.
+    """key, text, label (0 or 1) of at most about `rows` documents of the allowed folds, by a hash of the key. Labels that are
+    neither 0 nor 1 are no labels.
 
     The chosen labels are bounded by `rows`, so they are broadcast and only their texts are shuffled: of rows that
     repeat a key one is used, chosen by a hash of its text, so that the rows are bounded too."""
     known = (
-        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+        labels.where(F.coalesce(F.col(label).try_cast("double").isin(0.0, 1.0), F.lit(False)) & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(F.col(label).cast("int")).alias("label"))
         .where(allowed("key"))
