@@ -1,9 +1,11 @@
 """Secret scan: three fixed patterns, and sliding-window Shannon entropy per character class.
 
-Every candidate string (a long run of key characters) is put in a character class; a window slides over it while the
-counts of its characters, and with them the entropy, are kept up to date incrementally. Windows at or over the class's
-threshold, with digits or changes of case as keys have them, are joined to spans. Windows that touch a stretch that the
-allow-list explains (a UUID, a placeholder word with the letters around it) don't count; others of the candidate do.
+Every candidate string (a long run of key characters; of a path each part between slashes) is put in a character class; a
+window slides over it while the counts of its characters, and with them the entropy, are kept up to date incrementally.
+Windows at or over the class's threshold are joined to spans if they don't read like names: a name's letters follow each
+other as in words, and its digits stand together; in a key most neighbours are odd (see odd_pairs). Windows that touch a
+stretch that the allow-list explains (a UUID, a placeholder word with the letters around it) don't count; others of the
+candidate do.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty
 table; columns other than the key and the text are not read.
@@ -30,15 +32,27 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 # Bits per character that a window of each class must reach.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8, "letters": 3.9}
+THRESHOLDS = {"hex": 3.0, "alnum": 3.4, "base64": 3.5, "letters": 3.3}
+
+# Pairs of letters as words have them, besides those of a consonant and a vowel.
+CONSONANTS = frozenset(
+    "bb bl br bs cc ch ck cl cr cs ct dd dg dr ds ff fl fr ft gg gh gl gr gs ht kn ks ld lf lk ll lm lp ls lt lv mb mm mp ms "
+    "nc nd nf ng nk nn ns nt nv ph pl pp pr ps pt rb rc rd rf rg rk rl rm rn rp rr rs rt rv sc sh sk sl sm sn sp ss st sw tch "
+    "th tr ts tt tw wh wn wr ws xp xt".split()
+)
+VOWELS = frozenset("ai au ay ea ee ei eu ey ia ie io iu oa oe oi oo ou oy ua ue ui uo".split())
+RARE = frozenset("ax ex ix ja je jo ju ox qu xi za ze zi zo az iz oz".split())
+"""Pairs with j, q, x or z."""
+ODD_SHARE = 0.43
+"""Share of odd pairs, of those that can be odd, from which a window reads like a key."""
+KEY_PART = 12
+"""A string with slashes may be a key as a whole if its parts are this long on average."""
 
 # Fixed patterns: stretches of a candidate that look random and are not secrets.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:example|placeholder|changeme|dummy|abcdefgh|01234567)",
 )
-DIGITS, SWITCHES = 3, 7
-"""A window holds so many digits, or changes so often between lower case, upper case and digits; names and paths don't."""
 
 
 @dataclass(frozen=True)
@@ -47,8 +61,7 @@ class ScanSettings:
     min_assigned: int = 12
     thresholds: dict[str, float] = field(default_factory=lambda: dict(THRESHOLDS))
     allowed: tuple[str, ...] = ALLOWED
-    digits: int = DIGITS
-    switches: int = SWITCHES
+    odd_share: float = ODD_SHARE
 
 
 def char_class(s: str) -> str | None:
@@ -63,6 +76,49 @@ def char_class(s: str) -> str | None:
     return "alnum" if s.isalnum() else "base64"
 
 
+def word_pair(pair: str) -> bool:
+    """Whether two letters follow each other in words."""
+    a, b = pair
+    if "j" in pair or "q" in pair or "x" in pair or "z" in pair:
+        return pair in RARE or pair in CONSONANTS
+    vowels = (a in "aeiou") + (b in "aeiou")
+    return vowels == 1 or pair in (VOWELS if vowels else CONSONANTS)
+
+
+_WORDLIKE = {a + b: word_pair(a + b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def odd_pairs(s: str) -> tuple[list[int], list[int]]:
+    """Running counts of neighbours that can be odd, and of those that are: letters that don't follow each other in words, a
+    letter beside a digit, and a capital that ends a word of three letters or fewer. A capital after a longer word, as in names
+    of several words, digits among themselves and signs are neither."""
+    can, odd, word = [0], [0], 1
+    for a, b in zip(s, s[1:], strict=False):
+        if a.isalpha() and b.isalpha():
+            capital = a.islower() and b.isupper()
+            strange = word < 4 if capital else not _WORDLIKE[(a + b).lower()]
+            said = strange or not capital
+            word = 1 if capital else word + 1
+        else:
+            said = strange = (a.isalpha() and b.isdigit()) or (a.isdigit() and b.isalpha())
+            word = 1
+        can.append(can[-1] + said)
+        odd.append(odd[-1] + strange)
+    return can, odd
+
+
+def path_parts(s: str, share: float = ODD_SHARE) -> list[tuple[int, int]]:
+    """The parts of a candidate that are judged by themselves: those between slashes, unless it reads like a key as a whole and has
+    few of them."""
+    cuts = [i for i, c in enumerate(s) if c == "/"]
+    if cuts:
+        can, odd = odd_pairs(s)
+        if odd[-1] < share * can[-1] or len(s) < KEY_PART * (len(cuts) + 1):
+            edges = [-1, *cuts, len(s)]
+            return [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if b > a + 1]
+    return [(0, len(s))]
+
+
 def dense_windows(s: str, window: int, threshold: float, fits=lambda start, end: True) -> list[tuple[int, int]]:
     """Maximal unions of windows whose entropy is at least the threshold and that fit.
 
@@ -105,8 +161,8 @@ class Scanner:
         self.allowed = [re.compile(p) for p in settings.allowed]
 
     def mixed(self, s: str):
-        """Whether a window of s has the mix of keys and touches nothing that the allow-list explains; in constant time
-        by running counts."""
+        """Whether a window of s reads like a key and touches nothing that the allow-list explains; in constant time by
+        running counts."""
         blocked = [0] * (len(s) + 1)
         for p in self.allowed:
             done = 0
@@ -121,17 +177,13 @@ class Scanner:
                     blocked[end] -= 1
                     done = end
         allowed = _running(map(bool, accumulate(blocked)))
-        digits = _running(map(str.isdigit, s))
-        kinds, last, switch = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "" for c in s], "", []
-        for k in kinds:
-            switch.append(bool(k and last and k != last))
-            last = k or last
-        switches, own = _running(switch), self.settings
+        can, odd = odd_pairs(s)
+        share = self.settings.odd_share
 
         def fits(start: int, end: int) -> bool:
             if allowed[end] > allowed[start]:
                 return False
-            return digits[end] - digits[start] >= own.digits or switches[end] - switches[start + 1] >= own.switches
+            return odd[end - 1] - odd[start] >= max(share * (can[end - 1] - can[start]), (end - start) * share / 2)
 
         return fits
 
@@ -147,11 +199,7 @@ class Scanner:
         """Spans that the base scan hasn't covered already."""
         out, at, reach = [], 0, 0
         for m in self.candidate.finditer(text):
-            s = m.group()
-            kind = char_class(s)
-            if kind is None:
-                continue
-            for a, b in dense_windows(s, self.settings.window, self.settings.thresholds[kind], self.mixed(s)):
+            for a, b in self._windows(m.group()):
                 a, b = a + m.start(), b + m.start()
                 while at < len(known) and known[at][0] <= a:  # both are in order, so the base spans are passed once
                     reach = max(reach, known[at][2])
@@ -160,6 +208,16 @@ class Scanner:
                     out.append((a, 3, b))
         return out
 
+    def _windows(self, candidate: str) -> list[tuple[int, int]]:
+        out = []
+        for begin, end in path_parts(candidate, self.settings.odd_share):
+            s = candidate[begin:end]
+            kind = char_class(s) if len(s) >= self.settings.window else None
+            if kind is not None:
+                found = dense_windows(s, self.settings.window, self.settings.thresholds[kind], self.mixed(s))
+                out += [(a + begin, b + begin) for a, b in found]
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         base = self.base(text)
         return sorted(base + self.entropic(text, base))

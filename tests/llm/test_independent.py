@@ -88,6 +88,65 @@ def test_random_keys_are_found_and_names_are_not():
     assert [x for t in plain for x in scanner.scan(t)] == []
 
 
+NAMES = (
+    "get set user account by id and region handler create update delete request response manager service factory builder controller abstract default internal "
+    "transform plugin module common babel react native android python dist packages site lib local config network socket stream buffer parser token syntax tree "
+    "node graph matrix vector layer model train test score metric logger format filter worker thread queue stack heap cache memory file folder path archive "
+    "compress encode decode encrypt sign verify public key session cookie header footer html script style image video shader mesh camera render export import"
+).split()
+
+
+def harmless(kind, rng):
+    """A generated name of a kind, longer than a window."""
+    some = lambda n: rng.choices(NAMES, k=n)
+    short = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(1, 7)))
+    if kind == "camel":
+        first, *rest = some(rng.randrange(4, 8))
+        return first + "".join(w.capitalize() for w in rest) + rng.choice(["", "V2", "2", "Impl"])
+    if kind == "path":
+        parts = (rng.choice(["-", "_", ""]).join(some(rng.randrange(1, 4))) + rng.choice(["", "3", "2011", "-es2015", "_v12"]) for _ in range(rng.randrange(3, 7)))
+        return rng.choice(["/usr/lib/", "./src/", "node_modules/@babel/", ""]) + "/".join(parts) + rng.choice([".py", ""])
+    if kind == "url":
+        parts = (rng.choice([short(), str(rng.randrange(10**6)), "-".join(some(4)), some(1)[0]]) for _ in range(rng.randrange(3, 8)))
+        return f"https://{some(1)[0]}.example.com/" + "/".join(parts)
+    return "-".join(some(rng.randrange(4, 9))) + rng.choice(["", "-2023-11-05", "-20240117"]) if kind == "slug" else "_".join(some(rng.randrange(3, 7))).upper()
+
+
+@pytest.mark.parametrize("kind", ["camel", "path", "url", "slug", "constant"])
+def test_names_are_no_secrets(kind):
+    rng, scanner = random.Random(kind), secrets.Scanner()
+    found = sum(bool(scanner.scan(f"see {harmless(kind, rng)} here")) for _ in range(10_000))
+    assert found < 50  # under half a percent
+
+
+@pytest.mark.parametrize("letters, n", [
+    (string.ascii_letters + string.digits, 24), (string.ascii_lowercase + string.digits, 24), (string.ascii_letters, 24), (string.ascii_lowercase, 32),
+    (string.ascii_letters + string.digits + "+/", 40), (string.ascii_letters + string.digits + "-_", 43), (string.ascii_uppercase + string.digits, 32),
+])
+def test_keys_of_all_kinds_are_found(letters, n):
+    rng, scanner = random.Random(n + len(letters)), secrets.Scanner()
+    found = sum(any(k == 3 for _, k, _ in scanner.scan("x = '" + "".join(rng.choices(letters, k=n)) + "';")) for _ in range(2000))
+    assert found / 2000 >= 0.94
+
+
+def test_running_counts_of_odd_pairs_equal_direct_ones():
+    rng = random.Random(12)
+    for _ in range(300):
+        s = "".join(rng.choices(string.ascii_letters + string.digits + "/-_", k=rng.randrange(1, 60)))
+        can, odd = secrets.odd_pairs(s)
+        assert len(can) == len(odd) == len(s)
+        for i in range(len(s) - 1):
+            a, b = s[i : i + 2]
+            word = 1
+            while word <= i and s[i - word].isalpha() and not (s[i - word].islower() and s[i - word + 1].isupper()):
+                word += 1
+            if a.isalpha() and b.isalpha():
+                want = (word < 4,) * 2 if a.islower() and b.isupper() else (True, not secrets.word_pair((a + b).lower()))
+            else:
+                want = ({a.isalpha(), b.isalpha()} == {True, False} and {a.isdigit(), b.isdigit()} == {True, False},) * 2
+            assert (can[i + 1] - can[i], odd[i + 1] - odd[i]) == want
+
+
 def test_features_equal_plain_version():
     """Counted by another way: regular expressions and nested loops over the tokens."""
     lexicon = Lexicon({"vileword": 7}, {"nast": 3})
