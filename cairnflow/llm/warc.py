@@ -23,12 +23,14 @@ import uuid
 import zipfile
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm.common import map_batches, scratch, written
+from cairnflow.llm.filters import MOST_BYTES, Filter, key_filter
 from cairnflow.llm.zip_directory import ZipDirectory
 
 PACKAGE_BYTES = 32 << 20
@@ -112,26 +114,55 @@ class Package:
 _MANIFEST = pa.schema([("package", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
 
+def _chosen(known, passing: bool):
+    """Rows whose digest a broadcast filter lets pass, or the others."""
+
+    def choose(batches):
+        for b in batches:
+            keys = np.array([int(d[:16], 16) for d in b.column("digest").to_pylist()], np.uint64)
+            yield b.filter(pa.array(known.value.has(keys) == passing))
+
+    return choose
+
+
 def write_packages(
-    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, package_bytes: int = PACKAGE_BYTES
-) -> DataFrame:
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, package_bytes: int = PACKAGE_BYTES,
+    filter_bytes: int = MOST_BYTES,
+) -> DataFrame:
     """The manifest of the packages: package, bytes, records. The key must be an integer.
 
-    Which record is the response is the smallest key of each payload digest: an aggregate of narrow rows, joined back.
-    The few digests of very many pages are broadcast, so that their pages stay where they are, and the others shuffled."""
+    Which record is the response is the smallest key of each payload digest: an aggregate of narrow rows. Only pages whose
+    digest repeats have to learn of it; a filter of these digests, sent to all tasks where its size allows, tells which may
+    be such, and all others are packed where they are. Of those it lets pass, pages of the few digests of very many pages
+    meet them by broadcast, and the rest is shuffled."""
     folder = scratch(pages.sparkSession, "packages")
+    spark = pages.sparkSession
     rows = pages.select(
         F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = rows.groupBy("digest").agg(F.min("page").alias("first"), F.max(F.col("page").isNull()).alias("none"), F.count("*").alias("n"))
-    first = written(first, f"{folder}/digests")
-    hot = first.where(F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE).select("digest", "first", "none")
+    repeated = written(first.where("n > 1"), f"{folder}/digests")
+    total = rows.count()
+    hot = repeated.where(F.col("n") > total // HOT_SHARE).select("digest", "first", "none")
+    kinds = "page bigint, url string, html string, digest string"
+    count = repeated.count()
+    if Filter.size(count) * 8 <= filter_bytes:
+        keys = repeated.select(F.conv(F.substring("digest", 1, 16), 16, -10).cast("long").alias("key"))
+        known = spark.sparkContext.broadcast(key_filter(keys, count))
+        alone, rows = (map_batches(rows, _chosen(known, passing), kinds, rows=64) for passing in (False, True))
+    else:
+        alone = None
     common = rows.join(F.broadcast(hot), "digest")
-    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(first.drop("n"), "digest")
+    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.drop("n"), "digest", "left")
     placed = common.unionByName(others).withColumn(
         "revisit",
-        (F.octet_length("html") >= min_bytes) & F.col("page").isNotNull() & ~F.col("none") & (F.col("page") > F.col("first")),
+        F.coalesce((F.octet_length("html") >= min_bytes) & F.col("page").isNotNull() & ~F.col("none") & (F.col("page") > F.col("first")), F.lit(False)),
     )
+    columns = ["page", "url", "html", "first", "revisit"]
+    placed = placed.select(*columns)
+    if alone is not None:
+        own = alone.select("page", "url", "html", F.col("page").alias("first"), F.lit(False).alias("revisit"))
+        placed = own.unionByName(placed)
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
@@ -154,7 +185,7 @@ def write_packages(
         if package.n:
             yield put(package)
 
-    manifest = map_batches(placed.select("page", "url", "html", "first", "revisit"), run, "package string, bytes bigint, records bigint")
+    manifest = map_batches(placed, run, "package string, bytes bigint, records bigint")
     return written(manifest, f"{folder}/manifest")
 
 

@@ -18,3 +18,18 @@ def test_packages_of_revisits_are_bounded(spark):
     assert len(sizes) > 5 and max(sizes) < 200_000
     back = warc.read_packages(manifest, payload=False).collect()
     assert len(back) == 3000 and sorted(r.page_id for r in back if r.record_type == "response") == [0]
+
+
+def test_pages_of_repeated_payloads_whatever_way_they_come(spark):
+    """Hot digests, digests of a few pages and pages of their own, with a filter and without one."""
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 4}" if i % 3 == 1 else f"own {i}") for i in range(4000)] + [(None, "hot"), (None, "own null"), (77, "own 77")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").repartition(6)
+    first, nulls = {}, {h for i, h in rows if i is None}
+    for i, h in rows:
+        first[h] = min(first.get(h, 1 << 60), 1 << 60 if i is None else i)
+    assert sum(n > 1 for n in __import__("collections").Counter(h for _, h in rows).values()) > 300
+    want = sorted((i, "revisit" if i > first[h] and h not in nulls else "response", first[h] if i > first[h] and h not in nulls else None) for i, h in rows if i is not None)
+    for limit in (1 << 20, 0):
+        back = warc.read_packages(warc.write_packages(pages, filter_bytes=limit, package_bytes=50_000), payload=False).collect()
+        assert sorted((r.page_id, r.record_type, r.refers_to) for r in back if r.page_id is not None) == want
+        assert sum(r.page_id is None for r in back) == 2
