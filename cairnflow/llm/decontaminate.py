@@ -6,8 +6,9 @@ hold no phrase and are left out. All phrases (windows of `window` words of an it
 searched backward at once, occurrences are located by sampled suffix positions, and the words that they cover are
 merged to spans.
 
-The phrases are broadcast in blocks of bounded size, one after the other; more blocks mean more passes over the same
-rows, so a benchmark of any size is searched in full.
+The phrases are broadcast in blocks of bounded size, one after the other: items are taken once, long ones in pieces, and
+dealt out by size. Where there is more than one block, documents without any window whose hash is a phrase's stay where
+they are, and only the others, few, go from block to block; so a benchmark of any size is searched in full.
 
 Defined results: null and empty texts and items have no words and no hits; repeated documents each get their own
 result; items with the same id count once; the words that an item without an id hits count, but it is in no list of items; an empty table on either side gives no hits; further columns are not read.
@@ -21,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm.common import extended, map_batches, scratch, text_input, written
+from cairnflow.llm.filters import MOST_BYTES, Filter, Prints, key_filter, mixed
 from cairnflow.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -34,6 +37,9 @@ SHARD_DOCS = 20_000
 BLOCK_CHARS = 4 << 20
 """Characters of benchmark items in a broadcast block. As arrays a block takes about 20 bytes of memory a character."""
 
+PIECE_WORDS = 20_000
+"""Windows of a piece of a long item."""
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 """A word before A-Z are lower-cased."""
 _TO_WORDS = bytes(
@@ -206,31 +212,113 @@ def _shards(phrases: Phrases, batches):
     yield from flush()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, spark):
-    """Whether it is the last, and the phrases of the items, in broadcast blocks of about BLOCK_CHARS characters; each is
-    made when it is asked for."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(
-        F.col("text").isNotNull()
-    )
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(chars / BLOCK_CHARS))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield k == n - 1, spark.sparkContext.broadcast(Phrases.of_items([(r["item"], r["text"]) for r in part.collect()], window))
+def _pieces(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """item, text, chars: each item once, as words; long ones in pieces that hold each of its windows once."""
+
+    def cut(batches):
+        for b in batches:
+            names, texts = [], []
+            for name, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(t)
+                for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                    names.append(name)
+                    texts.append(b" ".join(words[at : at + PIECE_WORDS + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return map_batches(rows, cut, "item string, text string").where("text <> ''").distinct().withColumn("chars", F.length("text"))
+
+
+def _dealt(pieces: DataFrame, most: int) -> list[Column | None]:
+    """Conditions that part the pieces into blocks of about `most` characters; where a hash deals out more than twice as
+    many, the block is dealt out again."""
+    chars = pieces.agg(F.sum("chars")).first()[0] or 0
+    n = max(1, math.ceil(chars / most))
+    if n == 1:
+        return [None]
+    first = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    out: list[Column | None] = []
+    for r in pieces.groupBy(first.alias("k")).agg(F.sum("chars").alias("chars")).orderBy("k").collect():  # a row for each block
+        again = math.ceil(r.chars / most) if r.chars > 2 * most else 1
+        out += [(first == r.k) & (F.pmod(F.xxhash64("text", "item", F.lit(1)), F.lit(again)) == j) for j in range(again)]
+    return out
+
+
+def _blocks(pieces: DataFrame, parts: list[Column | None], window: int):
+    """Whether it is the last, and the phrases of the pieces, in broadcast blocks; each is made when it is asked for."""
+    spark = pieces.sparkSession
+    for k, part in enumerate(parts):
+        rows = (pieces if part is None else pieces.where(part)).select("item", "text").collect()
+        yield k == len(parts) - 1, spark.sparkContext.broadcast(Phrases.of_items([(r["item"], r["text"]) for r in rows], window))
+
+
+def _window_keys(words: list[bytes], length: int) -> np.ndarray:
+    """A hash of each window of a number of words."""
+    if len(words) < length:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return mixed(Prints.over(one).of(length) ^ np.uint64(length))
+
+
+def _phrase_filter(pieces: DataFrame, window: int, most: int):
+    """The lengths of phrases and a broadcast filter of their hashes; None if that would be too large."""
+
+    def hash_all(batches):
+        for b in batches:
+            keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                keys.append(_window_keys(words, size := min(window, len(words))))
+                sizes.append(np.full(len(keys[-1]), size, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes))], ["key", "size"])
+
+    spark = pieces.sparkSession
+    keys = written(map_batches(pieces.select("text"), hash_all, "key bigint, size int").distinct(), scratch(spark, "phrases"))
+    count = keys.count()
+    if Filter.size(count) * 8 > most:
+        return None
+    return [r.size for r in keys.select("size").distinct().collect()], spark.sparkContext.broadcast(key_filter(keys, count))  # window lengths
+
+
+def _sieve(lengths: list[int], known, passing: bool):
+    """Rows that may hold a phrase, or the others with their number of words."""
+
+    def sieve(batches):
+        for b in batches:
+            held, counts = [], []
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                counts.append(len(words))
+                held.append(any(known.value.has(_window_keys(words, n)).any() for n in lengths))
+            taken = pa.array([h == passing for h in held], pa.bool_())
+            yield b.append_column("n_words", pa.array(counts, pa.int64())).filter(taken)
+
+    return sieve
 
 
 _STATE = ["n_words", "word_spans", "items"]
 
 
-def _search(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, finish=None, schema: str = "") -> DataFrame:
+def _search(
+    rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, finish=None, schema: str = "",
+    block_chars: int = BLOCK_CHARS, filter_bytes: int = MOST_BYTES,
+) -> DataFrame:
     """rows: key, text. Adds the state columns, block by block; finish(batch, word spans) makes the last block's output
-    of them instead, so that one block needs one pass through Python."""
+    of them instead, so that one block needs one pass through Python. With several blocks, only rows in which a filter of
+    all phrases finds one go from block to block."""
     spark, kind = rows.sparkSession, rows.schema["key"].dataType.simpleString()
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    found = rows.select(
-        "key", "text", F.lit(0).cast("long").alias("n_words"), empty.alias("word_spans"), F.array().cast("array<string>").alias("items")
-    )
-    for is_last, shared in _blocks(benchmark, item, item_text, window, spark):
+    pieces = written(_pieces(benchmark, item, item_text, window), scratch(spark, "benchmark"))
+    parts = _dealt(pieces, block_chars)
+    state = f"key {kind}, text string, n_words bigint"
+    empty = [F.array().cast("array<struct<start:bigint,end:bigint>>").alias("word_spans"), F.array().cast("array<string>").alias("items")]
+    sieve = _phrase_filter(pieces, window, filter_bytes) if len(parts) > 1 else None
+    clean = None
+    if sieve is not None:
+        clean = map_batches(rows, _sieve(*sieve, False), state)
+        clean = clean.select("key", "text") if finish else clean.select("key", "text", "n_words", *empty)
+        rows = map_batches(rows, _sieve(*sieve, True), state)
+    found = rows.select("key", "text", F.lit(0).cast("long").alias("n_words"), *empty)
+    for is_last, shared in _blocks(pieces, parts, window):
         last = finish if is_last else None
 
         def run(batches, shared=shared, last=last):
@@ -255,7 +343,7 @@ def _search(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, wi
             # Each block's pass is written, so that the driver and the workers hold one block at a time.
             found = written(found, scratch(spark, "leaks"))
             shared.destroy()
-    return found
+    return found if clean is None else found.unionByName(clean)
 
 
 def find_leaks(
@@ -266,9 +354,12 @@ def find_leaks(
     item: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
+    block_chars: int = BLOCK_CHARS,
+    filter_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """key, text, n_words, word_spans (merged spans of hit words), items. with_char_spans adds the spans as code points."""
-    return _search(text_input(docs, key, text), benchmark, item, item_text, window).withColumnRenamed("key", key)
+    found = _search(text_input(docs, key, text), benchmark, item, item_text, window, block_chars=block_chars, filter_bytes=filter_bytes)
+    return found.withColumnRenamed("key", key)
 
 
 def with_char_spans(found: DataFrame) -> DataFrame:
@@ -295,8 +386,9 @@ def cut(text: str, word_spans: list[tuple[int, int]]) -> str:
 
 
 def remove_leaks(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    block_chars: int = BLOCK_CHARS, filter_bytes: int = MOST_BYTES,
+) -> DataFrame:
     """docs with the merged spans cut out of the text; other columns are unchanged. No shuffle: rows stay where they are."""
     rest = F.struct(*(F.col(c) for c in docs.columns if c != text)) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("none"))
     packed = docs.select(rest.alias("key"), F.col(text).alias("text"))
@@ -306,5 +398,5 @@ def remove_leaks(
         return pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
     kind = packed.schema["key"].dataType.simpleString()
-    left = _search(packed, benchmark, item, item_text, window, finish, f"key {kind}, text string")
+    left = _search(packed, benchmark, item, item_text, window, finish, f"key {kind}, text string", block_chars, filter_bytes)
     return left.select(*(F.col("text").alias(c) if c == text else F.col("key")[c].alias(c) for c in docs.columns))

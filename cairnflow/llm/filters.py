@@ -31,6 +31,33 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(keys[0])]])
 
 
+_BYTE = (np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0]) ^ ((np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) >> np.uint64(23))
+
+
+class Prints:
+    """Hashes of all parts of a text of any one length, from hashes of parts of 1, 2, 4, ... bytes (or words)."""
+
+    def __init__(self, text: bytes):
+        self.powers = [_BYTE[np.frombuffer(text, np.uint8)]]
+
+    @classmethod
+    def over(cls, hashes: np.ndarray) -> Prints:
+        """Of a sequence of anything that has hashes."""
+        out = cls(b"")
+        out.powers = [hashes]
+        return out
+
+    def of(self, length: int) -> np.ndarray:
+        top = length.bit_length() - 1
+        while len(self.powers) <= top:
+            h, n = self.powers[-1], 1 << (len(self.powers) - 1)
+            h = h[:-n] * MULTIPLIERS[1] + h[n:]
+            self.powers.append(h ^ (h >> np.uint64(29)))
+        h, m = self.powers[top], len(self.powers[0]) - length + 1
+        rest = length - (1 << top)
+        return mixed(h[:m] * MULTIPLIERS[0] + h[rest : rest + m])
+
+
 class Filter:
     """Which keys may be in a set: each sets four bits of one word, at 16 bits for a key. It never denies a key that is in it, and few others pass."""
 

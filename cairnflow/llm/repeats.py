@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import suffix_array
 from cairnflow.llm.common import map_batches, scratch, written
-from cairnflow.llm.filters import MOST_BYTES, MULTIPLIERS, Filter, key_filter, mixed, runs
+from cairnflow.llm.filters import MOST_BYTES, Filter, Prints, key_filter, mixed, runs
 
 LENGTH = 100
 HOT_BYTES = 4 << 20
@@ -31,31 +31,12 @@ SALTS = 64
 TEXT_BYTES = 1 << 19
 """Longer texts are taken in pieces, so that the work on one has bounded memory."""
 _POSITION = np.uint64((1 << 20) - 1)
-_BYTE = (np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0]) ^ ((np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1]) >> np.uint64(23))
 
 Place = "doc bigint, tie binary, start bigint, n bigint"
 """A run of n windows of a document, from byte start on. With a body it is a fragment; without, the windows have all
 occurred before."""
 
 
-class Prints:
-    """Hashes of all parts of a text of any one length, from hashes of parts of 1, 2, 4, ... bytes."""
-
-    def __init__(self, text: bytes | np.ndarray):
-        self.bytes = np.frombuffer(text, np.uint8)
-        self.powers = [_BYTE[self.bytes]]
-
-    def of(self, length: int) -> np.ndarray:
-        top = length.bit_length() - 1
-        while len(self.powers) <= top:
-            h, n = self.powers[-1], 1 << (len(self.powers) - 1)
-            h = h[:-n] * MULTIPLIERS[1] + h[n:]
-            self.powers.append(h ^ (h >> np.uint64(29)))
-        h, m = self.powers[top], len(self.bytes) - length + 1
-        rest = length - (1 << top)
-        return mixed(h[:m] * MULTIPLIERS[0] + h[rest : rest + m])
-
-
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     m, n = h, 1
     while 2 * n <= width:

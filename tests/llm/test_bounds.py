@@ -1,6 +1,10 @@
 """Vectors of any finite size link; packages are bounded whatever their records are."""
 
-from cairnflow.llm import collisions, warc
+import random
+
+import pytest
+
+from cairnflow.llm import collisions, decontaminate, warc
 
 
 def test_vectors_of_any_finite_size_link(spark):
@@ -33,3 +37,27 @@ def test_pages_of_repeated_payloads_whatever_way_they_come(spark):
         back = warc.read_packages(warc.write_packages(pages, filter_bytes=limit, package_bytes=50_000), payload=False).collect()
         assert sorted((r.page_id, r.record_type, r.refers_to) for r in back if r.page_id is not None) == want
         assert sum(r.page_id is None for r in back) == 2
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 0])
+def test_benchmarks_in_any_blocks(spark, filter_bytes, monkeypatch):
+    """Equal items, one long item and items of few words, in one block and in many: the same hits."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    prose = lambda n: " ".join(r.choices(words, k=n))
+    items = [(str(i), prose(r.choice([1, 3, 9, 10, 14, 30]))) for i in range(40)] + [("same", prose(25))] * 30 + [("long", prose(900)), (None, prose(12)), ("none", None), ("blank", " ,")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    said = [t for _, t in items if t and len(t.split()) > 8]
+    docs = [(i, f"x{i} y " + (r.choice(said)[: r.randrange(20, 200)] if i % 3 else "") + f" z{i} " + prose(5)) for i in range(90)]
+    docs += [(200, None), (201, ""), (202, items[70][1][400:2500])]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, key int")
+    result = lambda **of: sorted((f.doc_id, f.n_words, [tuple(s) for s in f.word_spans], f.items) for f in decontaminate.find_leaks(df, bench, **of).collect())
+    whole, left = result(), sorted(map(tuple, decontaminate.remove_leaks(df, bench).collect()))
+    assert sum(bool(w[2]) for w in whole) > 20
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 50)
+    pieces = decontaminate._pieces(bench, "item_id", "text", 10)
+    parts = decontaminate._dealt(pieces, 600)
+    sizes = [pieces.where(p).groupBy().sum("chars").first()[0] or 0 for p in parts]
+    assert len(parts) > 5 and max(sizes) < 2400
+    assert result(block_chars=600, filter_bytes=filter_bytes) == whole
+    assert sorted(map(tuple, decontaminate.remove_leaks(df, bench, block_chars=600, filter_bytes=filter_bytes).collect())) == left
