@@ -110,3 +110,15 @@ def test_engine_without_the_corpus_folders(tmp_path):
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print('rolling_features' in q, 'st_ingest' in s, any(n.startswith('op1') for n in q), 'pipeline' in q)"
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=False)
     assert out.stdout.split() == ["True", "True", "False", "False"], out.stderr
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_bursts_are_learned_from_what_came_before(spark):
+    """One fit serves the three queries of the model; it tells bursts of later transactions."""
+    import __spark_entry__
+
+    run = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    report = {r.figure: r.value for r in run("rf_report")}
+    assert report["roc_auc"] > 0.95
+    row = run("rf_train")[0]
+    assert row.recall > 0.8 and row.tp > 20 and len(run("rf_score")) == row.tp + row.fp + row.fn + row.tn
