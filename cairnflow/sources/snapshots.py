@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 16
+BUCKETS = 8
 INDEX_WORDS = 1 << 14
 """Words of 64 bits of a file's filter: at 16 bits a key for files of 65,000 keys; with more keys it says yes more often."""
 MOST_FILES = 8

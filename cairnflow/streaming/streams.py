@@ -9,6 +9,7 @@ reads does not grow with the history."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 import pandas as pd
@@ -96,6 +97,7 @@ def ingest(lines: DataFrame, folder: str, checkpoint: str, definitions: DataFram
         ], n)
         batch = read.over(batch).persist()
         records = route(batch).persist()
+        records.count()  # reads the batch once; the writes below share it and run side by side
         plain = [c for c in records.columns if c not in (*IDS, "reason", "raw")]
         values = unpivot(records.where("reason IS NULL").drop("reason"), plain, [*IDS, "raw"])
         if definitions is not None:
@@ -114,9 +116,13 @@ def ingest(lines: DataFrame, folder: str, checkpoint: str, definitions: DataFram
         kept = counters.Counted("ingest", [("values", "log", F.count(F.lit(1)))], n)
         left = counters.Counted("ingest", counters.by_value("dead_letters", F.col("kind"), (*kinds, "values")), n)
         log = values.select(*IDS, "feature_name", "feature_value")
-        changes = {"log": store.append("log", kept.over(log)), "dead_letters": store.append("dead_letters", left.over(dead))}
         latest = log.select(*LATEST_KEY, "feature_value", "occurred_at", "event_id")
-        changes["latest"] = store.merge("latest", latest, LATEST_KEY, [F.col("occurred_at"), F.col("event_id")])
+        with ThreadPoolExecutor(3) as pool:
+            made = {
+                "log": pool.submit(store.append, "log", kept.over(log)), "dead_letters": pool.submit(store.append, "dead_letters", left.over(dead)),
+                "latest": pool.submit(store.merge, "latest", latest, LATEST_KEY, [F.col("occurred_at"), F.col("event_id")]),
+            }
+            changes = {name: m.result() for name, m in made.items()}
         counted = [*read.rows(), *kept.rows(), *left.rows()]
         changes["counters"] = store.append("counters", counters.table(store.spark, counted).coalesce(1))
         for df in (checked, records, batch):
