@@ -13,13 +13,19 @@ share masked bit patterns and drop whole groups by accumulated differences.
 Check. Candidates are compared by their exact sets, an ordinary join. The first rounds compare each row with the nearest
 one of each table only, or, in groups of equal masked bits that are large, with the one in the middle of its surroundings:
 copies that were edited apart are nearer to what they were copied from than to each other, so a large group is united by
-a few comparisons a row. The last round compares, in each table, all rows within the radius
+a few comparisons a row. The last round by tables compares, in each table, all rows within the radius
 that are still in different components: those outside a group's largest component against all of it, so that a large
-component isn't compared with itself; a pair that meets in several tables comes out of the first of them only. No
-candidate pair is left out, save those whose component is known already or that can't be similar enough: by their numbers
+component isn't compared with itself; a pair that meets in several tables comes out of the first of them only. Left out
+are pairs whose component is known already or that can't be similar enough: by their numbers
 of shingles, or by what is known of both and a third text that both were compared with (how many shingles each has beside
 it and lacks of it, and marks of the former). So copies that were edited apart are not compared with each other.
 
+The rest, exactly. Tables and radius lose a few pairs, so a round by prefixes follows that loses none: in any one order of
+all shingles, two sets of the least similarity share one among the first n - ceil(least * n) + 1 of each. The order has
+shingles that are frequent in a sample last (any order gives the same links; this one makes few pairs). Rows that share a
+shingle there and are in different components are a pair if their sizes and the places of that shingle allow it, then if
+the parities of how many members each of 1,024 bins has do: sets that differ in d members differ in d parities at most.
+
 Defined results: words are as in simhash.fingerprint; a text of fewer than five words is one shingle; null and empty
 texts, and those of white space only, are alike; an empty table gives an empty table; further columns are not read.
 """
@@ -54,6 +60,10 @@ PAIRS_AT_ONCE = 1 << 18
 ROUNDS = 2
 DENSE = 512
 """Rows of a key among which every row may be compared with every other to find the nearest."""
+SAMPLE, SAMPLED_SHARE, OFTEN, MOST_FREQUENT = 20_000, 1 / 64, 4, 1 << 18
+"""Texts, or the share of all if that is more, whose shingles are counted to order prefixes; the least count of a frequent
+shingle, and how many of them are sent to all tasks."""
+BINS = 1024
 HASHES_AT_ONCE = 1 << 12
 
 _RANDOM = np.random.default_rng(SEED)
@@ -419,13 +429,157 @@ def _too_far(g: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, least: floa
     return (g["anchor"][x] == g["anchor"][y]) & (shared < least * (size[x] + size[y] - shared) - 1e-9)
 
 
+def _frequent(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the texts, sorted, and the logarithms of how often. They order prefixes and
+    decide nothing else."""
+    top = int(max(SAMPLE / max(count, 1), SAMPLED_SHARE) * 2**32)
+
+    def run(batches):
+        for b in batches:
+            taken = [i for i, d in enumerate(b.column("digest").to_pylist()) if int.from_bytes(d[8:12], "big") < top]
+            found = [shingles(t) for t in b.column("text").take(pa.array(taken, pa.int64())).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+    counts = map_batches(texts, run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    found, often = got.column("shingle").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], np.log2(often[order]).astype(np.int64)
+
+
+def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first members of a set, of which any set of the least similarity has one among its own first. An empty set has 0,
+    as it is similar to empty ones only."""
+    if not len(found):
+        return np.zeros(1, np.uint64)
+    n = len(found) - math.ceil(least * len(found) - 1e-9) + 1
+    keys, often = frequent
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1) if len(keys) else None
+    if at is not None and (known := keys[at] == found).any():
+        found = found[np.argsort(np.where(known, often[at], -1), kind="stable")]
+    return found[:n]
+
+
+def _parities(found: np.ndarray) -> bytes:
+    """Of each bin whether it has an odd number of members."""
+    bins = ((found * _TIMES[1]) >> np.uint64(32)) % np.uint64(BINS)
+    return np.packbits(np.bincount(bins.astype(np.int64), minlength=BINS) & 1).tobytes()
+
+
+def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """digest, size, prefix and parities, once for each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_prefix(x, sent.value, least).tobytes() for x in sets], pa.binary()), pa.array(map(_parities, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), *columns], ["digest", "size", "prefix", "parities"])
+
+    return map_batches(texts, run, "digest binary, size bigint, prefix binary, parities binary").dropDuplicates(["digest"])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray):
+    """Index of the range and the place, for all places of all ranges, in parts of about PAIRS_AT_ONCE."""
+    size = np.maximum(end - start, 0)
+    total = np.cumsum(size)
+    cuts = np.searchsorted(total, np.arange(PAIRS_AT_ONCE, int(total[-1]) + 1, PAIRS_AT_ONCE)) if len(total) else []
+    for some in np.split(np.arange(len(size)), np.unique(cuts).astype(np.int64)):
+        n = size[some]
+        if n.sum():
+            of = np.repeat(some, n)
+            yield of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of]
+
+
+def _sharing(size: np.ndarray, place: np.ndarray, root: np.ndarray, least: float):
+    """Pairs of rows of one shingle, in parts, that are in different components and may be similar enough if it is the first one
+    they share: what the larger one has from its place on bounds the size of the smaller one."""
+    n, part = np.unique(root, return_inverse=True)
+    if len(n) < 2:
+        return
+    largest = part == np.bincount(part).argmax()
+    rest = size - place
+    low = np.ceil(least * size - 1e-9)
+    high = np.minimum(size, np.floor(rest * (1 + least) / least - size + 1e-9))
+    sides = [np.flatnonzero(~largest), np.flatnonzero(largest)]
+    sides = [x[np.argsort(size[x], kind="stable")] for x in sides]
+    for i, j in ((0, 0), (0, 1), (1, 0)):  # the largest component isn't compared with itself
+        x, y = sides[i], sides[j]
+        for a, b in _ranges(np.searchsorted(size[y], low[x], "left"), np.searchsorted(size[y], high[x], "right")):
+            a, b = x[a], y[b]
+            fit = (root[a] != root[b]) & (np.minimum(rest[a], rest[b]) >= least / (1 + least) * (size[a] + size[b]) - 1e-9)
+            yield a[fit], b[fit]
+
+
+def _meeting(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: rows (id, root, size, prefix) that share a shingle of their prefixes, see _sharing."""
+
+    def dealt(batches):
+        for b in batches:
+            found = [np.frombuffer(p, np.int64) for p in b.column("prefix").to_pylist()]
+            n = [len(f) for f in found]
+            place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, n)])
+            columns = [np.repeat(b.column(c).to_numpy(), n) for c in ("id", "root", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), *map(pa.array, columns), pa.array(place)], ["key", "id", "root", "size", "place"])
+
+    def run(batches):
+        for g in _groups(batches):
+            starts = np.flatnonzero(np.r_[True, g["key"][1:] != g["key"][:-1]])
+            ends = np.r_[starts[1:], len(g["key"])]
+            held, waiting = [], 0
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                i = g["id"][s:e]
+                for x, y in _sharing(g["size"][s:e].astype(np.float64), g["place"][s:e], g["root"][s:e], least):
+                    held.append(np.stack([np.minimum(i[x], i[y]), np.maximum(i[x], i[y])], 1))
+                    waiting += len(x)
+                    if waiting >= PAIRS_AT_ONCE:
+                        yield _pairs(held)
+                        held, waiting = [], 0
+            yield _pairs(held)
+
+    dealt_rows = map_batches(rows, dealt, "key bigint, id bigint, root bigint, size bigint, place bigint")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(dealt_rows.repartition(parts, "key").sortWithinPartitions("key"), run, "a bigint, b bigint", 4096).distinct()
+
+
+def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def _by_prefixes(texts: DataFrame, marked: DataFrame, tried: DataFrame | None, count: int, least: float, folder: str) -> DataFrame:
+    """a, b: all pairs that are similar enough, are in different components and haven't been compared, and few others."""
+    made = _prefixes(texts, _frequent(texts, count), least).join(marked.select("digest", "id"), "digest")
+    if tried is None:
+        made = made.withColumn("root", F.col("id"))
+    else:
+        links = written(components(tried.where("same")), f"{folder}/known-last").withColumnRenamed("node", "id")
+        made = made.join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    made = written(made.drop("digest"), f"{folder}/prefixes")
+    pairs = _meeting(made.select("id", "root", "size", "prefix"), least)
+    if tried is not None:
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    sides = [made.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"bins_{c}")) for c in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b")
+
+    def run(batches):
+        for b in batches:
+            size = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BINS // 64) for c in ("bins_a", "bins_b"))
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * size + 1e-9
+            yield b.select(["a", "b"]).filter(pa.array(near))
+
+    return map_batches(rows.select("a", "b", "size_a", "size_b", "bins_a", "bins_b"), run, "a bigint, b bigint", 4096)
+
+
 def roots(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """digest (see text_digest) and group: for every text that is similar to another one, directly or by way of others, the
     same number for all texts of its component. Texts on their own have no row."""
     folder = scratch(docs.sparkSession, "near_copies")
     texts = docs.select(text_digest(text).alias("digest"), F.col(text).cast("string").alias("text"))
     marked = written(_fingerprints(texts).withColumn("id", F.monotonically_increasing_id()), f"{folder}/fingerprints")
-    plan = Plan.of(marked.count(), least)
+    count = marked.count()
+    plan = Plan.of(count, least)
     tried = None
     for n in range(ROUNDS + 1):
         if tried is not None:
@@ -446,7 +600,9 @@ def roots(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> Dat
         if new.isEmpty():
             break
         tried = new if tried is None else tried.union(new)
-    links = marked.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if tried is None else tried.where("same").select("a", "b")
+    pairs = written(_by_prefixes(texts, marked, tried, count, least, folder), f"{folder}/pairs-last")
+    new = written(_similar(pairs, texts, marked, least), f"{folder}/tried-last")
+    links = (new if tried is None else tried.union(new)).where("same").select("a", "b")
     hung = components(links)
     members = hung.select(F.col("node").alias("id"), "root").union(hung.select(F.col("root").alias("id"), "root").distinct())
     return marked.select("id", "digest").join(members, "id").select("digest", F.col("root").alias("group"))

@@ -216,3 +216,35 @@ def test_rows_that_go_are_found_with_and_without_a_filter(spark, filter_bytes):
     got = near_copies.decided(docs, said, filter_bytes=filter_bytes)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(i, f"text {i}") for i in range(70)] and got.count() == 71
+
+
+def test_short_texts_at_the_least_similarity_are_linked(spark):
+    """Four shingles of five: fingerprints of so few differ in more bits than those of long texts."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Sets of all sizes, with frequent members and without, some in known components: the pairs of brute force."""
+    rng = np.random.default_rng(13)
+    common, sets = rng.integers(1, 1 << 62, 30, dtype=np.uint64), [np.zeros(0, np.uint64)] * 2
+    for n in (1, 2, 4, 5, 9, 10, 25, 60) * 6:
+        base = np.concatenate([rng.integers(1, 1 << 62, n, dtype=np.uint64), rng.choice(common, min(n, int(rng.integers(0, 30))), replace=False)])
+        for _ in range(4):
+            kept = base[rng.random(len(base)) > rng.uniform(0, 0.2)]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(1, 1 << 62, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)])))
+    roots = [i // 3 * 3 if i % 5 == 0 else i for i in range(len(sets))]
+    similar = lambda i, j: near_copies.similarity(sets[i], sets[j]) >= 0.8
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots[i] != roots[j] and similar(i, j)}
+    for frequent in ((np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.sort(common), np.arange(30) // 7)):
+        rows = [(i, roots[i], len(x), bytearray(near_copies._prefix(x, frequent, 0.8).tobytes())) for i, x in enumerate(sets)]
+        made = spark.createDataFrame(rows, "id bigint, root bigint, size bigint, prefix binary")
+        got = [tuple(r) for r in near_copies._meeting(made, 0.8).collect()]
+        assert len(want) > 100 and want <= set(got) and len(got) == len(set(got)) < len(sets) ** 2 / 20
+        assert all(roots[i] != roots[j] for i, j in got)
