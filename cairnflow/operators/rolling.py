@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cairnflow.functions.columns import DAY, HOUR
-from cairnflow.operators.segments import Running, running
+from cairnflow.operators.segments import Running, dealt, running
 
 KEYS = ("transaction_id", "entity_id", "us")
 
@@ -73,6 +73,7 @@ def _by_sweep(transactions: DataFrame, bucket: int | None) -> DataFrame:
     keys = ("entity_id",)
     if bucket:
         rows, keys = spread(rows, 30 * DAY, bucket), ("entity_id", "bucket")
+    rows = dealt(rows, *keys)  # one shuffle, before each row becomes five
     month = _ENDS["m"]
     moves = F.array(
         F.struct(F.col("us").alias("at"), F.lit("in").alias("move")),

@@ -12,6 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_OF_A_TASK = 50_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by keys in as many tasks as leave each about ROWS_OF_A_TASK, for work that takes up many times its input. Said as
+    a number, since tasks would otherwise be as many for any input, or be put together by the size of what they read."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // ROWS_OF_A_TASK)), *keys)
+
+
 @dataclass(frozen=True)
 class Running:
     """kind: sum, min, max or last (the newest that is not null, in the rows' order), of a column over what came so far."""

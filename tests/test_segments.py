@@ -128,3 +128,17 @@ def test_odd_amounts_show_in_their_own_windows_only(spark, amounts):
 def test_numbers_that_are_not_finite_are_strings_in_json(spark):
     df = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (None,)], "v double")
     assert [r.j for r in df.select(json_of(F.col("v"), "double").alias("j")).collect()] == ["1.5", '"NaN"', '"Infinity"', None]
+
+
+@pytest.mark.parametrize("bucket", [None, 15 * DAY])
+def test_tasks_of_rolling_features_grow_with_the_rows(spark, monkeypatch, bucket):
+    from cairnflow.operators import segments
+
+    monkeypatch.setattr(segments, "ROWS_OF_A_TASK", 20)
+    t = F.timestamp_micros(F.col("id") * 3_600_000_000)
+    rows = spark.range(600).select(
+        F.col("id").alias("transaction_id"), (F.col("id") % 50).cast("string").alias("entity_id"), (F.col("id") * 3_600_000_000).alias("us"),
+        t.alias("timestamp"), F.lit(1.5).alias("amount"),
+    )
+    features = rolling.rolling_features(rows, bucket)
+    assert features.rdd.getNumPartitions() >= 30 and features.count() == 600
