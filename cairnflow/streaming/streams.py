@@ -8,6 +8,7 @@ reads does not grow with the history."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from cairnflow.operators import counters, validate
 from cairnflow.operators.history import unpivot
+from cairnflow.operators.segments import dealt
 from cairnflow.sources.ingest import REQUIRED, TRANSFORMERS, parse, route
 from cairnflow.sources.snapshots import Change, Snapshots, newest
 
@@ -147,11 +149,12 @@ def deduplicate(events: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 class Deltas:
     """A table of what each batch adds, and how additions make the whole."""
 
-    def __init__(self, folder: str, name: str, add: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame], delay: int = 86_400_000_000):
+    def __init__(self, folder: str, name: str, add: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame], delay: int = 86_400_000_000, shown: Callable[[DataFrame], DataFrame] = lambda whole: whole):
         """add: rows of a batch, with `late`, to additions (any number of rows of a key). whole: additions to the result;
         it has to give the same for the result of some of the additions and the others. delay: microseconds behind the
-        newest event of earlier batches from which an event is late; late additions are marked, and count like others."""
-        self.folder, self.name, self.add, self.whole, self.delay = folder, name, add, whole, delay
+        newest event of earlier batches from which an event is late; late additions are marked, and count like others. shown:
+        the whole to what is given, if that is more than is to be stored."""
+        self.folder, self.name, self.add, self.whole, self.delay, self.shown = folder, name, add, whole, delay, shown
 
     def run(self, events: DataFrame) -> DataFrame:
         """Take up what there is; gives the result, with the number of events of each key that came late."""
@@ -178,7 +181,7 @@ class Deltas:
 
         run_available(events, committing(store, self.name, write), f"{self.folder}/checkpoint-{self.name}")
         kind = schema[0] if schema else self.add(events.sparkSession.createDataFrame([], events.schema).withColumn("late", F.lit(False))).schema
-        return self.whole(store.read(self.name, kind))
+        return self.shown(self.whole(store.read(self.name, kind)))
 
     def counted(self, spark: SparkSession) -> DataFrame:
         """Events, and late ones, of each batch."""
@@ -194,11 +197,21 @@ def _added_up(keys: list[str], **sums: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def sliding_counts(folder: str, length: str = "24 hours", step: str = "1 hour") -> Deltas:
+    """Events are counted, and stored, by panes of which all windows are made; windows are made of them where an entity is."""
+    pane = math.gcd(*(round(pd.Timedelta(t).total_seconds() * 1_000_000) for t in (length, step)))
+
     def add(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("entity_id", F.window("timestamp", length, step).alias("w")).agg(F.count("*").alias("n"), _late())
+        counts = rows.groupBy("entity_id", F.window("timestamp", f"{pane} microseconds").alias("w")).agg(F.count("*").alias("n"), _late())
         return counts.select("entity_id", F.col("w.start").alias("start"), "n", "late")
 
-    return Deltas(folder, "sliding", add, _added_up(["entity_id", "start"], n="n", late="late"))
+    add_up = _added_up(["entity_id", "start"], n="n", late="late")
+
+    def shown(panes: DataFrame) -> DataFrame:
+        panes = dealt(panes, "entity_id")
+        windows = panes.select("entity_id", F.window("start", length, step).alias("w"), "n", "late")
+        return add_up(windows.select("entity_id", F.col("w.start").alias("start"), "n", "late"))
+
+    return Deltas(folder, "sliding", add, add_up, shown=shown)
 
 
 def tumbling_counts(folder: str, length: str = "1 day") -> Deltas:

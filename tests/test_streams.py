@@ -169,3 +169,13 @@ def test_a_batch_that_dies_between_its_writes_changes_nothing(spark, tmp_path, m
     assert tables_of(store) == (log, latest, dead, counted)
     run()
     assert tables_of(store)[0] == log
+
+
+def test_sliding_windows_are_stored_by_panes(spark, shuffled, tmp_path):
+    """A row for each entity and pane at most, not one for each of its windows; lengths need not be whole steps."""
+    events, stream = shuffled
+    got = streams.sliding_counts(str(tmp_path / "a"), "90 minutes", "1 hour").run(stream())
+    want = events.groupBy("entity_id", F.window("timestamp", "90 minutes", "1 hour").alias("w")).count()
+    assert rows_of(got, "entity_id", "start", "n") == rows_of(want, "entity_id", "w.start", "count")
+    streams.sliding_counts(str(tmp_path / "b")).run(stream())
+    assert spark.read.parquet(str(tmp_path / "b" / "sliding")).count() <= 600
