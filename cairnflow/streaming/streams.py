@@ -201,17 +201,20 @@ def sliding_counts(folder: str, length: str = "24 hours", step: str = "1 hour")
     pane = math.gcd(*(round(pd.Timedelta(t).total_seconds() * 1_000_000) for t in (length, step)))
 
     def add(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_id")  # a file is no one task's
         counts = rows.groupBy("entity_id", F.window("timestamp", f"{pane} microseconds").alias("w")).agg(F.count("*").alias("n"), _late())
         return counts.select("entity_id", F.col("w.start").alias("start"), "n", "late")
 
     add_up = _added_up(["entity_id", "start"], n="n", late="late")
 
+    def whole(deltas: DataFrame) -> DataFrame:
+        return add_up(dealt(deltas, "entity_id"))
+
     def shown(panes: DataFrame) -> DataFrame:
-        panes = dealt(panes, "entity_id")
         windows = panes.select("entity_id", F.window("start", length, step).alias("w"), "n", "late")
         return add_up(windows.select("entity_id", F.col("w.start").alias("start"), "n", "late"))
 
-    return Deltas(folder, "sliding", add, add_up, shown=shown)
+    return Deltas(folder, "sliding", add, whole, shown=shown)
 
 
 def tumbling_counts(folder: str, length: str = "1 day") -> Deltas:
