@@ -84,9 +84,10 @@ class Filter:
 SEGMENT = 1 << 13
 
 
-def key_filter(keys: DataFrame, count: int) -> Filter:
-    """The filter of a table of keys; its segments are filled in tasks. Its size has to be checked before."""
-    words = Filter.size(count)
+def key_filter(keys: DataFrame, count: int, most: int | None = None) -> Filter:
+    """The filter of a table of keys; its segments are filled in tasks. Its size has to be checked before, or is most words (a
+    power of two), in which many keys leave it to pass more others."""
+    words = Filter.size(count) if most is None else min(Filter.size(count), most)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}

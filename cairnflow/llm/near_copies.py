@@ -22,9 +22,12 @@ it and lacks of it, and marks of the former). So copies that were edited apart a
 
 The rest, exactly. Tables and radius lose a few pairs, so a round by prefixes follows that loses none: in any one order of
 all shingles, two sets of the least similarity share one among the first n - ceil(least * n) + 1 of each. The order has
-shingles that are frequent in a sample last (any order gives the same links; this one makes few pairs). Rows that share a
-shingle there and are in different components are a pair if their sizes and the places of that shingle allow it, then if
-the parities of how many members each of 1,024 bins has do: sets that differ in d members differ in d parities at most.
+shingles that are frequent in a sample last, and first those that texts of one component only have, which is counted exactly
+of the LOW part of all hashes (any order gives the same links; this one makes few pairs). No pair comes of these, so they are
+left out of the prefixes: a text with enough of its own has no rows, however many passages it shares. Rows that share a
+shingle there and are in different components are a pair if their sizes, the places of that shingle and the parities of how
+many members each of 1,024 bins has allow it: sets that differ in d members differ in d parities at most. All this goes with
+each row, so that texts that share a passage, or are somewhat similar, are told apart where they meet.
 
 Defined results: words are as in simhash.fingerprint; a text of fewer than five words is one shingle; null and empty
 texts, and those of white space only, are alike; an empty table gives an empty table; further columns are not read.
@@ -33,6 +36,7 @@ texts, and those of white space only, are alike; an empty table gives an empty t
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
@@ -63,6 +67,8 @@ DENSE = 512
 SAMPLE, SAMPLED_SHARE, OFTEN, MOST_FREQUENT = 20_000, 1 / 64, 4, 1 << 18
 """Texts, or the share of all if that is more, whose shingles are counted to order prefixes; the least count of a frequent
 shingle, and how many of them are sent to all tasks."""
+LOW = 0.3
+"""Part of the shingles, by their hashes, of which is counted whether more than one component has them."""
 BINS = 1024
 HASHES_AT_ONCE = 1 << 12
 
@@ -447,12 +453,46 @@ def _frequent(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.log2(often[order]).astype(np.int64)
 
 
-def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+_LOWEST = np.uint64(int(LOW * 2**64))
+
+
+def _shared(texts: DataFrame, links: DataFrame | None, folder: str) -> Filter:
+    """A filter of the shingles below LOW that texts of several components (digest, root; others are alone) have."""
+
+    def run(batches):
+        for b in batches:
+            low = [x[: np.searchsorted(x, _LOWEST)].view(np.int64) for x in map(shingles, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(low, pa.list_(pa.int64()))], ["digest", "low"])
+
+    rows = map_batches(texts, run, "digest binary, low array<bigint>")
+    own = F.xxhash64(F.lit(uuid.uuid4().hex), "digest")  # of no text that was made to have another one's
+    if links is None:
+        rows = rows.withColumn("of", own)
+    else:
+        rows = rows.join(links, "digest", "left").withColumn("of", F.coalesce("root", own))
+    kept = rows.select(F.explode("low").alias("key"), "of").groupBy("key").agg(F.min("of").alias("first"), F.max("of").alias("last")).where("first <> last")
+    kept = written(kept.select("key"), f"{folder}/shared")
+    return key_filter(kept, kept.count(), MOST_BYTES // 8)
+
+
+def _first(size: np.ndarray | int, least: float) -> np.ndarray | int:
+    """How many first members of a set are its prefix."""
+    return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+
+
+def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float, shared: Filter | None = None) -> np.ndarray:
     """The first members of a set, of which any set of the least similarity has one among its own first. An empty set has 0,
-    as it is similar to empty ones only."""
+    as it is similar to empty ones only. Left out is what comes first of all, what no other component has (see _shared)."""
     if not len(found):
         return np.zeros(1, np.uint64)
-    n = len(found) - math.ceil(least * len(found) - 1e-9) + 1
+    n = int(_first(len(found), least))
+    if shared is not None:
+        low = int(np.searchsorted(found, _LOWEST))
+        met = shared.has(found[:low])
+        n -= low - int(met.sum())
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        found = np.concatenate([found[:low][met], found[low:]])
     keys, often = frequent
     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1) if len(keys) else None
     if at is not None and (known := keys[at] == found).any():
@@ -466,15 +506,18 @@ def _parities(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(bins.astype(np.int64), minlength=BINS) & 1).tobytes()
 
 
-def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
-    """digest, size, prefix and parities, once for each text."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shared: Filter, least: float) -> DataFrame:
+    """digest, size, prefix and parities, once for each text of which anything is left in its prefix."""
+    sent = texts.sparkSession.sparkContext.broadcast((frequent, shared))
 
     def run(batches):
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_prefix(x, sent.value, least).tobytes() for x in sets], pa.binary()), pa.array(map(_parities, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *columns], ["digest", "size", "prefix", "parities"])
+            prefixes = [_prefix(x, sent.value[0], least, sent.value[1]) for x in sets]
+            some = [i for i, p in enumerate(prefixes) if len(p)]
+            sets, prefixes = [sets[i] for i in some], [prefixes[i] for i in some]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([p.tobytes() for p in prefixes], pa.binary()), pa.array(map(_parities, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(some, pa.int64())), *columns], ["digest", "size", "prefix", "parities"])
 
     return map_batches(texts, run, "digest binary, size bigint, prefix binary, parities binary").dropDuplicates(["digest"])
 
@@ -512,15 +555,23 @@ def _sharing(size: np.ndarray, place: np.ndarray, root: np.ndarray, least: float
 
 
 def _meeting(rows: DataFrame, least: float) -> DataFrame:
-    """a, b: rows (id, root, size, prefix) that share a shingle of their prefixes, see _sharing."""
+    """a, b: rows (id, root, size, prefix) that share a shingle of their prefixes, see _sharing, and whose parities, if they
+    have them, allow the least similarity."""
+    odd = [f"odd{k}" for k in range(BINS // 64)] if "parities" in rows.columns else []
+
+    names = ["key", "place", "id", "root", "size", *odd]
 
     def dealt(batches):
         for b in batches:
             found = [np.frombuffer(p, np.int64) for p in b.column("prefix").to_pylist()]
             n = [len(f) for f in found]
-            place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, n)])
+            left_out = _first(b.column("size").to_numpy(), least) - n
+            place = np.concatenate([np.zeros(0, np.int64), *map(np.arange, left_out, left_out + n)])
             columns = [np.repeat(b.column(c).to_numpy(), n) for c in ("id", "root", "size")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), *map(pa.array, columns), pa.array(place)], ["key", "id", "root", "size", "place"])
+            if odd:
+                parities = np.frombuffer(b"".join(b.column("parities").to_pylist()), np.int64).reshape(-1, len(odd))
+                columns += [np.repeat(p, n) for p in parities.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(place), *map(pa.array, columns)], names)
 
     def run(batches):
         for g in _groups(batches):
@@ -528,8 +579,12 @@ def _meeting(rows: DataFrame, least: float) -> DataFrame:
             ends = np.r_[starts[1:], len(g["key"])]
             held, waiting = [], 0
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                i = g["id"][s:e]
-                for x, y in _sharing(g["size"][s:e].astype(np.float64), g["place"][s:e], g["root"][s:e], least):
+                i, size = g["id"][s:e], g["size"][s:e]
+                parities = _words({c: g[c][s:e] for c in odd}, odd) if odd else None
+                for x, y in _sharing(size.astype(np.float64), g["place"][s:e], g["root"][s:e], least):
+                    if odd:
+                        near = np.bitwise_count(parities[x] ^ parities[y]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-9
+                        x, y = x[near], y[near]
                     held.append(np.stack([np.minimum(i[x], i[y]), np.maximum(i[x], i[y])], 1))
                     waiting += len(x)
                     if waiting >= PAIRS_AT_ONCE:
@@ -537,7 +592,7 @@ def _meeting(rows: DataFrame, least: float) -> DataFrame:
                         held, waiting = [], 0
             yield _pairs(held)
 
-    dealt_rows = map_batches(rows, dealt, "key bigint, id bigint, root bigint, size bigint, place bigint")
+    dealt_rows = map_batches(rows, dealt, ", ".join(f"{c} bigint" for c in names))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return map_batches(dealt_rows.repartition(parts, "key").sortWithinPartitions("key"), run, "a bigint, b bigint", 4096).distinct()
 
@@ -549,27 +604,19 @@ def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
 
 def _by_prefixes(texts: DataFrame, marked: DataFrame, tried: DataFrame | None, count: int, least: float, folder: str) -> DataFrame:
     """a, b: all pairs that are similar enough, are in different components and haven't been compared, and few others."""
-    made = _prefixes(texts, _frequent(texts, count), least).join(marked.select("digest", "id"), "digest")
-    if tried is None:
+    links, known = None, None
+    if tried is not None:
+        links = written(components(tried.where("same")), f"{folder}/known-last").withColumnRenamed("node", "id")
+        members = links.union(links.select(F.col("root").alias("id"), "root").distinct())
+        known = written(marked.select("id", "digest").join(members, "id").select("digest", "root"), f"{folder}/known-texts")
+    made = _prefixes(texts, _frequent(texts, count), _shared(texts, known, folder), least).join(marked.select("digest", "id"), "digest")
+    if links is None:
         made = made.withColumn("root", F.col("id"))
     else:
-        links = written(components(tried.where("same")), f"{folder}/known-last").withColumnRenamed("node", "id")
         made = made.join(links, "id", "left").withColumn("root", F.coalesce("root", "id"))
     made = written(made.drop("digest"), f"{folder}/prefixes")
-    pairs = _meeting(made.select("id", "root", "size", "prefix"), least)
-    if tried is not None:
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    sides = [made.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"bins_{c}")) for c in "ab"]
-    rows = pairs.join(sides[0], "a").join(sides[1], "b")
-
-    def run(batches):
-        for b in batches:
-            size = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BINS // 64) for c in ("bins_a", "bins_b"))
-            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * size + 1e-9
-            yield b.select(["a", "b"]).filter(pa.array(near))
-
-    return map_batches(rows.select("a", "b", "size_a", "size_b", "bins_a", "bins_b"), run, "a bigint, b bigint", 4096)
+    pairs = _meeting(made, least)
+    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def roots(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:

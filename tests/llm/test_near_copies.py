@@ -248,3 +248,27 @@ def test_prefixes_lose_no_pair(spark):
         got = [tuple(r) for r in near_copies._meeting(made, 0.8).collect()]
         assert len(want) > 100 and want <= set(got) and len(got) == len(set(got)) < len(sets) ** 2 / 20
         assert all(roots[i] != roots[j] for i, j in got)
+
+
+def test_long_texts_with_a_common_passage_make_no_pairs(spark, monkeypatch, tmp_path):
+    """They share shingles that no sample shows, and are not similar; edited copies are, in known components and outside."""
+    from pyspark.sql import functions as F
+
+    rng, made, meeting = random.Random(17), [], near_copies._meeting
+    monkeypatch.setattr(near_copies, "OFTEN", 1000)
+    monkeypatch.setattr(near_copies, "_meeting", lambda rows, least: made.append(meeting(rows, least)) or made[-1])
+    passage, bodies = [f"p{k}" for k in range(40)], []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(300)]
+        words = words[:100] + passage + words[100:]
+        bodies += [words, edited(words, rng, 5)] if i % 10 == 0 else [words]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "id long, text string")
+    texts = docs.select(near_copies.text_digest().alias("digest"), "text")
+    marked = docs.select(near_copies.text_digest().alias("digest"), "id")
+    pairs = [(i, i + 1) for i, w in enumerate(bodies[1:]) if len(set(w) & set(bodies[i])) > 200]
+    got = near_copies._by_prefixes(texts, marked, None, docs.count(), 0.8, f"file://{tmp_path}/a")
+    assert sorted(tuple(r) for r in got.collect()) == pairs and len(pairs) == 6
+    known = docs.where(F.col("id") == 0).select(F.lit(pairs[0][0]).cast("long").alias("a"), F.lit(pairs[0][1]).cast("long").alias("b"), F.lit(True).alias("same"))
+    got = near_copies._by_prefixes(texts, marked, known, docs.count(), 0.8, f"file://{tmp_path}/b")
+    assert sorted(tuple(r) for r in got.collect()) == pairs[1:]
+    assert [m.count() for m in made] == [6, 5]  # of 2,145
