@@ -8,6 +8,7 @@ reads does not grow with the history."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -286,37 +287,46 @@ def new_merchants(transactions: DataFrame, folder: str) -> DataFrame:
 # State that expires
 
 
-def expiries(writes: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
+def expiries(writes: DataFrame, ttl: int, delay: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """Of writes (entity_id, feature_group, timestamp, us) the times at which a group of an entity expires: ttl microseconds
     after its last write, unless it is written before. State: the last write of each group that is alive; a timer ends it
-    when the watermark, `delay` behind the newest write, has passed. Writes that come behind the watermark are not seen."""
+    when the watermark, `delay` behind the newest write, has passed. Writes that come behind the watermark are not seen.
+
+    Groups are dealt by a hash into buckets, each with one state and the timer of the first of its groups to end, so that
+    Python is called as often as there are buckets, not groups."""
 
     def expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        gone = []
-        if state.hasTimedOut:
-            gone.append(state.get[0])
-            state.remove()
-        else:
-            times = sorted(t for f in frames for t in f["us"].tolist())
-            last = state.get[0] if state.exists else None
-            for t in times:
+        alive = {(e, g): last for e, g, last in json.loads(state.get[0])} if state.exists else {}
+        gone, written = [], set()
+        if not state.hasTimedOut:
+            for t, *group in sorted((w for f in frames for w in zip(f["us"].tolist(), f["entity_id"], f["feature_group"], strict=True)), key=lambda w: w[0]):
+                group = tuple(group)
+                last = alive.get(group)
                 if last is not None and t - last > ttl:
-                    gone.append(last)
-                last = t if last is None else max(last, t)
+                    gone.append((*group, last))
+                alive[group] = t if last is None else max(last, t)
+                written.add(group)
+        mark, first = state.getCurrentWatermarkMs(), None
+        for group, last in list(alive.items()):
             ends = -(-(last + ttl) // 1000)
-            if ends <= state.getCurrentWatermarkMs():
-                gone.append(last)
-                if state.exists:
-                    state.remove()
+            if ends < mark or (ends == mark and group in written):
+                gone.append((*group, last))
+                del alive[group]
             else:
-                state.update((last,))
-                state.setTimeoutTimestamp(ends)
+                first = ends if first is None else min(first, ends)
+        if alive:
+            state.update((json.dumps([[*group, last] for group, last in alive.items()]),))
+            state.setTimeoutTimestamp(first)
+        elif state.exists:
+            state.remove()
         if gone:
-            yield pd.DataFrame({"entity_id": key[0], "feature_group": key[1], "last_us": gone, "expired_us": [t + ttl for t in gone]})
+            found = pd.DataFrame(gone, columns=["entity_id", "feature_group", "last_us"])
+            yield found.assign(expired_us=found["last_us"] + ttl)
 
-    rows = writes.withWatermark("timestamp", delay).select("entity_id", "feature_group", "timestamp", "us")
+    bucket = F.pmod(F.xxhash64("entity_id", "feature_group"), F.lit(buckets)).alias("bucket")
+    rows = writes.withWatermark("timestamp", delay).select(bucket, "entity_id", "feature_group", "timestamp", "us")
     out = "entity_id string, feature_group string, last_us bigint, expired_us bigint"
-    return rows.groupBy("entity_id", "feature_group").applyInPandasWithState(expire, out, "last bigint", "append", "EventTimeTimeout")
+    return rows.groupBy("bucket").applyInPandasWithState(expire, out, "alive string", "append", "EventTimeTimeout")
 
 
 def stored(stream: DataFrame, folder: str, name: str) -> DataFrame:

@@ -123,6 +123,29 @@ def test_groups_expire_and_state_does_not_grow(spark, tmp_path):
     assert state and max(state) < 40
 
 
+def test_groups_share_states(spark, tmp_path):
+    """More groups than states, null entities too, some written again: each expires as it would on its own."""
+    ttl, start = 2 * DAY, datetime(2024, 1, 1)
+    writes = [(None if i == 7 else f"u{i}", g, start + timedelta(hours=i + 30 * k * (i % 3))) for i in range(100) for g in "ab" for k in range(2)]
+    writes = sorted({*writes, ("u0", "a", start + timedelta(days=9))}, key=lambda w: w[2])
+    for at in range(0, len(writes), 100):
+        df = spark.createDataFrame(writes[at : at + 100], "entity_id string, feature_group string, timestamp timestamp").withColumn("us", F.unix_micros("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    recorder = counters.Recorder()
+    spark.streams.addListener(recorder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((str(r.entity_id), r.feature_group, r.last_us) for r in streams.stored(streams.expiries(stream, ttl, buckets=4), str(tmp_path / "out"), "expired").collect())
+    spark.streams.removeListener(recorder)
+    times = {}
+    for entity, group, t in writes:
+        times.setdefault((str(entity), group), []).append(int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
+    mark = max(t for ts in times.values() for t in ts) - 3_600_000_000
+    want = [(*key, a) for key, ts in times.items() for a, b in zip(ts, [*ts[1:], None]) if (b is None and a + ttl < mark) or (b is not None and b - a > ttl)]
+    assert got == sorted(want) and len(got) > 150
+    state = [n for _, _, counter, _, n in recorder.found if counter == "state_rows"]
+    assert state and max(state) <= 4
+
+
 def lines_of(rows):
     return [json.dumps({"event_id": f"e{n}", "event_type": "user_profile_updated", "entity_id": "u", "entity_type": "user", "occurred_at": f"2024-01-{day:02d}T00:00:00", "payload": {"account_age_days": str(age)}, "source": "s"}) for n, day, age in rows]
 
