@@ -68,12 +68,34 @@ def _by_frames(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _by_sweep(transactions: DataFrame, bucket: int | None) -> DataFrame:
-    rows = transactions.select(*KEYS, "amount")
+_DISTINCT = {"unique_merchants_7d": ("merchant_id", "w"), "unique_categories_30d": ("merchant_category", "m")}
+
+
+def all_features(transactions: DataFrame) -> DataFrame:
+    """rolling_features, rolling_distinct and rolling_zscore side by side, from one shuffle and no join, where no amount is odd."""
+    if transactions.where(_odd(F.col("amount"))).isEmpty():
+        rows = _by_sweep(transactions, None, _DISTINCT, zscore=True)
+        return rows.select(*(c for c in rows.columns if c != "amount_zscore"), "amount_zscore")
+    key = list(KEYS)
+    return rolling_features(transactions).join(rolling_distinct(transactions), key).join(rolling_zscore(transactions), key)
+
+
+def _by_sweep(transactions: DataFrame, bucket: int | None, distinct: dict[str, tuple[str, str]] | None = None, zscore: bool = False) -> DataFrame:
+    """distinct: names of counts of distinct values, each with its column and length; they need whole entities, as zscore does.
+    A value counts from the first of its rows that follow each other by less than the length until the last of them leaves."""
+    distinct = distinct or {}
+    rows = transactions.select(*KEYS, "amount", *(c for c, _ in distinct.values()))
     keys = ("entity_id",)
     if bucket:
         rows, keys = spread(rows, 30 * DAY, bucket), ("entity_id", "bucket")
     rows = dealt(rows, *keys)  # one shuffle, before each row becomes five
+    for name, (column, move) in distinct.items():
+        mine = Window.partitionBy(*keys, column).orderBy("us", "transaction_id")
+        gap = lambda a, b, length=_ENDS[move]: F.col(column).isNotNull() & F.coalesce(a - b >= length, F.lit(True))
+        first, last = gap(F.col("us"), F.lag("us").over(mine)), gap(F.lead("us").over(mine), F.col("us"))
+        rows = rows.withColumns({f"_first_{name}": F.when(first, 1), f"_last_{name}": F.when(last, 1)}).drop(column)
+    if zscore:
+        rows = rows.withColumn("amount_zscore", _level())
     month = _ENDS["m"]
     moves = F.array(
         F.struct(F.col("us").alias("at"), F.lit("in").alias("move")),
@@ -89,8 +111,8 @@ def _by_sweep(transactions: DataFrame, bucket: int | None) -> DataFrame:
     of = lambda move, value: F.when(F.col("move") == move, value)
     one = F.lit(1)
 
-    def count(move: str, value: Column = one) -> Column:
-        return F.count(of("in", value)).over(entered) - F.count(of(move, value)).over(left)
+    def count(move: str, value: Column = one, leaving: Column | None = None) -> Column:
+        return F.count(of("in", value)).over(entered) - F.count(of(move, value if leaving is None else leaving)).over(left)
 
     def sums(move: str, column: str) -> Column:
         zero = F.lit(0).cast("long")
@@ -109,9 +131,11 @@ def _by_sweep(transactions: DataFrame, bucket: int | None) -> DataFrame:
             "avg_amount_7d": F.when(some > 0, total("w") / some).otherwise(F.lit(0.0)),
             "max_amount_30d": F.coalesce(F.greatest(F.max(of("in", F.col("amount"))).over(own), F.max(of("m", F.col("amount"))).over(inside)), F.lit(0.0)),
             "transactions_last_hour": count("h"),
+            **{name: count(move, F.col(f"_first_{name}"), F.col(f"_last_{name}")) for name, (_, move) in distinct.items()},
         }
     ).where("move = 'in'")
-    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount", "whole", "rest", "at", "move", "block")
+    flags = [f"_{end}_{name}" for name in distinct for end in ("first", "last")]
+    return (out.where("home").drop("home", "bucket") if bucket else out).drop("amount", "whole", "rest", "at", "move", "block", *flags)
 
 
 def velocity(count_last_hour: Column) -> Column:
@@ -119,6 +143,12 @@ def velocity(count_last_hour: Column) -> Column:
     return count_last_hour.cast("double")
 
 
+def _level() -> Column:
+    w, a = before(None, "entity_id"), F.col("amount")
+    level = F.when((F.count("*").over(w) >= 2) & (F.min(a).over(w) < F.max(a).over(w)), (a - F.avg(a).over(w)) / F.stddev_pop(a).over(w))
+    return F.coalesce(level, F.lit(0.0))
+
+
 def rolling_zscore(transactions: DataFrame, stretch: int | None = None) -> DataFrame:
     """Deviations of an amount from the mean of all earlier ones, by their population deviation.
 
@@ -127,11 +157,7 @@ def rolling_zscore(transactions: DataFrame, stretch: int | None = None) -> DataF
     small."""
     a = F.col("amount")
     if stretch is None:
-        w = before(None, "entity_id")
-        level = F.when(
-            (F.count("*").over(w) >= 2) & (F.min(a).over(w) < F.max(a).over(w)), (a - F.avg(a).over(w)) / F.stddev_pop(a).over(w)
-        )
-        return transactions.select(*KEYS, F.coalesce(level, F.lit(0.0)).alias("amount_zscore"))
+        return transactions.select(*KEYS, _level().alias("amount_zscore"))
     centre = transactions.groupBy("entity_id").agg(F.avg("amount").alias("_centre")).withColumnRenamed("entity_id", "_entity")
     rows = transactions.select(*KEYS, "amount").join(centre, F.col("entity_id").eqNullSafe(F.col("_entity"))).drop("_entity")
     off = a - F.col("_centre")

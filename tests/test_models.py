@@ -122,3 +122,17 @@ def test_bursts_are_learned_from_what_came_before(spark):
     assert report["roc_auc"] > 0.95
     row = run("rf_train")[0]
     assert row.recall > 0.8 and row.tp > 20 and len(run("rf_score")) == row.tp + row.fp + row.fn + row.tn
+
+
+def test_transactions_of_one_instant_are_scored_once(spark, tmp_path):
+    """Two transactions of an entity at the same instant are two rows of the model's table, not four."""
+    from cairnflow.plans import stores
+
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.floor(F.col("id") / 2) * 1_000_000_000)
+    events = spark.range(400).select(
+        F.col("id").alias("event_id"), at.cast("timestamp_ntz").alias("ts"), (F.floor(F.col("id") / 2) % 4).alias("user_id"), F.lit("purchase").alias("event_type"),
+        (F.col("id") % 90 + 1).cast("double").alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 5, F.lit("}")).alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    scored = [r.transaction_id for r in stores.rf_score(spark, str(tmp_path)).collect()]
+    assert sorted(scored) == list(range(320, 400))

@@ -142,3 +142,17 @@ def test_tasks_of_rolling_features_grow_with_the_rows(spark, monkeypatch, bucket
     )
     features = rolling.rolling_features(rows, bucket)
     assert features.rdd.getNumPartitions() >= 30 and features.count() == 600
+
+
+@pytest.mark.parametrize("amounts", [[0.5, 5.0, 70.0], [None, 0.5, 5.0, math.nan]])
+def test_all_features_equal_their_parts(spark, amounts):
+    """Ties, null merchants and odd amounts included; without odd amounts from one shuffle."""
+    df, key = transactions(spark, 3, amounts=amounts), list(rolling.KEYS)
+    made = rolling.all_features(df)
+    parts = rolling.rolling_features(df).join(rolling.rolling_distinct(df), key).join(rolling.rolling_zscore(df), key)
+    assert made.columns == parts.columns
+    rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) and v == v else str(v) for v in r) for r in d.collect())
+    assert rows(made) == rows(parts) and made.count() == 300
+    if not any(a is None for a in amounts):
+        plan = rolling.all_features(df)._jdf.queryExecution().executedPlan().toString()  # not run yet: the first plan only
+        assert plan.count("Exchange") == 1 and "Join" not in plan
