@@ -62,9 +62,10 @@ def temporal_split(rows: DataFrame, share: float = 0.8, time: str = "us", tie: s
 
 
 def fit_forest(train: DataFrame, inputs: list[str], label: str = "label", trees: int = 100, depth: int = 10, leaf: int = 10, seed: int = 42) -> PipelineModel:
-    """leaf: rows of a leaf, so that a node of fewer than twice as many isn't split."""
+    """leaf: rows of a leaf, so that a node of fewer than twice as many isn't split. The node that a row has come to in each tree
+    is kept, so that a level takes no walk from the root."""
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True)
     return Pipeline(stages=[assembler, forest]).fit(train.withColumn(label, F.col(label).cast("double")))
 
 
