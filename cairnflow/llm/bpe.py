@@ -30,11 +30,13 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 from itertools import chain, islice
 
 import regex
 
+from cairnflow.llm.common import kept_for_stage
+
 CACHE = 100_000
 """Pre-tokens that a worker keeps with their tokens, twice (a young and an old generation)."""
 CACHED_LENGTH = 48
@@ -355,12 +357,12 @@ class Decoder:
         return text[:-1] if text.endswith(" ") else text
 
 
-@lru_cache(maxsize=4)
+@kept_for_stage
 def encoder(path: str) -> Encoder:
-    """A worker reads a tokenizer file once."""
+    """A worker reads a tokenizer file once for a stage."""
     return Encoder(path)
 
 
-@lru_cache(maxsize=4)
+@kept_for_stage
 def decoder(path: str, surface: bool = True) -> Decoder:
     return Decoder(encoder(path).merges, surface)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,15 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Arrow's, and that of malloc where its library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_KEPT: list[Callable] = []
+_LAST: list[int | None] = [None]
+
+
+def kept_for_stage(fn: Callable) -> Callable:
+    """A worker makes it once for all its tasks of a stage; later stages, for which the worker stays, get the memory."""
+    kept = lru_cache(maxsize=4)(fn)
+    _KEPT.append(kept)
+    return kept
+
+
+def forget_other_stages() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _LAST[0]:
+        _LAST[0] = stage
+        for kept in _KEPT:
+            kept.cache_clear()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = ROWS_PER_BATCH
 ) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes, so that the memory of a Python worker is bounded.
+    """mapInArrow with batches bounded in rows and bytes, so that the memory of a Python worker is bounded, and given back at
+    the end of each task: workers stay for the tasks of later stages.
 
     Both bounds are settings of the session (Spark reads them when the query runs, so they stay set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_input(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:

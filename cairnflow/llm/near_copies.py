@@ -59,8 +59,9 @@ PARTS, LOOKED_AT = 16, 3
 """Words of 64 bits of a fingerprint, and how many of them the tables mask and the index compares."""
 MISSED = 0.003
 CELL = 256
-ROWS_AT_ONCE = 1 << 16
-PAIRS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 14
+PAIRS_AT_ONCE = 1 << 16
+"""Rows and pairs that a task has in arrays: a pair takes up to 500 bytes there, a row as many."""
 ROUNDS = 2
 DENSE = 512
 """Rows of a key among which every row may be compared with every other to find the nearest."""

@@ -1,10 +1,16 @@
 """Vectors of any finite size link; packages are bounded whatever their records are."""
 
 import random
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnflow.llm import collisions, decontaminate, warc
+from cairnflow.llm.bpe import encoder
+from cairnflow.llm.common import map_batches
+from cairnflow.llm.queries import WORD_BPE
 
 
 def test_vectors_of_any_finite_size_link(spark):
@@ -61,3 +67,36 @@ def test_benchmarks_in_any_blocks(spark, filter_bytes, monkeypatch):
     assert len(parts) > 5 and max(sizes) < 2400
     assert result(block_chars=600, filter_bytes=filter_bytes) == whole
     assert sorted(map(tuple, decontaminate.remove_leaks(df, bench, block_chars=600, filter_bytes=filter_bytes).collect())) == left
+
+
+def test_workers_give_memory_back(spark):
+    """Small arrays, and one above them that stays: malloc keeps what was freed below it for the worker's later tasks."""
+
+    def heavy(batches):
+        held = [np.ones(8000) for _ in range(5000)]  # 320 MB
+        sys.stays = np.ones(8000)
+        for b in batches:
+            yield b.slice(0, len(held))
+
+    def resident(batches):
+        for b in batches:
+            with open("/proc/self/statm") as f:
+                pages = int(f.read().split()[1])
+            yield pa.RecordBatch.from_arrays([pa.array([pages * 4096 / 1e6] * b.num_rows)], ["mb"])
+
+    map_batches(spark.range(0, 2, 1, 2), heavy, "id bigint").collect()
+    assert max(r.mb for r in map_batches(spark.range(0, 32, 1, 16), resident, "mb double").collect()) < 280
+
+
+def test_workers_keep_tokenizers_for_one_stage(spark):
+    def load(batches):
+        encoder(WORD_BPE)
+        yield from batches
+
+    def kept(batches):
+        n = encoder.cache_info().currsize
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int32())], ["n"])
+
+    map_batches(spark.range(0, 4, 1, 4), load, "id bigint").collect()
+    assert {r.n for r in map_batches(spark.range(0, 32, 1, 16), kept, "n int").collect()} == {0}
